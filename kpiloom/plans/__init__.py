@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["kpi_queries"]
+_MODULES = ["kpi_queries", "report_queries", "catalog_queries"]
 
 
 def load_queries() -> None:
