@@ -79,15 +79,18 @@ def column_totals(facts: DataFrame, columns: Iterable[str], group_by: Sequence[C
     return facts.groupBy(*group_by).agg(F.count(F.lit(1)).alias("_rows"), *sums), where
 
 
-def kpi_result(kpi_id: Column, in_catalog: Column, is_total: Column, numerator: Column,
-               denominator: Column, numerator_total: Column, denominator_total: Column,
-               low: Column, high: Column, headers: list[str], numeric: list[str],
-               validate_totals: bool = False) -> Column:
-    """Value, KPI flags and report flags of one KPI as a struct.
-
-    The flag texts are fixed values. Totals are not range-checked unless asked. A mapped
-    column that is there but holds no numbers is flagged as well.
+def evaluate(rows: DataFrame, headers: list[str], numeric: list[str],
+             validate_totals: bool = False) -> DataFrame:
+    """Value, KPI flags and report flags of KPI rows that carry their totals.
+
+    A row has kpi_id, in_catalog, is_total, numerator, denominator (column names),
+    numerator_total, denominator_total, low and high. The flag texts are fixed values. Totals are not
+    range-checked unless asked. A mapped column that is there but holds no numbers is flagged
+    as well.
     """
+    numerator, denominator = F.col("numerator"), F.col("denominator")
+    is_total, in_catalog, value = F.col("is_total"), F.col("in_catalog"), F.col("_value")
+
     def named(column: Column) -> Column:
         return F.concat(F.lit("'"), F.coalesce(column, F.lit("None")), F.lit("'"))
 
@@ -97,49 +100,55 @@ def kpi_result(kpi_id: Column, in_catalog: Column, is_total: Column, numerator:
     def text(*parts) -> Column:
         return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
-    no_numbers = text("column ", named(F.when(numerator.isin(numeric), denominator)
-                                       .otherwise(numerator)), " is not numeric")
-    missing_numerator, missing_denominator = absent(numerator), absent(denominator)
-    wrong_type = ~numerator.isin(numeric) | (~is_total & ~denominator.isin(numeric))
-    zero = ~is_total & (denominator_total == 0)
-
-    def choose(total_gap, numerator_gap, denominator_gap, zero_text) -> Column:
+    gap = (
+        F.when(~in_catalog, "unknown")
+        .when(absent(numerator), "numerator")
+        .when(~is_total & absent(denominator), "denominator")
+        .when(~numerator.isin(numeric), "numerator type")
+        .when(~is_total & ~denominator.isin(numeric), "denominator type")
+        .when(~is_total & (F.col("denominator_total") == 0), "zero")
+    )
+    computed = F.when(F.col("_gap").isNull(), F.when(is_total, F.col("numerator_total")).otherwise(
+        ratio(F.col("numerator_total"), F.col("denominator_total"))))
+
+    def told(in_report: bool) -> Column:
+        ending = " not found" if in_report else " missing"
+        of_total = " not found in file" if in_report else " missing"
+        zero = (text("denominator sums to zero — check column ", named(denominator))
+                if in_report else F.lit("denominator is zero"))
+        kind = F.col("_gap")
         return (
-            F.when(is_total & missing_numerator, total_gap)
-            .when(missing_numerator, numerator_gap)
-            .when(~is_total & missing_denominator, denominator_gap)
-            .when(wrong_type, no_numbers)
-            .when(zero, zero_text)
+            F.when(kind.isNull(), None)
+            .when((kind == "numerator") & is_total, text("column ", named(numerator), of_total))
+            .when(kind == "numerator", text("numerator column ", named(numerator), ending))
+            .when(kind == "denominator", text("denominator column ", named(denominator), ending))
+            .when(kind == "numerator type", text("column ", named(numerator), " is not numeric"))
+            .when(kind == "denominator type", text("column ", named(denominator), " is not numeric"))
+            .when(kind == "zero", zero)
+            .when(F.lit(in_report), "not found in catalog")
         )
 
-    problem = choose(
-        text("column ", named(numerator), " missing"),
-        text("numerator column ", named(numerator), " missing"),
-        text("denominator column ", named(denominator), " missing"),
-        F.lit("denominator is zero"),
-    )
-    report_problem = F.when(~in_catalog, F.lit("not found in catalog")).otherwise(choose(
-        text("column ", named(numerator), " not found in file"),
-        text("numerator column ", named(numerator), " not found"),
-        text("denominator column ", named(denominator), " not found"),
-        text("denominator sums to zero — check column ", named(denominator)),
-    ))
-    value = F.when(
-        in_catalog & problem.isNull(),
-        F.when(is_total, numerator_total).otherwise(ratio(numerator_total, denominator_total)),
-    )
     checked = F.lit(True) if validate_totals else ~is_total
     shown = F.format_string("%.4f", value)
-    below = F.when(checked & (value < low),
-                   text("value ", shown, " below expected min ", plain_number(low)))
-    above = F.when(checked & (value > high),
-                   text("value ", shown, " above expected max ", plain_number(high)))
-    labelled = [text(kpi_id, ": ", f) for f in (report_problem, below, above)]
-    return F.struct(
-        round_kpi(value).alias("value"),
-        F.array_compact(F.array(F.when(in_catalog, problem), below, above)).alias("flags"),
-        F.array_compact(F.array(*labelled)).alias("report_flags"),
-    )
+    below = F.when(checked & (value < F.col("low")),
+                   text("value ", shown, " below expected min ", plain_number(F.col("low"))))
+    above = F.when(checked & (value > F.col("high")),
+                   text("value ", shown, " above expected max ", plain_number(F.col("high"))))
+    outside = F.array_compact(F.array(below, above))
+    with_texts = rows.withColumn("_gap", gap).withColumn("_value", computed).withColumns({
+        "_problem": told(in_report=False), "_report_problem": told(in_report=True),
+        "_outside": outside,
+    })
+    flagged = with_texts.withColumns({
+        "value": round_kpi(value),
+        "flags": F.concat(F.array_compact(F.array("_problem")), F.col("_outside")),
+        "report_flags": F.transform(
+            F.concat(F.array_compact(F.array("_report_problem")), F.col("_outside")),
+            lambda f: text(F.col("kpi_id"), ": ", f)),
+    })
+    return flagged.drop("_gap", "_value", "_problem", "_report_problem", "_outside", "is_total",
+                        "numerator", "denominator", "numerator_total", "denominator_total",
+                        "low", "high")
 
 
 def compute_kpis(facts: DataFrame, kpi_list: Sequence[str], catalog: dict[str, KpiDef],
@@ -153,34 +162,27 @@ def compute_kpis(facts: DataFrame, kpi_list: Sequence[str], catalog: dict[str, K
     """
     groups = [F.col(g) if isinstance(g, str) else g for g in group_by]
     headers, numeric = facts.columns, numeric_columns(facts)
-    needed = []
-    for kpi_id in kpi_list:
-        m = mapping.get(kpi_id, ColumnMapping())
-        needed += [c for c in (m.numerator, m.denominator_column) if c in numeric]
+    maps = [mapping.get(k, ColumnMapping()) for k in kpi_list]
+    needed = [c for m in maps for c in (m.numerator, m.denominator_column) if c in numeric]
     totals, where = column_totals(facts, needed, groups, exact)
     nothing = F.lit(None).cast("double")
-    results = []
-    for position, kpi_id in enumerate(kpi_list):
+    rows = []
+    for position, (kpi_id, m) in enumerate(zip(kpi_list, maps)):
         kpi = catalog.get(kpi_id)
-        m = mapping.get(kpi_id, ColumnMapping())
-        result = kpi_result(
-            F.lit(kpi_id), F.lit(kpi is not None),
-            F.lit(kpi is not None and kpi.denominator == NO_DENOMINATOR),
-            F.lit(m.numerator).cast("string"), F.lit(m.denominator_column).cast("string"),
-            where.get(m.numerator, nothing), where.get(m.denominator_column, nothing),
-            F.lit(kpi.min if kpi else None).cast("double"),
-            F.lit(kpi.max if kpi else None).cast("double"),
-            headers, numeric, validate_totals,
-        )
-        results.append(F.struct(
+        is_total = kpi is not None and kpi.denominator == NO_DENOMINATOR
+        rows.append(F.struct(
             F.lit(position).alias("position"), F.lit(kpi_id).alias("kpi_id"),
-            F.lit(kpi is not None).alias("in_catalog"), result.alias("result"),
+            F.lit(kpi is not None).alias("in_catalog"), F.lit(is_total).alias("is_total"),
+            F.lit(m.numerator).cast("string").alias("numerator"),
+            F.lit(m.denominator_column).cast("string").alias("denominator"),
+            where.get(m.numerator, nothing).alias("numerator_total"),
+            where.get(m.denominator_column, nothing).alias("denominator_total"),
+            F.lit(kpi.min if kpi else None).cast("double").alias("low"),
+            F.lit(kpi.max if kpi else None).cast("double").alias("high"),
         ))
     kept = [c for c in totals.columns if c != "_rows" and not c.startswith("_total")]
-    return (
-        totals.select(*kept, F.inline(F.array(*results)))
-        .select(*kept, "position", "kpi_id", "in_catalog", "result.*")
-    )
+    return evaluate(totals.select(*kept, F.inline(F.array(*rows))), headers, numeric,
+                    validate_totals)
 
 
 def mapped_columns(mapping: DataFrame, headers: Sequence[str]) -> list[str]:
@@ -226,15 +228,14 @@ def compute_requests(facts: DataFrame, requested: DataFrame, catalog: DataFrame,
         return F.when(F.col(column).isin(used),
                       F.coalesce(F.get("_sums", (place - 1).cast("int")), F.lit(0.0)))
 
-    in_catalog = F.coalesce("_known", F.lit(False))
-    result = kpi_result(
-        F.col("kpi_id"), in_catalog, F.coalesce(F.col("_den") == NO_DENOMINATOR, F.lit(False)),
-        F.col("_num_col"), F.col("_den_col"), summed("_num_col"), summed("_den_col"),
-        F.col("_low"), F.col("_high"), headers, numeric, validate_totals,
+    rows = plan.select(
+        key, "position", "kpi_id", F.coalesce("_known", F.lit(False)).alias("in_catalog"),
+        F.coalesce(F.col("_den") == NO_DENOMINATOR, F.lit(False)).alias("is_total"),
+        F.col("_num_col").alias("numerator"), F.col("_den_col").alias("denominator"),
+        summed("_num_col").alias("numerator_total"), summed("_den_col").alias("denominator_total"),
+        F.col("_low").alias("low"), F.col("_high").alias("high"),
     )
-    return plan.select(
-        key, "position", "kpi_id", in_catalog.alias("in_catalog"), result.alias("r"),
-    ).select(key, "position", "kpi_id", "in_catalog", "r.*")
+    return evaluate(rows, headers, numeric, validate_totals)
 
 
 def values_only(results: DataFrame) -> DataFrame:
