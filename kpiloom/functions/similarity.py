@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
 def name_score(header: str, candidate: str) -> float:
@@ -33,13 +33,7 @@ def best_candidate(header: str, candidates) -> tuple[float, int]:
     return best, where
 
 
-@F.pandas_udf("score double, candidate_pos int")
-def best_candidate_udf(header: pd.Series, candidates: pd.Series) -> pd.DataFrame:
-    scored = [best_candidate(h, c) for h, c in zip(header, candidates)]
-    return pd.DataFrame(scored, columns=["score", "candidate_pos"])
-
-
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def name_score_udf(header: pd.Series, candidate: pd.Series) -> pd.Series:
     return pd.Series([name_score(h, c) for h, c in zip(header, candidate)])
 

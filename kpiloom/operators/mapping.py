@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from kpiloom.functions.similarity import best_candidate
 from kpiloom.schemas import NO_DENOMINATOR, REVIEW_THRESHOLD
 
-import pandas as pd
+
+_SCORES = T.ArrayType(T.StructType([
+    T.StructField("kpi_id", T.StringType()), T.StructField("score", T.DoubleType()),
+    T.StructField("candidate_pos", T.IntegerType()),
+]))
 
 
-@F.pandas_udf("array<struct<kpi_id: string, score: double, candidate_pos: int>>")
+@F.pandas_udf(_SCORES)
 def _score_block(header: pd.Series, kpis: pd.Series) -> pd.Series:
     def scored(name, block):
         rows = []

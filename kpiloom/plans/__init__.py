@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-_MODULES = ["kpi_queries", "report_queries", "catalog_queries"]
+_MODULES = [
+    "kpi_queries", "report_queries", "catalog_queries", "mapping_queries", "governance_queries",
+]
 
 
 def load_queries() -> None:
