@@ -168,6 +168,10 @@ def duplicate_counts(df: DataFrame) -> DataFrame:
     )
 
 
+def _parsed_count(values: Column, pattern: str) -> Column:
+    return F.size(F.filter(values, lambda v: parses(v, pattern)))
+
+
 def profile_columns(df: DataFrame, order_by: Sequence[str] | None = None,
                     exact: bool = True) -> DataFrame:
     """One row per column: counts, samples in file order, detected type and suggested role.
@@ -194,8 +198,7 @@ def profile_columns(df: DataFrame, order_by: Sequence[str] | None = None,
     total, missing = F.coalesce("total", zero), F.coalesce("missing_count", zero)
     unique = F.coalesce("unique_count", zero)
     values = F.coalesce("first_values", F.array().cast("array<string>"))
-    sampled = F.greatest(*[
-        F.size(F.filter(values, lambda v, p=p: parses(v, p))) for p in DATE_FORMATS])
+    sampled = F.greatest(*[_parsed_count(values, p) for p in DATE_FORMATS])
     counted = total - missing
     like_date = F.col("is_text") & (counted > 0) & F.when(
         F.col("hinted"), F.col("parsed") >= counted * DATE_HINTED_RATE,

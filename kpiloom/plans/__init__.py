@@ -4,6 +4,7 @@ from importlib import import_module
 
 _MODULES = [
     "kpi_queries", "report_queries", "catalog_queries", "mapping_queries", "governance_queries",
+    "profile_queries", "ingest_queries",
 ]
 
 

@@ -73,7 +73,7 @@ def scan_delimited(spark: SparkSession, path: str | list[str],
     text = read_text_columns(spark, path, sep, multi_line)
     types = infer_types(text) if types is None else types
     return text.select(*[
-        quoted(c).alias(c) if isinstance(types.get(c, T.StringType()), T.StringType())
+        quoted(c).alias(c) if isinstance(types.get(c, T.StringType()), T.StringType)
         else F.trim(quoted(c)).try_cast(types[c]).alias(c)
         for c in text.columns
     ])
