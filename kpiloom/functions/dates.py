@@ -34,5 +34,9 @@ def grain(column: Column, granularity: str) -> Column:
 
 
 def parses(value: Column, pattern: str) -> Column:
-    """True where the text is a date in exactly this format."""
-    return F.try_to_timestamp(value, F.lit(pattern)).isNotNull()
+    """True where the text is a date in exactly this format.
+
+    Texts that are too long or hold no digit are ruled out before the parser sees them.
+    """
+    possible = (F.length(value) <= 40) & value.rlike("[0-9]")
+    return F.when(possible, F.try_to_timestamp(value, F.lit(pattern)).isNotNull()).otherwise(False)

@@ -27,8 +27,13 @@ def transcripts(messages: DataFrame, key: str = "conv_id", turn: str = "turn",
 
 
 def decode_answers(documents: DataFrame, column: str) -> DataFrame:
-    """Typed answers of an extraction document; unreadable JSON gives all nulls."""
-    return documents.withColumn("answers", F.from_json(column, fields(INTERVIEW_RESULT)))
+    """Typed answers of an extraction document; unreadable JSON gives all nulls.
+
+    Each text is parsed once: the one-row generator keeps the parser from being copied into every
+    filter and expression over the answers.
+    """
+    parsed = F.from_json(column, fields(INTERVIEW_RESULT))
+    return documents.select("*", F.explode(F.array(parsed)).alias("answers"))
 
 
 def progress(answers: Column) -> tuple[Column, Column, Column]:

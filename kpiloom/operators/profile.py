@@ -55,23 +55,63 @@ def has_date_hint(name: str) -> bool:
     return re.search(DATE_NAME_HINT, name) is not None
 
 
-def value_counts(df: DataFrame) -> DataFrame:
-    """Rows per (column position, value as text).
+def _key(column: Column, dtype: T.DataType) -> tuple[str, Column]:
+    """The value as it is counted, and its type: fixed-width where possible.
+
+    Long texts are represented by their SHA-256 so that they are not shuffled themselves.
+    """
+    if isinstance(dtype, _INTEGRAL + (T.BooleanType,)):
+        return "bigint", column.cast("bigint")
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return "double", present(column, dtype).cast("double") + F.lit(0.0)
+    if isinstance(dtype, _DATES):
+        return dtype.simpleString(), column
+    value = _text(column, dtype)
+    if isinstance(dtype, (T.StringType, T.BinaryType) + _NESTED):
+        value = F.when(F.length(value) > _LONG_TEXT,
+                       F.concat(F.lit("sha256:"), F.sha2(value, 256))).otherwise(value)
+    return "string", value
+
+
+def value_counts(df: DataFrame) -> dict[str, DataFrame]:
+    """Rows per (column position, value), one frame per value type.
 
     One row per column and value leaves each task, so a value that fills a third of the table
-    is one row by then. Long texts are represented by their SHA-256 so that they are not
-    shuffled themselves.
+    is one row by then. Each frame reads its own columns only.
     """
-    columns = []
+    kinds: dict[str, list[Column]] = {}
     for i, f in enumerate(df.schema.fields):
-        value = _text(quoted(f.name), f.dataType)
-        if isinstance(f.dataType, (T.StringType, T.BinaryType) + _NESTED):
-            value = F.when(F.length(value) > _LONG_TEXT,
-                           F.concat(F.lit("sha256:"), F.sha2(value, 256))).otherwise(value)
-        columns.append(value.alias(str(i)))
-    tall = df.select(*columns).unpivot(
-        [], [str(i) for i in range(len(columns))], "position", "value")
-    return tall.groupBy("position", "value").agg(F.count(F.lit(1)).alias("n"))
+        kind, value = _key(quoted(f.name), f.dataType)
+        kinds.setdefault(kind, []).append(value.alias(str(i)))
+    counted = {}
+    for kind, columns in kinds.items():
+        tall = df.select(*columns)
+        tall = tall.unpivot([], tall.columns, "position", "value")
+        counted[kind] = tall.groupBy("position", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counted
+
+
+def _exact_counts(df: DataFrame, hinted: list[str]) -> DataFrame:
+    n, parts = F.col("n"), []
+    for kind, counted in value_counts(df).items():
+        rates = [F.lit(0).cast("bigint")]
+        if kind == "string" and hinted:
+            rates += [F.sum(F.when(F.col("position").isin(hinted) & parses(F.col("value"), p), n)
+                            .otherwise(0)) for p in DATE_FORMATS]
+        parts.append(counted.groupBy("position").agg(
+            F.sum("n").alias("total"),
+            F.sum(F.when(F.col("value").isNull(), n).otherwise(0)).alias("missing_count"),
+            F.count("value").alias("unique_count"),
+            *[r.alias(f"_r{j}") for j, r in enumerate(rates[1:])],
+        ).select(
+            F.col("position").cast("int").alias("position"), "total", "missing_count", "unique_count",
+            (F.greatest(rates[0], *[F.col(f"_r{j}") for j in range(len(rates) - 1)])
+             if len(rates) > 1 else rates[0]).alias("parsed"),
+        ))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
 
 
 def _counts(df: DataFrame, exact: bool) -> DataFrame:
@@ -80,18 +120,7 @@ def _counts(df: DataFrame, exact: bool) -> DataFrame:
         if _is_text(f.dataType) and has_date_hint(f.name)
     ]
     if exact:
-        n = F.col("n")
-        rates = [
-            F.sum(F.when(F.col("position").isin(hinted) & parses(F.col("value"), p), n).otherwise(0))
-            for p in DATE_FORMATS
-        ] if hinted else [F.lit(0)]
-        counts = value_counts(df).groupBy("position").agg(
-            F.sum("n").alias("total"),
-            F.sum(F.when(F.col("value").isNull(), n).otherwise(0)).alias("missing_count"),
-            F.count("value").alias("unique_count"),
-            (F.greatest(*rates) if len(rates) > 1 else F.max(rates[0])).alias("parsed"),
-        )
-        return counts.withColumn("position", F.col("position").cast("int"))
+        return _exact_counts(df, hinted)
     columns, aggregates = [], []
     for i, f in enumerate(df.schema.fields):
         value = _text(quoted(f.name), f.dataType)

@@ -140,6 +140,17 @@ def generate_recipes(answers: DataFrame) -> DataFrame:
     )
 
 
+def layout_rows(recipes: DataFrame) -> DataFrame:
+    """One row per chart of each recipe.
+
+    The outer form is used because the plain one adds a filter that builds the layout again.
+    """
+    return (
+        recipes.select("upload_id", F.posexplode_outer("chart_layout").alias("position", "c"))
+        .where(F.col("position").isNotNull()).select("upload_id", "c.*", "position")
+    )
+
+
 def approve_recipes(recipes: DataFrame, approvals: DataFrame,
                     definitions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stamp approved recipes, and replace the KPI rows of those approved with a new config.

@@ -25,10 +25,16 @@ def format_tiles(tiles: DataFrame) -> DataFrame:
     return tiles.withColumn("display_value", formatted(F.col("value"), F.col("format")))
 
 
-def gather_tiles(tiles: DataFrame, key: str = "request_id") -> DataFrame:
-    """Tiles of each request as one array in KPI order, as long as the request's KPI list."""
+def gather_results(tiles: DataFrame, key: str = "request_id") -> DataFrame:
+    """Tiles and report flags of each request as arrays in KPI order.
+
+    Both are as long as the request's KPI list. A KPI outside the catalog has flags but no tile.
+    """
     tile = F.struct("position", "kpi_id", "display_name", "value", "format", "flags")
-    return tiles.groupBy(key).agg(F.sort_array(F.collect_list(tile)).alias("_tiles"))
+    return tiles.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.when(F.col("in_catalog"), tile))).alias("_tiles"),
+        F.sort_array(F.collect_list(F.struct("position", "report_flags"))).alias("_flags"),
+    )
 
 
 def _tile_fields(t: Column) -> Column:
@@ -37,7 +43,7 @@ def _tile_fields(t: Column) -> Column:
 
 def build_reports(requests: DataFrame, results: DataFrame, catalog: DataFrame,
                   templates: DataFrame, key: str = "request_id") -> DataFrame:
-    """Tiles and chart series per request.
+    """Tiles, chart series and report flags per request.
 
     Results are gathered once per request; a chart's series is then looked up inside the row,
     so neither charts nor series are exploded and regrouped. A KPI that was not computed leaves
@@ -45,10 +51,11 @@ def build_reports(requests: DataFrame, results: DataFrame, catalog: DataFrame,
     """
     charts = templates.select(F.col("template_id").alias("template_type"), "charts")
     joined = (
-        requests.join(gather_tiles(kpi_tiles(results, catalog), key), key, "left")
+        requests.join(gather_results(kpi_tiles(results, catalog), key), key, "left")
         .join(charts, "template_type", "left")
     )
     tiles = F.coalesce(F.transform("_tiles", _tile_fields), F.array())
+    flags = F.flatten(F.transform("_flags", lambda f: f["report_flags"]))
 
     def series(kpi_ids: Column) -> Column:
         return F.flatten(F.transform(
@@ -64,7 +71,9 @@ def build_reports(requests: DataFrame, results: DataFrame, catalog: DataFrame,
 
     return (
         joined.withColumn("kpi_tiles", tiles)
-        .withColumn("charts", F.coalesce(F.transform("charts", chart), F.array())).drop("_tiles")
+        .withColumn("charts", F.coalesce(F.transform("charts", chart), F.array()))
+        .withColumn("data_quality_flags", F.coalesce(flags, F.array().cast("array<string>")))
+        .drop("_tiles", "_flags")
     )
 
 
@@ -79,17 +88,11 @@ def chart_series(reports: DataFrame, key: str = "request_id") -> DataFrame:
     )
 
 
-def report_documents(reports: DataFrame, flags: DataFrame, key: str = "request_id") -> DataFrame:
+def report_documents(reports: DataFrame, key: str = "request_id") -> DataFrame:
     """One JSON document per request."""
-    body = F.struct(
-        "template_type", "client_id", "period_start", "period_end", "kpi_tiles", "charts",
-        F.coalesce("data_quality_flags", F.array().cast("array<string>"))
-        .alias("data_quality_flags"),
-    )
-    return (
-        reports.join(flags.select(key, "data_quality_flags"), key, "left")
-        .select(key, F.to_json(body, {"ignoreNullFields": "false"}).alias("document"))
-    )
+    body = F.struct("template_type", "client_id", "period_start", "period_end", "kpi_tiles",
+                    "charts", "data_quality_flags")
+    return reports.select(key, F.to_json(body, {"ignoreNullFields": "false"}).alias("document"))
 
 
 def ready_reports(requests: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kpiloom.operators import governance, kpi, recipe
-from kpiloom.plans.kpi_queries import SUPPLIER_KPIS, supplier_results
+from kpiloom.operators import governance, recipe
+from kpiloom.operators.interview import decode_answers
 from kpiloom.plans.registry import query
 from kpiloom.plans.tables import table
-from kpiloom.schemas import INTERVIEW_RESULT, TEMPLATE_IDS, fields
+from kpiloom.schemas import TEMPLATE_IDS
 from kpiloom.session import scratch_path
 from kpiloom.sources import sinks
 
@@ -185,8 +185,8 @@ def auto_approval(spark, sf_dir):
 
 def typed_answers(spark, sf_dir):
     """Interview answers complete enough for a recipe."""
-    parsed = table(spark, sf_dir, "answer_texts").withColumn(
-        "a", F.from_json("answer", fields(INTERVIEW_RESULT)))
+    parsed = decode_answers(table(spark, sf_dir, "answer_texts"), "answer").withColumnRenamed(
+        "answers", "a")
     complete = parsed.where("a.date_column IS NOT NULL AND a.kpis IS NOT NULL AND a.filters IS NOT NULL")
     return complete.select("upload_id", "dataset_id", "a.*")
 
@@ -213,8 +213,7 @@ _TITLE = "array_to_string(list_transform(string_split(replace(k.name, '_', ' '),
     FROM numbered_kpis n WHERE i <= 2 AND len(dimensions) > 0""", ANSWERS)
 def recipe_charts(spark, sf_dir):
     recipes = recipe.generate_recipes(typed_answers(spark, sf_dir))
-    return recipes.select("upload_id", F.posexplode("chart_layout").alias("position", "c")).select(
-        "upload_id", "c.*", "position")
+    return recipe.layout_rows(recipes)
 
 
 @query("recipe_columns", r"""

@@ -67,7 +67,7 @@ def formatted_tiles(spark, sf_dir):
 
 def supplier_reports(spark, sf_dir):
     return report.build_reports(
-        table(spark, sf_dir, "supplier_requests"), kpi.values_only(supplier_results(spark, sf_dir)),
+        table(spark, sf_dir, "supplier_requests"), supplier_results(spark, sf_dir),
         catalog_frame(spark), template_frame(spark))
 
 
@@ -88,8 +88,7 @@ def chart_series(spark, sf_dir):
 
 @query("report_document")
 def report_document(spark, sf_dir):
-    flags = kpi.report_flags(supplier_results(spark, sf_dir), ["request_id"])
-    return report.report_documents(supplier_reports(spark, sf_dir), flags)
+    return report.report_documents(supplier_reports(spark, sf_dir))
 
 
 @query("report_document_parts", """

@@ -8,6 +8,9 @@ from kpiloom.functions.text import normalise_headers
 from kpiloom.schemas import NULL_TOKENS
 
 _BOOLEAN_WORDS = ["True", "False", "TRUE", "FALSE", "true", "false"]
+# Checked by pattern before any cast: a failing number parse costs an exception per value.
+_WHOLE = r"^\s*[+-]?\d{1,18}\s*$"
+_NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI]nf(inity)?)\s*$"
 
 
 def null_token_as_null(column: Column) -> Column:
@@ -40,11 +43,10 @@ def infer_types(text: DataFrame) -> dict[str, T.DataType]:
     checks = []
     for i, name in enumerate(text.columns):
         value = quoted(name)
-        trimmed = F.trim(value)
         checks += [
             F.count(value).alias(f"n{i}"),
-            F.count(trimmed.try_cast("bigint")).alias(f"l{i}"),
-            F.count(trimmed.try_cast("double")).alias(f"d{i}"),
+            F.count_if(value.rlike(_WHOLE)).alias(f"l{i}"),
+            F.count_if(value.rlike(_NUMBER)).alias(f"d{i}"),
             F.count_if(value.isin(_BOOLEAN_WORDS)).alias(f"b{i}"),
         ]
     if not checks:
