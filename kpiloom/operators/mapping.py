@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -17,9 +19,13 @@ _SCORES = T.ArrayType(T.StructType([
 
 @F.pandas_udf(_SCORES)
 def _score_block(header: pd.Series, kpis: pd.Series) -> pd.Series:
-    def scored(name, block):
+    blocks: dict[str, list] = {}
+
+    def scored(name, text):
+        if text not in blocks:
+            blocks[text] = json.loads(text)
         rows = []
-        for kpi in block:
+        for kpi in blocks[text]:
             score, place = best_candidate(name, kpi["candidates"])
             if place >= 0:
                 rows.append({"kpi_id": kpi["kpi_id"], "score": score, "candidate_pos": place})
@@ -51,7 +57,7 @@ def header_scores(headers: DataFrame, catalog: DataFrame, block_size: int = 64,
     packed = (
         catalog.select(F.pmod(F.xxhash64("kpi_id"), F.lit(blocks)).cast("int").alias("block"),
                        F.struct("kpi_id", candidates().alias("candidates")).alias("kpi"))
-        .groupBy("block").agg(F.sort_array(F.collect_list("kpi")).alias("kpis"))
+        .groupBy("block").agg(F.to_json(F.sort_array(F.collect_list("kpi"))).alias("kpis"))
         .withColumn("salt", spread)
     )
     names = (

@@ -136,42 +136,108 @@ def _counts(df: DataFrame, exact: bool) -> DataFrame:
     return df.select(*columns).agg(F.array(*aggregates).alias("a")).select(F.inline("a"))
 
 
-def first_values(df: DataFrame, order_by: Sequence[str] | None = None,
-                 limits: dict[str, int] | None = None) -> DataFrame:
+def _order_number(df: DataFrame, column: str) -> Column | None:
+    dtype = df.schema[column].dataType
+    if isinstance(dtype, _INTEGRAL + (T.FloatType, T.DoubleType)):
+        return quoted(column)
+    return None
+
+
+def _opening(df: DataFrame, order_by: Sequence[str], limits: dict[str, int],
+             first_width: int = 1 << 12, widen: int = 1 << 10) -> dict[str, DataFrame]:
+    """For each column a frame that surely holds its first non-missing values.
+
+    Looks at the rows whose leading order number lies within a width of the smallest one, and
+    widens for the columns that have too few values there. The bound is a plain filter on the
+    order column, so files and row groups past the opening are not read. Columns that stay short
+    get the whole table.
+    """
+    number = _order_number(df, order_by[0])
+    frames = {c: df for c in limits}
+    if number is None:
+        return frames
+    ends = df.agg(F.min(number).alias("low"), F.max(number).alias("high")).first()
+    if ends["low"] is None or ends["low"] != ends["low"] or ends["high"] != ends["high"]:
+        return frames
+    width, open_columns = first_width, list(limits)
+    while open_columns and ends["low"] + width < ends["high"]:
+        part = df.where(number.isNull() | (number <= ends["low"] + width))
+        held = part.agg(*[F.count(_text(quoted(c), df.schema[c].dataType)).alias(f"n{i}")
+                          for i, c in enumerate(open_columns)]).first()
+        full = [c for i, c in enumerate(open_columns) if held[f"n{i}"] >= limits[c]]
+        frames.update({c: part for c in full})
+        open_columns = [c for c in open_columns if c not in full]
+        width *= widen
+    return frames
+
+
+def _top(df: DataFrame, order_by: Sequence[str], column: str, k: int) -> DataFrame:
+    names = [f"_o{j}" for j in range(len(order_by))]
+    keys = [quoted(c).alias(n) for c, n in zip(order_by, names)]
+    value = _text(quoted(column), df.schema[column].dataType)
+    return (
+        df.select(*keys, value.alias("value")).where(F.col("value").isNotNull())
+        .orderBy(*names, "value").limit(k).select(F.struct(*names, "value").alias("v"))
+    )
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def in_scan_order(df: DataFrame) -> DataFrame:
+    return df.withColumn("_scan_order", F.monotonically_increasing_id())
+
+
+def first_values(df: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
     """First non-missing values of each column in file order, as ordered arrays.
 
-    Each column is a top-k of its own: it reads that column and the ordering columns only, and
-    at most k rows leave each task. Without ``order_by`` the scan order is used.
+    Each column is a top-k of its own over the opening rows of the table: it reads that column
+    and the ordering columns only. Without ``order_by`` the scan order is used.
     """
+    columns = list(df.columns)
     if not order_by:
-        df = df.withColumn("_scan_order", F.monotonically_increasing_id())
-        order_by = ["_scan_order"]
-    parts = []
-    for i, f in enumerate(df.schema.fields):
-        if f.name == "_scan_order":
-            continue
-        keys = [quoted(c).alias(f"_o{j}") for j, c in enumerate(order_by)]
-        k = (limits or {}).get(f.name, SAMPLES)
-        if k <= 0:
-            continue
-        names = [f"_o{j}" for j in range(len(order_by))]
-        part = (
-            df.select(*keys, _text(quoted(f.name), f.dataType).alias("value"))
-            .where(F.col("value").isNotNull()).orderBy(*names, "value").limit(k)
-        )
-        parts.append(part.select(F.lit(i).alias("position"), F.struct(*names, "value").alias("v")))
-    tall = parts[0]
-    for part in parts[1:]:
-        tall = tall.unionByName(part)
+        df, order_by = in_scan_order(df), ["_scan_order"]
+    frames = _opening(df, order_by, {c: SAMPLES for c in columns})
+    tall = _union([
+        _top(frames[c], order_by, c, SAMPLES).withColumn("position", F.lit(i))
+        for i, c in enumerate(columns)])
+    return tall.groupBy("position").agg(
+        F.transform(F.sort_array(F.collect_list("v")), lambda v: v["value"]).alias("sample_values"))
+
+
+def date_samples(df: DataFrame, columns: Sequence[str],
+                 order_by: Sequence[str] | None = None) -> DataFrame:
+    """How many of a text column's first values there are, and how many fit its best date format.
+
+    A text too long for any date is counted by a mark instead of being carried along.
+    """
+    place = {c: i for i, c in enumerate(df.columns)}
+    if not order_by:
+        df, order_by = in_scan_order(df), ["_scan_order"]
+    short = df.withColumns({
+        f"_short{place[c]}": F.when(F.length(quoted(c)) > 40, "-").otherwise(quoted(c))
+        for c in columns})
+    names = {c: f"_short{place[c]}" for c in columns}
+    frames = _opening(short, order_by, {n: DATE_SAMPLE for n in names.values()})
+    tall = _union([
+        _top(frames[names[c]], order_by, names[c], DATE_SAMPLE)
+        .select(F.lit(place[c]).alias("position"), "v.value") for c in columns])
+    fitting = [F.count_if(parses(F.col("value"), p)) for p in DATE_FORMATS]
     return tall.groupBy("position").agg(
-        F.transform(F.sort_array(F.collect_list("v")), lambda v: v["value"]).alias("first_values"))
+        F.count(F.lit(1)).alias("sampled"), F.greatest(*fitting).alias("sampled_dates"))
 
 
-def duplicate_counts(df: DataFrame) -> DataFrame:
+def duplicate_counts(df: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Row count and number of rows that repeat an earlier one; one row.
 
-    Rows are first counted by a 128-bit fingerprint, so 16 bytes a row are shuffled instead
-    of the row. Only rows whose fingerprint occurs more than once are compared in full.
+    Rows are first counted by a 128-bit fingerprint, so 16 bytes a row are shuffled instead of
+    the row. Without a repeated fingerprint that is the answer. Otherwise the rows behind the
+    repeated ones are compared in full: their fingerprints are broadcast when counted to be few
+    (copies then collapse within each task), and joined by shuffle when they are many.
     """
     comparable = df.select(*[
         (F.to_json(quoted(f.name)) if isinstance(f.dataType, T.MapType) else quoted(f.name))
@@ -181,24 +247,22 @@ def duplicate_counts(df: DataFrame) -> DataFrame:
     marked = comparable.withColumns({
         "_h1": F.xxhash64(*names), "_h2": F.xxhash64(F.lit("second"), *names)})
     groups = marked.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
-    repeated = groups.where(F.col("_n") > 1).select("_h1", "_h2")
-    distinct_again = (
-        marked.join(repeated, ["_h1", "_h2"], "left_semi").drop("_h1", "_h2").distinct()
-        .agg(F.count(F.lit(1)).alias("distinct_rows"))
-        .select(F.lit(0).cast("bigint").alias("row_count"), "distinct_rows")
-    )
-    once = groups.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
-        F.count_if(F.col("_n") == 1).alias("distinct_rows"),
+    seen = groups.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count_if(F.col("_n") == 1).alias("once"),
+        F.count_if(F.col("_n") > 1).alias("repeated"),
+    ).first()
+    rows, once, repeated = seen["rows"], seen["once"], seen["repeated"]
+    if repeated == 0:
+        return df.sparkSession.createDataFrame(
+            [(rows, 0)], "row_count bigint, duplicate_row_count bigint")
+    again = groups.where(F.col("_n") > 1).select("_h1", "_h2")
+    if repeated <= broadcast_rows:
+        again = F.broadcast(again)
+    compared = marked.join(again, ["_h1", "_h2"], "left_semi").drop("_h1", "_h2").distinct()
+    return compared.agg(F.count(F.lit(1)).alias("_distinct")).select(
+        F.lit(rows).cast("bigint").alias("row_count"),
+        (F.lit(rows - once) - F.col("_distinct")).cast("bigint").alias("duplicate_row_count"),
     )
-    return once.unionByName(distinct_again).agg(
-        F.sum("row_count").alias("row_count"),
-        (F.sum("row_count") - F.sum("distinct_rows")).alias("duplicate_row_count"),
-    )
-
-
-def _parsed_count(values: Column, pattern: str) -> Column:
-    return F.size(F.filter(values, lambda v: parses(v, pattern)))
 
 
 def profile_columns(df: DataFrame, order_by: Sequence[str] | None = None,
@@ -214,24 +278,26 @@ def profile_columns(df: DataFrame, order_by: Sequence[str] | None = None,
          for i, f in enumerate(df.schema.fields)],
         "position int, name string, dtype string, is_text boolean, hinted boolean",
     )
-    limits = {
-        f.name: DATE_SAMPLE
-        for f in df.schema.fields
-        if isinstance(f.dataType, T.StringType) and not has_date_hint(f.name)
-    }
+    texts = [f.name for f in df.schema.fields
+             if isinstance(f.dataType, T.StringType) and not has_date_hint(f.name)]
     joined = (
         meta.join(_counts(df, exact), "position", "left")
-        .join(first_values(df, order_by, limits), "position", "left")
+        .join(first_values(df, order_by), "position", "left")
     )
+    if texts:
+        joined = joined.join(date_samples(df, texts, order_by), "position", "left")
+    else:
+        joined = joined.withColumns({"sampled": F.lit(None).cast("bigint"),
+                                     "sampled_dates": F.lit(None).cast("bigint")})
     zero = F.lit(0).cast("bigint")
     total, missing = F.coalesce("total", zero), F.coalesce("missing_count", zero)
     unique = F.coalesce("unique_count", zero)
-    values = F.coalesce("first_values", F.array().cast("array<string>"))
-    sampled = F.greatest(*[_parsed_count(values, p) for p in DATE_FORMATS])
+    values = F.coalesce("sample_values", F.array().cast("array<string>"))
     counted = total - missing
     like_date = F.col("is_text") & (counted > 0) & F.when(
         F.col("hinted"), F.col("parsed") >= counted * DATE_HINTED_RATE,
-    ).otherwise(sampled >= F.size(values) * DATE_SAMPLE_RATE)
+    ).otherwise(F.coalesce(F.col("sampled_dates") >= F.col("sampled") * DATE_SAMPLE_RATE,
+                           F.lit(False)))
     has_gaps = missing > 0
     raw = (
         F.when((F.col("dtype") == "int64") & has_gaps, "float64")
@@ -253,7 +319,7 @@ def profile_columns(df: DataFrame, order_by: Sequence[str] | None = None,
     return joined.withColumn("detected_type", detected).select(
         "position", "name", raw.alias("raw_dtype"), "detected_type",
         role.alias("suggested_role"), missing.alias("missing_count"), pct.alias("missing_pct"),
-        unique.alias("unique_count"), F.slice(values, 1, SAMPLES).alias("sample_values"),
+        unique.alias("unique_count"), values.alias("sample_values"),
     )
 
 

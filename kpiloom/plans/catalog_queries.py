@@ -79,7 +79,7 @@ SLUGS = {
     "existing": """
         SELECT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_')
                || CASE WHEN p_size % 3 = 0 THEN '' ELSE '_' || CAST(p_size % 7 + 2 AS STRING) END AS kpi_id
-        FROM part WHERE p_partkey % 5 = 0""",
+        FROM part WHERE p_type = 'ECONOMY'""",
     "blocked": """
         SELECT DISTINCT slug, n FROM (
             SELECT kpi_id AS slug, 1 AS n FROM existing
@@ -104,7 +104,7 @@ SLUGS = {
     FROM arrivals a JOIN free f ON f.slug = a.slug AND f.k = a.k
     UNION ALL SELECT seq, slug, NULL FROM slugs WHERE slug = ''""", SLUGS)
 def kpi_slugs(spark, sf_dir):
-    part = table(spark, sf_dir, "part").where("p_partkey % 5 = 0")
+    part = table(spark, sf_dir, "part").where("p_type = 'ECONOMY'")
     base = F.regexp_replace(F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     existing = part.select(F.concat(base, F.when(F.col("p_size") % 3 == 0, "").otherwise(
         F.concat(F.lit("_"), (F.col("p_size") % 7 + 2).cast("string")))).alias("kpi_id"))
@@ -187,7 +187,7 @@ def control_json_decode(spark, sf_dir):
 
 
 INCOMING = {
-    "existing_kpis": "SELECT kpi_id FROM part_catalog WHERE p_partkey % 2 = 0",
+    "existing_kpis": "SELECT kpi_id FROM part_catalog WHERE p_size > 25",
     "incoming": """SELECT 'kpi_' || CAST(o_custkey AS STRING) AS kpi_id, o_orderkey AS seq, o_orderstatus AS format FROM orders""",
     "firsts": """SELECT kpi_id, MIN(seq) AS seq FROM incoming WHERE kpi_id NOT IN (SELECT kpi_id FROM existing_kpis) GROUP BY kpi_id""",
 }
@@ -197,7 +197,7 @@ INCOMING = {
     SELECT i.seq, i.kpi_id, i.format, CASE WHEN f.seq IS NULL THEN 'KPI ''' || i.kpi_id || ''' already exists.' END AS error
     FROM incoming i LEFT JOIN firsts f ON f.kpi_id = i.kpi_id AND f.seq = i.seq""", INCOMING)
 def catalog_insert_if_absent(spark, sf_dir):
-    existing = table(spark, sf_dir, "part_catalog").where("p_partkey % 2 = 0")
+    existing = table(spark, sf_dir, "part_catalog").where("p_size > 25")
     incoming = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("kpi_"), F.col("o_custkey").cast("string")).alias("kpi_id"),
         F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("format"))

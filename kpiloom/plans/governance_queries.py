@@ -164,7 +164,7 @@ def step_log(spark, sf_dir):
     FROM (SELECT CAST(o_orderkey AS STRING) AS request_id, 'client_' || CAST(o_custkey AS STRING) AS client_id,
                  o_orderstatus AS h, o_custkey % 2 AS k, o_orderkey % 4 AS flag_count, o_orderkey % 3 AS range_count FROM orders) r
     LEFT JOIN (SELECT 'client_' || CAST(c_custkey AS STRING) AS client_id, CASE WHEN c_nationkey % 2 = 0 THEN 'F' ELSE 'O' END AS h,
-                      c_nationkey % 2 AS k FROM customer WHERE c_custkey % 3 <> 0) m ON m.client_id = r.client_id""")
+                      c_nationkey % 2 AS k FROM customer WHERE c_mktsegment <> 'BUILDING') m ON m.client_id = r.client_id""")
 def auto_approval(spark, sf_dir):
     def pack(h, k):
         return (F.array(F.lit("date"), h).alias("headers"),
@@ -174,7 +174,7 @@ def auto_approval(spark, sf_dir):
     requests = orders.select(
         "request_id", F.concat(F.lit("client_"), F.col("o_custkey").cast("string")).alias("client_id"),
         F.lit("wbr_qbr").alias("template_type"), *pack(F.col("o_orderstatus"), F.col("o_custkey") % 2))
-    memory = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(
+    memory = table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'").select(
         F.concat(F.lit("client_"), F.col("c_custkey").cast("string")).alias("client_id"),
         F.lit("wbr_qbr").alias("template_type"),
         *pack(F.when(F.col("c_nationkey") % 2 == 0, "F").otherwise("O"), (F.col("c_nationkey") % 2)))
@@ -193,11 +193,12 @@ def typed_answers(spark, sf_dir):
 
 ANSWERS = {
     "typed_answers": """
-        SELECT upload_id, dataset_id, answer::JSON AS a,
-               COALESCE(from_json(answer::JSON->'kpis', '[{"name": "VARCHAR", "formula": "VARCHAR"}]'), []) AS kpis,
-               COALESCE(from_json(answer::JSON->'dimensions', '["VARCHAR"]'), []) AS dimensions,
-               COALESCE(from_json(answer::JSON->'filters', '["VARCHAR"]'), []) AS filters
-        FROM answer_texts WHERE upload_id % 13 <> 0 AND upload_id % 5 <> 0 AND upload_id % 3 <> 0""",
+        SELECT upload_id, dataset_id, a,
+               COALESCE(from_json(a->'kpis', '[{"name": "VARCHAR", "formula": "VARCHAR"}]'), []) AS kpis,
+               COALESCE(from_json(a->'dimensions', '["VARCHAR"]'), []) AS dimensions,
+               COALESCE(from_json(a->'filters', '["VARCHAR"]'), []) AS filters
+        FROM (SELECT *, CASE WHEN json_valid(answer) THEN answer::JSON END AS a FROM answer_texts)
+        WHERE a->>'date_column' IS NOT NULL AND a->>'kpis' IS NOT NULL AND a->>'filters' IS NOT NULL""",
     "numbered_kpis": """
         SELECT upload_id, dimensions, unnest(kpis) AS k, generate_subscripts(kpis, 1) AS i FROM typed_answers""",
 }
@@ -252,7 +253,7 @@ def chart_titles(spark, sf_dir):
 
 
 RECIPES = {
-    "approved": "SELECT user_id AS recipe_id, event_id, ts, event_type FROM events WHERE event_id % 7 = 0 AND event_id < 700000000",
+    "approved": "SELECT user_id AS recipe_id, event_id, ts, event_type FROM events WHERE event_type <> 'error'",
     "last_approved": """
         SELECT recipe_id, MAX(event_id) AS event_id, arg_max(ts, event_id) AS ts, arg_max(event_type, event_id) AS event_type
         FROM approved GROUP BY recipe_id""",
@@ -261,7 +262,7 @@ RECIPES = {
 
 def recipe_approvals(spark, sf_dir):
     one = F.array(F.struct(F.concat(F.lit("edited_"), "event_type").alias("name"), F.lit("a / b").alias("formula")))
-    last = table(spark, sf_dir, "events").where("event_id % 7 = 0").groupBy(
+    last = table(spark, sf_dir, "events").where("event_type <> 'error'").groupBy(
         F.col("user_id").alias("recipe_id")).agg(
         F.max(F.struct("event_id", "ts", "event_type")).alias("e")).select("recipe_id", "e.*")
     approvals = last.select(

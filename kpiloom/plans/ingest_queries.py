@@ -105,17 +105,18 @@ def tenant_partitions(spark, sf_dir):
 
 
 @query("staged_table", """
-    SELECT o_orderkey, o_totalprice, o_custkey % 10 AS upload_id FROM orders WHERE o_custkey % 10 <> 3
-    UNION ALL SELECT o_orderkey, 0.0, 3 FROM orders WHERE o_custkey % 10 = 3 AND o_orderstatus = 'F'""")
+    SELECT o_orderkey, o_totalprice, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS upload_id
+    FROM orders WHERE o_orderpriority <> '3-MEDIUM'
+    UNION ALL SELECT o_orderkey, 0.0, 3 FROM orders WHERE o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'F'""")
 def staged_table(spark, sf_dir):
     """Many uploads staged, then one of them staged again."""
     path = scratch_path(spark, "staged")
-    rows = table(spark, sf_dir, "orders").withColumn("upload_id", F.col("o_custkey") % 10).select(
+    rows = table(spark, sf_dir, "orders").withColumn("upload_id", F.substring("o_orderpriority", 1, 1).cast("int")).select(
         "o_orderkey", "o_totalprice", "o_orderstatus", "upload_id")
     staging.stage_many(rows, path)
     again = rows.where("upload_id = 3 AND o_orderstatus = 'F'").withColumn("o_totalprice", F.lit(0.0))
     staging.stage_many(again, path)
-    return spark.read.parquet(path).select("o_orderkey", "o_totalprice", F.col("upload_id").cast("bigint").alias("upload_id"))
+    return spark.read.parquet(path).select("o_orderkey", "o_totalprice", "upload_id")
 
 
 @query("staging_registry", """

@@ -117,7 +117,7 @@ def dated_orders(spark, sf_dir):
 def gappy_events(spark, sf_dir):
     return table(spark, sf_dir, "events").select(
         "event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("value"),
-        F.when(F.col("event_id") % 2 == 0, F.col("props")).alias("props"), "event_type")
+        F.when(F.col("value") >= 20, F.col("props")).alias("props"), "event_type")
 
 
 @query("high_missing_columns", """
@@ -125,7 +125,7 @@ def gappy_events(spark, sf_dir):
            pct > 20 AS high_missing
     FROM (SELECT unnest(['event_id', 'value', 'props', 'event_type']) AS name, unnest([0.0::DOUBLE,
               ROUND(COUNT(*) FILTER (event_type = 'error') * 100 / COUNT(*), 2),
-              ROUND(COUNT(*) FILTER (event_id % 2 <> 0) * 100 / COUNT(*), 2), 0.0::DOUBLE]) AS pct FROM events)""")
+              ROUND(COUNT(*) FILTER (NOT value >= 20) * 100 / COUNT(*), 2), 0.0::DOUBLE]) AS pct FROM events)""")
 def high_missing_columns(spark, sf_dir):
     profiled = profile.profile_columns(gappy_events(spark, sf_dir), ["event_id"])
     return profile.missing_warnings(profiled).select("name", "missing_pct", "missing_text", "high_missing")
@@ -162,10 +162,10 @@ def duplicate_line_items(spark, sf_dir):
         SELECT event_id, CAST({c} AS VARCHAR) AS v FROM events
         WHERE {c} IS NOT NULL {w} ORDER BY event_id LIMIT 5)"""
     for i, (c, w) in enumerate([("event_id", ""), ("value", "AND event_type <> 'error'"),
-                                ("props", "AND event_id % 2 = 0"), ("event_type", "")])))
+                                ("props", "AND value >= 20"), ("event_type", "")])))
 def first_samples(spark, sf_dir):
     firsts = profile.first_values(gappy_events(spark, sf_dir), ["event_id"])
-    return firsts.select("position", F.array_join("first_values", " | ").alias("samples"))
+    return firsts.select("position", F.array_join("sample_values", " | ").alias("samples"))
 
 
 @query("role_overrides", """

@@ -206,13 +206,13 @@ def ready_reports(spark, sf_dir):
     SELECT k.request_id, k.kpi_id, COALESCE(o.v, k.value) AS value, o.v IS NOT NULL AS overridden
     FROM supplier_kpis k
     LEFT JOIN (SELECT CAST(s_suppkey AS STRING) AS request_id, 'gross_sales' AS kpi_id, s_acctbal AS v
-               FROM supplier WHERE s_nationkey % 2 = 0
+               FROM supplier WHERE s_acctbal > 5000
                UNION ALL SELECT CAST(s_suppkey AS STRING), 'units_sold', CAST(s_nationkey AS DOUBLE)
-               FROM supplier WHERE s_nationkey % 2 = 0) o
+               FROM supplier WHERE s_acctbal > 5000) o
       ON o.request_id = k.request_id AND o.kpi_id = k.kpi_id
     WHERE k.in_catalog""", SUPPLIER_KPIS)
 def overrides_applied(spark, sf_dir):
-    entries = table(spark, sf_dir, "supplier").where("s_nationkey % 2 = 0").select(
+    entries = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(
         F.col("s_suppkey").cast("string").alias("request_id"),
         F.create_map(F.lit("gross_sales"), F.col("s_acctbal"),
                      F.lit("units_sold"), F.col("s_nationkey").cast("double")).alias("overrides"))

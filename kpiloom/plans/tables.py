@@ -41,11 +41,11 @@ DERIVED = {
         UNION ALL
         SELECT CAST(o_orderkey AS STRING), 1, 'kpi_' || CAST(o_orderkey + 2 AS STRING) FROM orders
         UNION ALL
-        SELECT CAST(o_orderkey AS STRING), 2, 'kpi_1' FROM orders WHERE o_orderkey % 3 = 0""",
+        SELECT CAST(o_orderkey AS STRING), 2, 'kpi_1' FROM orders WHERE o_orderstatus = 'F'""",
     "request_lists": """
         SELECT CAST(o_orderkey AS STRING) AS request_id,
                'kpi_' || CAST(o_custkey AS STRING) || ',kpi_' || CAST(o_orderkey + 2 AS STRING)
-               || CASE WHEN o_orderkey % 3 = 0 THEN ',kpi_1' ELSE '' END AS kpis
+               || CASE WHEN o_orderstatus = 'F' THEN ',kpi_1' ELSE '' END AS kpis
         FROM orders""",
     # A governed catalog: one KPI per part.
     "part_catalog": """
@@ -93,12 +93,12 @@ DERIVED = {
         SELECT o_orderkey AS upload_id,
                CASE WHEN o_custkey % 5 = 0 THEN 'no header in file ' || CAST(o_orderkey AS STRING)
                     END AS error_message
-        FROM orders WHERE o_custkey % 3 <> 0""",
+        FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED'""",
     "staging": """
         SELECT o_orderkey AS upload_id,
                CASE WHEN o_custkey % 4 = 0 THEN NULL
                     ELSE '{"rows": ' || CAST(o_custkey AS STRING) || '}' END AS profile_data
-        FROM orders WHERE o_orderkey % 5 <> 0""",
+        FROM orders WHERE o_orderpriority <> '5-LOW'""",
     # File headers: the part names each order lists, in line order.
     "file_headers": """
         SELECT l_orderkey AS upload_id, MIN(l_linenumber) AS position, p_name AS header
@@ -116,15 +116,15 @@ DERIVED = {
         SELECT CAST(o_orderkey AS STRING) AS request_id, 'kpi_' || CAST(o_custkey AS STRING) AS kpi_id,
                'col_' || o_orderpriority AS raw_column,
                CAST(o_orderkey % 100 AS STRING) AS confidence
-        FROM orders WHERE o_orderkey % 3 <> 0""",
+        FROM orders WHERE o_orderstatus <> 'F'""",
     "mapping_incoming": """
         SELECT CAST(o_orderkey AS STRING) AS request_id, 'kpi_' || CAST(o_custkey AS STRING) AS kpi_id,
                'den_' || o_orderstatus AS denominator_column, o_orderkey % 4 = 0 AS clears_raw
-        FROM orders WHERE o_orderkey % 2 = 0""",
+        FROM orders WHERE o_totalprice > 200000""",
     "memory": """
         SELECT 'client_' || CAST(c_custkey AS STRING) AS client_id, 'wbr_qbr' AS template_type,
                'stored ' || c_mktsegment AS mappings, 'reviewer' AS approved_by,
-               c_nationkey AS use_count FROM customer WHERE c_custkey % 4 <> 0""",
+               c_nationkey AS use_count FROM customer WHERE c_mktsegment <> 'BUILDING'""",
     "approvals": """
         SELECT 'client_' || CAST(o_custkey AS STRING) AS client_id,
                CASE WHEN o_orderkey % 2 = 0 THEN 'wbr_qbr' ELSE 'exec_scorecard' END AS template_type,
@@ -180,14 +180,14 @@ DERIVED = {
 
 _SUPPLIER_LIST = [
     # position, kpi_id, numerator_column, denominator_column, suppliers that ask for it
-    (0, "gross_sales", "l_extendedprice", None, "s_suppkey % 2 = 0"),
-    (1, "avg_unit_price", "l_extendedprice", "l_quantity", "s_suppkey % 7 <> 0"),
-    (2, "tax_to_discount", "l_tax", "l_discount", "s_suppkey % 3 <> 0"),
-    (3, "zero_den", "l_quantity", "zero", "s_suppkey % 5 = 0"),
-    (4, "missing_den", "l_quantity", None, "s_suppkey % 4 = 0"),
-    (5, "missing_num", "no_such_column", None, "s_suppkey % 6 = 0"),
-    (6, "not_in_catalog", "l_quantity", None, "s_suppkey % 9 = 0"),
-    (7, "units_sold", "l_quantity", None, "s_suppkey % 8 <> 0"),
+    (0, "gross_sales", "l_extendedprice", None, "s_acctbal > 3000"),
+    (1, "avg_unit_price", "l_extendedprice", "l_quantity", "s_nationkey <> 3"),
+    (2, "tax_to_discount", "l_tax", "l_discount", "s_nationkey > 5"),
+    (3, "zero_den", "l_quantity", "zero", "s_acctbal > 7000"),
+    (4, "missing_den", "l_quantity", None, "s_nationkey < 8"),
+    (5, "missing_num", "no_such_column", None, "s_acctbal < 2000"),
+    (6, "not_in_catalog", "l_quantity", None, "s_nationkey > 20"),
+    (7, "units_sold", "l_quantity", None, "s_acctbal < 9000"),
 ]
 
 

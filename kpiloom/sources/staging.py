@@ -13,9 +13,12 @@ def stage(df: DataFrame, root: str, upload_id: int) -> str:
 
 
 def stage_many(df: DataFrame, path: str, key: str = "upload_id") -> None:
-    """Write many uploads of one layout at once, replacing only the uploads present."""
+    """Write many uploads of one layout at once, replacing only the uploads present.
+
+    Rebalanced by upload, so that small uploads get one file and a large one is split.
+    """
     (
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        df.hint("rebalance", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(key).parquet(path)
     )
 
@@ -34,14 +37,12 @@ def registry_row(profile: DataFrame, counts: DataFrame, client_id: str, upload_i
                 "missing_count", "missing_pct", "unique_count", "sample_values"))),
             lambda c: c.dropFields("position"),
         )).alias("profile_data"),
-    ).withColumn("upload_id", F.lit(upload_id))
-    return (
-        counts.withColumn("upload_id", F.lit(upload_id)).join(columns, "upload_id")
-        .select(
-            F.lit(client_id).alias("client_id"), "upload_id",
-            F.lit(f"staging_{upload_id}").alias("table_name"),
-            "row_count", "column_count", "duplicate_row_count", "profile_data",
-        )
+    )
+    one = columns.unionByName(counts, allowMissingColumns=True)
+    return one.agg(*[F.max(c).alias(c) for c in one.columns]).select(
+        F.lit(client_id).alias("client_id"), F.lit(upload_id).alias("upload_id"),
+        F.lit(f"staging_{upload_id}").alias("table_name"),
+        "row_count", "column_count", "duplicate_row_count", "profile_data",
     )
 
 

@@ -52,11 +52,12 @@ def write_tenant_layout(df: DataFrame, path: str,
                         max_records_per_file: int = 5_000_000) -> None:
     """Partitioned table per tenant and dataset.
 
-    Rows are left where they are, so a tenant with a third of all rows is written by many
-    tasks at once; the record limit keeps single files of a large tenant readable in parallel.
+    Rows are rebalanced by tenant: small tenants share a task and get one file, and a tenant with
+    a third of all rows is split over as many tasks as its size asks for. The record limit keeps
+    single files readable in parallel.
     """
     (
-        df.write.mode("overwrite").partitionBy(*keys)
+        df.hint("rebalance", *keys).write.mode("overwrite").partitionBy(*keys)
         .option("maxRecordsPerFile", max_records_per_file).parquet(path)
     )
 
