@@ -76,6 +76,7 @@ def formula_kpis(facts: DataFrame, kpis: Sequence[tuple[str, str]],
     rows = []
     for position, (name, formula) in enumerate(kpis):
         columns = formula_columns(formula)
+        formula_value(formula, {c: F.lit(0.0) for c in columns})  # refuses other than arithmetic
         gaps = [c for c in columns if c not in numeric]
         if gaps:
             text = "missing" if gaps[0] not in facts.columns else "is not numeric"
