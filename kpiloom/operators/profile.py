@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from kpiloom.functions.dates import DATE_FORMATS, DATE_NAME_HINT, parses
 from kpiloom.functions.numbers import is_numeric, present
@@ -143,69 +143,81 @@ def _order_number(df: DataFrame, column: str) -> Column | None:
     return None
 
 
-def _opening(df: DataFrame, order_by: Sequence[str], limits: dict[str, int],
-             first_width: int = 1 << 12, widen: int = 1 << 10) -> dict[str, DataFrame]:
-    """For each column a frame that surely holds its first non-missing values.
+def _openings(df: DataFrame, order_by: Sequence[str], columns: Sequence[str], k: int,
+              first_width: int = 1 << 12, widen: int = 1 << 10,
+              ) -> tuple[list[tuple[DataFrame, list[str]]], list[str]]:
+    """Frames that surely hold the first k non-missing values of the columns beside them.
 
     Looks at the rows whose leading order number lies within a width of the smallest one, and
     widens for the columns that have too few values there. The bound is a plain filter on the
     order column, so files and row groups past the opening are not read. Columns that stay short
-    get the whole table.
+    come second.
     """
     number = _order_number(df, order_by[0])
-    frames = {c: df for c in limits}
+    open_columns = list(columns)
     if number is None:
-        return frames
+        return [], open_columns
     ends = df.agg(F.min(number).alias("low"), F.max(number).alias("high")).first()
     if ends["low"] is None or ends["low"] != ends["low"] or ends["high"] != ends["high"]:
-        return frames
-    width, open_columns = first_width, list(limits)
+        return [], open_columns
+    if ends["low"] + first_width >= ends["high"]:
+        return [(df, open_columns)], []
+    width, found = first_width, []
     while open_columns and ends["low"] + width < ends["high"]:
         part = df.where(number.isNull() | (number <= ends["low"] + width))
         held = part.agg(*[F.count(_text(quoted(c), df.schema[c].dataType)).alias(f"n{i}")
                           for i, c in enumerate(open_columns)]).first()
-        full = [c for i, c in enumerate(open_columns) if held[f"n{i}"] >= limits[c]]
-        frames.update({c: part for c in full})
+        full = [c for i, c in enumerate(open_columns) if held[f"n{i}"] >= k]
+        if full:
+            found.append((part, full))
         open_columns = [c for c in open_columns if c not in full]
         width *= widen
-    return frames
+    return found, open_columns
 
 
-def _top(df: DataFrame, order_by: Sequence[str], column: str, k: int) -> DataFrame:
+def _firsts(df: DataFrame, order_by: Sequence[str], columns: Sequence[str], k: int) -> DataFrame:
+    """First k non-missing values as (column, order keys and value).
+
+    An opening is small, so its columns are ranked together. A column that needs the whole table
+    is a top-k of its own: it reads that column and the order columns, and k rows leave a task.
+    """
     names = [f"_o{j}" for j in range(len(order_by))]
     keys = [quoted(c).alias(n) for c, n in zip(order_by, names)]
-    value = _text(quoted(column), df.schema[column].dataType)
-    return (
-        df.select(*keys, value.alias("value")).where(F.col("value").isNotNull())
-        .orderBy(*names, "value").limit(k).select(F.struct(*names, "value").alias("v"))
-    )
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    result = parts[0]
+    texts = {c: _text(quoted(c), df.schema[c].dataType) for c in columns}
+    openings, rest = _openings(df, order_by, columns, k)
+    parts = []
+    for frame, held in openings:
+        tall = frame.select(*keys, *[texts[c].alias(c) for c in held]).unpivot(
+            names, [quoted(c) for c in held], "column", "value").where(F.col("value").isNotNull())
+        rank = F.row_number().over(W.partitionBy("column").orderBy(*names, "value"))
+        parts.append(tall.withColumn("_rank", rank).where(F.col("_rank") <= k))
+    for c in rest:
+        parts.append(
+            df.select(*keys, texts[c].alias("value")).where(F.col("value").isNotNull())
+            .orderBy(*names, "value").limit(k).withColumn("column", F.lit(c)))
+    result = parts[0].select("column", F.struct(*names, "value").alias("v"))
     for part in parts[1:]:
-        result = result.unionByName(part)
+        result = result.unionByName(part.select("column", F.struct(*names, "value").alias("v")))
     return result
 
 
-def in_scan_order(df: DataFrame) -> DataFrame:
-    return df.withColumn("_scan_order", F.monotonically_increasing_id())
+def _in_order(df: DataFrame, order_by: Sequence[str] | None) -> tuple[DataFrame, Sequence[str]]:
+    if order_by:
+        return df, order_by
+    return df.withColumn("_scan_order", F.monotonically_increasing_id()), ["_scan_order"]
 
 
 def first_values(df: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
     """First non-missing values of each column in file order, as ordered arrays.
 
-    Each column is a top-k of its own over the opening rows of the table: it reads that column
-    and the ordering columns only. Without ``order_by`` the scan order is used.
+    Without ``order_by`` the scan order is used.
     """
-    columns = list(df.columns)
-    if not order_by:
-        df, order_by = in_scan_order(df), ["_scan_order"]
-    frames = _opening(df, order_by, {c: SAMPLES for c in columns})
-    tall = _union([
-        _top(frames[c], order_by, c, SAMPLES).withColumn("position", F.lit(i))
-        for i, c in enumerate(columns)])
-    return tall.groupBy("position").agg(
+    place = {c: i for i, c in enumerate(df.columns)}
+    renamed = df.toDF(*[f"c{i}" for i in place.values()])
+    order = [f"c{place[c]}" for c in order_by] if order_by else None
+    ranked, order = _in_order(renamed, order)
+    return _firsts(ranked, order, renamed.columns, SAMPLES).groupBy(
+        F.substring("column", 2, 9).cast("int").alias("position")).agg(
         F.transform(F.sort_array(F.collect_list("v")), lambda v: v["value"]).alias("sample_values"))
 
 
@@ -216,18 +228,15 @@ def date_samples(df: DataFrame, columns: Sequence[str],
     A text too long for any date is counted by a mark instead of being carried along.
     """
     place = {c: i for i, c in enumerate(df.columns)}
-    if not order_by:
-        df, order_by = in_scan_order(df), ["_scan_order"]
-    short = df.withColumns({
-        f"_short{place[c]}": F.when(F.length(quoted(c)) > 40, "-").otherwise(quoted(c))
-        for c in columns})
-    names = {c: f"_short{place[c]}" for c in columns}
-    frames = _opening(short, order_by, {n: DATE_SAMPLE for n in names.values()})
-    tall = _union([
-        _top(frames[names[c]], order_by, names[c], DATE_SAMPLE)
-        .select(F.lit(place[c]).alias("position"), "v.value") for c in columns])
-    fitting = [F.count_if(parses(F.col("value"), p)) for p in DATE_FORMATS]
-    return tall.groupBy("position").agg(
+    ranked, order = _in_order(df, order_by)
+    keys = [quoted(c).alias(f"k{j}") for j, c in enumerate(order)]
+    short = ranked.select(*keys, *[
+        F.when(F.length(quoted(c)) > 40, "-").otherwise(quoted(c)).alias(f"c{place[c]}")
+        for c in columns])
+    firsts = _firsts(short, [f"k{j}" for j in range(len(order))], [f"c{place[c]}" for c in columns],
+                     DATE_SAMPLE)
+    fitting = [F.count_if(parses(F.col("v.value"), p)) for p in DATE_FORMATS]
+    return firsts.groupBy(F.substring("column", 2, 9).cast("int").alias("position")).agg(
         F.count(F.lit(1)).alias("sampled"), F.greatest(*fitting).alias("sampled_dates"))
 
 
@@ -280,15 +289,15 @@ def profile_columns(df: DataFrame, order_by: Sequence[str] | None = None,
     )
     texts = [f.name for f in df.schema.fields
              if isinstance(f.dataType, T.StringType) and not has_date_hint(f.name)]
-    joined = (
-        meta.join(_counts(df, exact), "position", "left")
-        .join(first_values(df, order_by), "position", "left")
-    )
+    parts = [_counts(df, exact), first_values(df, order_by)]
     if texts:
-        joined = joined.join(date_samples(df, texts, order_by), "position", "left")
-    else:
-        joined = joined.withColumns({"sampled": F.lit(None).cast("bigint"),
-                                     "sampled_dates": F.lit(None).cast("bigint")})
+        parts.append(date_samples(df, texts, order_by))
+    facts = meta.withColumns({"sampled": F.lit(None).cast("bigint"),
+                              "sampled_dates": F.lit(None).cast("bigint")})
+    for part in parts:
+        facts = facts.unionByName(part, allowMissingColumns=True)
+    joined = facts.groupBy("position").agg(*[
+        F.first(c, ignorenulls=True).alias(c) for c in facts.columns if c != "position"])
     zero = F.lit(0).cast("bigint")
     total, missing = F.coalesce("total", zero), F.coalesce("missing_count", zero)
     unique = F.coalesce("unique_count", zero)

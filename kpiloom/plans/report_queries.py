@@ -130,18 +130,17 @@ def template_charts_of_requests(spark, sf_dir):
            CASE WHEN c.kpi = '__selected__' THEN p.kpi_id ELSE c.kpi END AS kpi,
            CASE WHEN c.x_axis = '__selected_dimension__' THEN q.dim ELSE c.x_axis END AS x_axis,
            CASE WHEN c.y_format = '__kpi_format__' THEN p.format ELSE c.y_format END AS y_format
-    FROM (SELECT CAST(o_orderkey AS STRING) AS request_id, o_custkey,
-                 CASE WHEN o_orderkey % 2 = 0 THEN 'site' ELSE 'agent_id' END AS dim
-          FROM orders WHERE o_orderpriority = '5-LOW') q
-    JOIN part_catalog p ON p.kpi_id = 'kpi_' || CAST(q.o_custkey AS STRING)
-    JOIN charts c ON c.template_id = 'kpi_spotlight'""", CHARTS)
+    FROM (SELECT request_id, template_type, CASE WHEN status = 'approved' THEN 'site' ELSE 'agent_id' END AS dim
+          FROM requests) q
+    JOIN requested s ON s.request_id = q.request_id AND s.position = 0
+    JOIN part_catalog p ON p.kpi_id = s.kpi_id
+    JOIN charts c ON c.template_id = q.template_type""", CHARTS)
 def spotlight_charts(spark, sf_dir):
-    chosen = table(spark, sf_dir, "orders").where("o_orderpriority = '5-LOW'").select(
-        F.col("o_orderkey").cast("string").alias("request_id"),
-        F.concat(F.lit("kpi_"), F.col("o_custkey").cast("string")).alias("kpi_id"),
-        F.when(F.col("o_orderkey") % 2 == 0, "site").otherwise("agent_id").alias("dimension"),
-        F.lit("kpi_spotlight").alias("template_id"),
-    )
+    """Charts of every request; only those of a spotlight hold placeholders."""
+    chosen = table(spark, sf_dir, "requests").select(
+        "request_id", F.col("template_type").alias("template_id"),
+        F.when(F.col("status") == "approved", "site").otherwise("agent_id").alias("dimension"),
+    ).join(table(spark, sf_dir, "requested").where("position = 0"), "request_id")
     meta = table(spark, sf_dir, "part_catalog").select("kpi_id", "display_name", "format")
     joined = chosen.join(meta, "kpi_id").join(template_charts(template_frame(spark)), "template_id")
     resolved = report.resolve_spotlight(

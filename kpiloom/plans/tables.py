@@ -34,14 +34,16 @@ DERIVED = {
                     WHEN o_orderkey % 2 = 0 THEN 'awaiting_upload' ELSE 'intake' END AS status,
                o_orderdate AS created_at
         FROM orders""",
-    # The KPIs each request names, in list order; ids past the catalog are unknown.
+    # The KPIs each request names, in list order; ids past the catalog are unknown and a third
+    # of all requests share `kpi_1`.
     "requested": """
         SELECT CAST(o_orderkey AS STRING) AS request_id, 0 AS position,
                'kpi_' || CAST(o_custkey AS STRING) AS kpi_id FROM orders
         UNION ALL
         SELECT CAST(o_orderkey AS STRING), 1, 'kpi_' || CAST(o_orderkey + 2 AS STRING) FROM orders
         UNION ALL
-        SELECT CAST(o_orderkey AS STRING), 2, 'kpi_1' FROM orders WHERE o_orderstatus = 'F'""",
+        SELECT CAST(o_orderkey AS STRING), 2, 'kpi_' || CAST(LENGTH(o_orderstatus) AS STRING)
+        FROM orders WHERE o_orderstatus = 'F'""",
     "request_lists": """
         SELECT CAST(o_orderkey AS STRING) AS request_id,
                'kpi_' || CAST(o_custkey AS STRING) || ',kpi_' || CAST(o_orderkey + 2 AS STRING)
