@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from kpiloom.functions.dates import DATE_FORMATS, DATE_NAME_HINT, parses
+from kpiloom.functions.frames import literal_rows
 from kpiloom.functions.numbers import is_numeric, present
 from kpiloom.sources.delimited import quoted
 
@@ -262,8 +263,8 @@ def duplicate_counts(df: DataFrame, broadcast_rows: int = 1_000_000) -> DataFram
     ).first()
     rows, once, repeated = seen["rows"], seen["once"], seen["repeated"]
     if repeated == 0:
-        return df.sparkSession.createDataFrame(
-            [(rows, 0)], "row_count bigint, duplicate_row_count bigint")
+        counted = literal_rows(df.sparkSession, [(rows, 0)], ["row_count", "duplicate_row_count"])
+        return counted.select(*[F.col(c).cast("bigint").alias(c) for c in counted.columns])
     again = groups.where(F.col("_n") > 1).select("_h1", "_h2")
     if repeated <= broadcast_rows:
         again = F.broadcast(again)
@@ -281,11 +282,11 @@ def profile_columns(df: DataFrame, order_by: Sequence[str] | None = None,
     ``exact=False`` takes approximate distinct counts in a single pass without a shuffle of
     values, for very large or wide tables.
     """
-    spark = df.sparkSession
-    meta = spark.createDataFrame(
+    meta = literal_rows(
+        df.sparkSession,
         [(i, f.name, _dtype_name(f.dataType), _is_text(f.dataType), has_date_hint(f.name))
          for i, f in enumerate(df.schema.fields)],
-        "position int, name string, dtype string, is_text boolean, hinted boolean",
+        ["position", "name", "dtype", "is_text", "hinted"],
     )
     texts = [f.name for f in df.schema.fields
              if isinstance(f.dataType, T.StringType) and not has_date_hint(f.name)]

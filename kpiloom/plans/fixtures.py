@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kpiloom.functions.frames import literal_rows
 from kpiloom.operators.kpi import ColumnMapping, KpiDef
 from kpiloom.schemas import NO_DENOMINATOR
 from kpiloom.sources.catalog_files import parse_catalog, parse_templates
@@ -62,7 +63,7 @@ def catalog_documents() -> list[str]:
 
 
 def catalog_frame(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame([(d,) for d in catalog_documents()], "document string")
+    rows = literal_rows(spark, [(d,) for d in catalog_documents()], ["document"])
     return parse_catalog(rows, "document")
 
 
@@ -133,7 +134,7 @@ TEMPLATES = [
 
 
 def template_frame(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame([(json.dumps(t),) for t in TEMPLATES], "document string")
+    rows = literal_rows(spark, [(json.dumps(t),) for t in TEMPLATES], ["document"])
     return parse_templates(rows, "document")
 
 
