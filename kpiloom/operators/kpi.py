@@ -165,6 +165,16 @@ def compute_kpis(facts: DataFrame, kpi_list: Sequence[str], catalog: dict[str, K
     maps = [mapping.get(k, ColumnMapping()) for k in kpi_list]
     needed = [c for m in maps for c in (m.numerator, m.denominator_column) if c in numeric]
     totals, where = column_totals(facts, needed, groups, exact)
+    return kpis_from_totals(totals, where, kpi_list, catalog, mapping, headers, numeric,
+                            validate_totals)
+
+
+def kpis_from_totals(totals: DataFrame, where: dict[str, Column], kpi_list: Sequence[str],
+                     catalog: dict[str, KpiDef], mapping: dict[str, ColumnMapping],
+                     headers: list[str], numeric: list[str],
+                     validate_totals: bool = False) -> DataFrame:
+    """One row per KPI for each row of totals; ``where`` says which column holds which total."""
+    maps = [mapping.get(k, ColumnMapping()) for k in kpi_list]
     nothing = F.lit(None).cast("double")
     rows = []
     for position, (kpi_id, m) in enumerate(zip(kpi_list, maps)):
@@ -180,7 +190,8 @@ def compute_kpis(facts: DataFrame, kpi_list: Sequence[str], catalog: dict[str, K
             F.lit(kpi.min if kpi else None).cast("double").alias("low"),
             F.lit(kpi.max if kpi else None).cast("double").alias("high"),
         ))
-    kept = [c for c in totals.columns if c != "_rows" and not c.startswith("_total")]
+    used = {"_rows", *(f"_total{i}" for i in range(len(where)))}
+    kept = [c for c in totals.columns if c not in used]
     return evaluate(totals.select(*kept, F.inline(F.array(*rows))), headers, numeric,
                     validate_totals)
 

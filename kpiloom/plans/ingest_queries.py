@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from kpiloom.functions.text import extension, stem
 from kpiloom.operators import profile
+from kpiloom.operators.kpi import ColumnMapping, KpiDef
 from kpiloom.plans.registry import query
 from kpiloom.plans.tables import table
 from kpiloom.session import scratch_path
-from kpiloom.sources import delimited, staging, uploads
+from kpiloom.sources import delimited, ingest, staging, uploads
 from kpiloom.streaming import refresh as stream
 
 
@@ -131,8 +132,9 @@ def staging_registry(spark, sf_dir):
             ("client_b", 2, table(spark, sf_dir, "part").select("p_brand", "p_type", "p_size"),
              ["p_brand", "p_type", "p_size"])]
     for client, upload_id, df, order in jobs:
-        staging.append_registry(staging.registry_row(
-            profile.profile_columns(df, order), profile.duplicate_counts(df), client, upload_id), path)
+        staging.register(staging.registry_row(
+            profile.profile_columns(df, order), profile.duplicate_counts(df), client, upload_id),
+            path, upload_id)
     parsed = F.from_json("profile_data", "ARRAY<STRUCT<name: STRING, detected_type: STRING, unique_count: BIGINT>>")
     return spark.read.parquet(path).withColumn("p", parsed).select(
         "client_id", "upload_id", "table_name", "row_count", "column_count", "duplicate_row_count",
@@ -141,6 +143,36 @@ def staging_registry(spark, sf_dir):
         F.element_at("p", -1)["unique_count"].alias("last_unique"))
 
 
+@query("ingested_uploads", """
+    SELECT 1 AS upload_id, CAST(NULL AS VARCHAR) AS outcome, COUNT(*) AS row_count, 3 AS column_count, 0::BIGINT AS duplicate_row_count,
+           'order_key:numeric,order_day:date,order_status:categorical' AS types FROM orders
+    UNION ALL SELECT 2, NULL, COUNT(*), 3, COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT p_brand, p_type, p_size FROM part)),
+           'brand:categorical,brand_1:categorical,size:numeric' FROM part
+    UNION ALL SELECT 3, 'failed', NULL, NULL, NULL, NULL FROM (SELECT COUNT(*) FROM part)""")
+def ingested_uploads(spark, sf_dir):
+    """Orders and parts as delimited uploads through the whole ingest, beside one that is not there."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("Order Key"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("Order Day"),
+        F.col("o_orderstatus").alias("Order-Status"))
+    parts = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("Brand"), F.col("p_type").alias("brand "), F.col("p_size").alias("Size"))
+    root = scratch_path(spark, "ingest")
+    outcomes = ingest.ingest_uploads(spark, [
+        ingest.Upload(1, "client_a", written_csv(spark, orders, "orders")),
+        ingest.Upload(2, "client_b", written_csv(spark, parts, "parts")),
+        ingest.Upload(3, "client_b", f"{root}/not_there.csv"),
+    ], root)
+    parsed = F.from_json("profile_data", "ARRAY<STRUCT<name: STRING, detected_type: STRING>>")
+    registry = spark.read.parquet(f"{root}/registry").select(
+        F.col("upload_id").cast("bigint").alias("upload_id"), "row_count", "column_count", "duplicate_row_count",
+        F.array_join(F.transform(parsed, lambda c: F.concat(c["name"], F.lit(":"), c["detected_type"])), ",")
+        .alias("types"))
+    return outcomes.join(registry, "upload_id", "left").select(
+        F.col("upload_id").cast("int").alias("upload_id"),
+        F.when(F.col("error_message").isNotNull(), "failed").alias("outcome"),
+        "row_count", "column_count", "duplicate_row_count", "types")
+
+
 @query("row_counts", " UNION ALL ".join(
     f"SELECT '{t}' AS name, COUNT(*) AS row_count FROM {t}" for t in ("lineitem", "orders", "events", "documents")))
 def row_counts(spark, sf_dir):
@@ -153,6 +185,27 @@ def row_counts(spark, sf_dir):
     return result
 
 
+@query("refreshed_kpis", """
+    SELECT event_type, 'event_value' AS kpi_id, ROUND(v, 4) AS value,
+           CASE WHEN v > 30 THEN 'value ' || printf('%.4f', v) || ' above expected max 30' ELSE '' END AS flags, 0 AS missing_columns
+    FROM (SELECT event_type, CAST(SUM(CAST(value AS DECIMAL(38,6))) AS DOUBLE) / SUM(user_id) AS v FROM events GROUP BY event_type)""")
+def refreshed_kpis(spark, sf_dir):
+    """A ratio KPI over the refreshed sums, and the check of the files taken in."""
+    source = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{sf_dir}/events.parque[t]")
+    root = scratch_path(spark, "refreshed")
+    columns = ["value", "user_id"]
+    stream.refresh(spark, events, [F.col("event_type")], columns, f"{root}/sums", f"{root}/checkpoint",
+                   f"{root}/flags")
+    kpis = stream.current_kpis(
+        spark, f"{root}/sums", ["event_type"], columns, ["event_value"],
+        {"event_value": KpiDef("event_value", "value", "user_id", max=30)},
+        {"event_value": ColumnMapping(None, "value", "user_id")})
+    gaps = spark.read.parquet(f"{root}/flags").count()
+    return kpis.select("event_type", "kpi_id", "value", F.array_join("flags", " | ").alias("flags"),
+                       F.lit(gaps).alias("missing_columns"))
+
+
 @query("refresh_stream", """
     SELECT date_trunc('week', ts)::TIMESTAMP AS period, event_type, COUNT(*) AS rows,
            CAST(SUM(CAST(value AS DECIMAL(38,6))) AS DOUBLE) AS value

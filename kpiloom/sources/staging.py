@@ -46,5 +46,10 @@ def registry_row(profile: DataFrame, counts: DataFrame, client_id: str, upload_i
     )
 
 
-def append_registry(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def register(row: DataFrame, path: str, upload_id: int) -> None:
+    """Write an upload's registry row into its own partition.
+
+    Uploads ingested at the same time do not share a write folder, and one ingested again replaces
+    its row.
+    """
+    row.drop("upload_id").write.mode("overwrite").parquet(f"{path}/upload_id={upload_id}")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from kpiloom.functions.numbers import MICRO, present
+from kpiloom.operators.kpi import ColumnMapping, KpiDef, kpis_from_totals
 
 
 def partial_sums(facts: DataFrame, keys: Sequence[Column], columns: Sequence[str]) -> DataFrame:
@@ -21,17 +22,35 @@ def partial_sums(facts: DataFrame, keys: Sequence[Column], columns: Sequence[str
     return facts.groupBy(*keys).agg(*sums)
 
 
+def file_checks(facts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Files that bring no value at all for a column they should have, with the flag text.
+
+    ``facts`` carries the file path as ``_file``; one row per file leaves each task.
+    """
+    held = facts.groupBy("_file").agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(columns)])
+    gaps = [F.when(F.col(f"_n{i}") == 0, F.lit(f"column '{c}' missing"))
+            for i, c in enumerate(columns)]
+    return held.select(F.col("_file").alias("file"), F.explode(F.array_compact(F.array(*gaps)))
+                       .alias("flag"))
+
+
 def refresh(spark: SparkSession, stream: DataFrame, keys: Sequence[Column], columns: Sequence[str],
-            target: str, checkpoint: str) -> None:
+            target: str, checkpoint: str, flags_target: str | None = None) -> None:
     """Take in every file not seen yet and return when all are done.
 
     Each micro-batch writes its sums under its own batch number, so a batch repeated after a
-    failure replaces itself. Ratios are never stored, only their sums.
+    failure replaces itself. Ratios are never stored, only their sums. With ``flags_target`` each
+    new file is checked for the columns it should bring.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         partial_sums(batch, keys, columns).write.mode("overwrite").parquet(
             f"{target}/batch={batch_id}")
+        if flags_target is not None:
+            file_checks(batch, columns).write.mode("overwrite").parquet(
+                f"{flags_target}/batch={batch_id}")
 
+    if flags_target is not None:
+        stream = stream.withColumn("_file", F.col("_metadata.file_path"))
     query = (
         stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
@@ -50,6 +69,18 @@ def current_totals(spark: SparkSession, target: str, keys: Sequence[str],
     return stored.groupBy(*keys).agg(*sums)
 
 
+def current_kpis(spark: SparkSession, target: str, keys: Sequence[str], columns: Sequence[str],
+                 kpi_list: Sequence[str], catalog: dict[str, KpiDef],
+                 mapping: dict[str, ColumnMapping]) -> DataFrame:
+    """Report KPIs over everything taken in so far, per key; ratios are formed here."""
+    totals = current_totals(spark, target, keys, columns)
+    where = {c: F.col(c) for c in columns}
+    results = kpis_from_totals(totals, where, kpi_list, catalog, mapping, list(columns),
+                               list(columns))
+    return results.select(*keys, "position", "kpi_id", "in_catalog", "value", "flags",
+                          "report_flags")
+
+
 def compact(spark: SparkSession, target: str, into: str, keys: Sequence[str],
             columns: Sequence[str]) -> None:
     """Fold all batches into one table of sums, so that reading does not grow with batches."""

@@ -67,6 +67,37 @@ def test_log_and_documents(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "docs")).first()["a"] == 1
 
 
+def test_uploads_fail_alone_and_can_run_again(spark, tmp_path):
+    from kpiloom.sources import ingest
+
+    root = str(tmp_path / "root")
+    jobs = []
+    for i in range(3):
+        (tmp_path / f"u{i}.csv").write_text("Day,Total %,Note\n" + "".join(
+            f"2024-01-{d:02d},{d * i},n{d}\n" for d in range(1, 11)) + f"2024-01-01,{i},n1\n")
+        jobs.append(ingest.Upload(i, "c", str(tmp_path / f"u{i}.csv")))
+    jobs.append(ingest.Upload(9, "c", str(tmp_path / "gone.csv")))
+    for _ in range(2):
+        outcome = {r["upload_id"]: r["error_message"] for r in ingest.ingest_uploads(spark, jobs, root).collect()}
+        assert [outcome[i] for i in range(3)] == [None] * 3 and "gone.csv" in outcome[9]
+    rows = {r["upload_id"]: r for r in spark.read.parquet(f"{root}/registry").collect()}
+    assert set(rows) == {0, 1, 2}
+    assert all(r["row_count"] == 11 and r["column_count"] == 3 for r in rows.values())
+    assert rows[1]["duplicate_row_count"] == 1
+    assert spark.read.parquet(f"{root}/staging_2").columns == ["day", "total", "note"]
+
+
+def test_files_without_a_needed_column_are_flagged(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.sql("SELECT 'a' AS kind, 1.0D AS value").write.parquet(source)
+    spark.sql("SELECT 'b' AS kind").write.mode("append").parquet(source)
+    incoming = spark.readStream.schema("kind string, value double").parquet(source)
+    stream.refresh(spark, incoming, [F.col("kind")], ["value"], str(tmp_path / "s"), str(tmp_path / "c"), str(tmp_path / "f"))
+    assert [r["flag"] for r in spark.read.parquet(str(tmp_path / "f")).collect()] == ["column 'value' missing"]
+    totals = stream.current_totals(spark, str(tmp_path / "s"), ["kind"], ["value"])
+    assert {r["kind"]: r["value"] for r in totals.collect()} == {"a": 1.0, "b": 0.0}
+
+
 def test_stream_equals_batch_over_all_files(spark, tmp_path):
     source, target, mark = (str(tmp_path / n) for n in ("in", "sums", "mark"))
     rows = [(dt.datetime(2024, 1, 1 + i % 20), "ab"[i % 2], round(i * 0.37, 2)) for i in range(200)]
