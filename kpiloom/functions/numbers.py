@@ -8,7 +8,11 @@ from pyspark.sql import Column, functions as F, types as T
 
 _FLOATING = (T.FloatType, T.DoubleType)
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-MICRO = 1_000_000
+# Exact sums: |value| up to a limit is cut into units of 2^20, units below that, and millionths,
+# so that each part's long sum holds for 8 * 10^12 rows. Larger values are summed as doubles.
+EXACT_LIMIT = 1e12
+UNIT_BITS = 20
+EXACT_PARTS = ("high", "low", "micro", "large")
 
 
 def is_numeric(dtype: T.DataType) -> bool:
@@ -22,13 +26,34 @@ def present(column: Column, dtype: T.DataType) -> Column:
     return column
 
 
+def exact_parts(value: Column) -> dict[str, Column]:
+    """Sums that add up over any grouping of the rows, by name of the part."""
+    fits = F.abs(value) < EXACT_LIMIT
+    whole = F.floor(F.when(fits, value))
+    zero = F.lit(0).cast("bigint")
+    return {
+        "high": F.coalesce(F.sum(F.shiftright(whole, UNIT_BITS)), zero),
+        "low": F.coalesce(F.sum(whole.bitwiseAND(F.lit((1 << UNIT_BITS) - 1))), zero),
+        "micro": F.coalesce(F.sum(F.floor((value - whole) * 1_000_000 + F.lit(0.5))), zero),
+        "large": F.coalesce(F.sum(F.when(~fits, value)), F.lit(0.0)),
+    }
+
+
+def exact_value(parts: dict[str, Column]) -> Column:
+    """The double behind summed parts."""
+    units = parts["high"].cast("decimal(20,0)") * F.lit(Decimal(1 << UNIT_BITS))
+    rest = parts["low"].cast("decimal(20,0)") + (
+        parts["micro"].cast("decimal(20,0)") * F.lit(Decimal("0.000001")))
+    return (units + rest).cast("double") + parts["large"]
+
+
 def total(column: Column, dtype: T.DataType, exact: bool = True) -> Column:
     """Null-skipping sum, 0.0 when nothing is there.
 
     A plain double sum depends on the order in which partitions merge. ``exact`` adds whole
-    units and micro-units as two long sums, so the result is the same for any partitioning
-    and the aggregate keeps long buffers inside generated code. Digits past the sixth
-    decimal are rounded away.
+    units and millionths as long sums, so the result is the same for any partitioning and the
+    aggregate keeps long buffers inside generated code. Digits past the sixth decimal are
+    rounded away.
     """
     column = present(column, dtype)
     if isinstance(dtype, T.BooleanType):
@@ -36,12 +61,7 @@ def total(column: Column, dtype: T.DataType, exact: bool = True) -> Column:
     if isinstance(dtype, _INTEGRAL + (T.DecimalType,)) or not exact:
         result = F.sum(column).cast("double")
     else:
-        whole = F.floor(column)
-        micro = F.floor((column - whole) * MICRO + F.lit(0.5))
-        result = (
-            F.sum(whole).cast("decimal(30,6)")
-            + F.sum(micro).cast("decimal(20,0)") * F.lit(Decimal("0.000001"))
-        ).cast("double")
+        return exact_value(exact_parts(column.cast("double")))
     return F.coalesce(result, F.lit(0.0))
 
 

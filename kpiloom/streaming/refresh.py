@@ -6,22 +6,24 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from kpiloom.functions.numbers import MICRO, present
+from kpiloom.functions.numbers import EXACT_PARTS, exact_parts, exact_value, present
 from kpiloom.operators.kpi import ColumnMapping, KpiDef, kpis_from_totals
 
 
 def partial_sums(facts: DataFrame, keys: Sequence[Column], columns: Sequence[str]) -> DataFrame:
-    """Per key: rows, and each column's whole units and micro-units, which add up across files."""
+    """Per key: rows, and the exact parts of each column's sum, which add up across files."""
     sums = [F.count(F.lit(1)).alias("rows")]
     for c in columns:
         value = present(F.col(c).cast("double"), T.DoubleType())
-        whole = F.floor(value)
-        sums += [F.coalesce(F.sum(whole), F.lit(0)).alias(f"{c}__whole"),
-                 F.coalesce(F.sum(F.floor((value - whole) * MICRO + F.lit(0.5))), F.lit(0))
-                 .alias(f"{c}__micro")]
+        sums += [part.alias(f"{c}__{name}") for name, part in exact_parts(value).items()]
     return facts.groupBy(*keys).agg(*sums)
 
 
+def _merged(stored: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    parts = [f"{c}__{name}" for c in columns for name in EXACT_PARTS]
+    return stored.groupBy(*keys).agg(*[F.sum(p).alias(p) for p in ["rows", *parts]])
+
+
 def file_checks(facts: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Files that bring no value at all for a column they should have, with the flag text.
 
@@ -61,12 +63,10 @@ def refresh(spark: SparkSession, stream: DataFrame, keys: Sequence[Column], colu
 def current_totals(spark: SparkSession, target: str, keys: Sequence[str],
                    columns: Sequence[str]) -> DataFrame:
     """Totals over all batches so far, as doubles."""
-    stored = spark.read.parquet(target)
-    sums = [F.sum("rows").alias("rows")]
-    for c in columns:
-        micro = F.sum(f"{c}__micro").cast("decimal(20,0)") * F.lit(0.000001).cast("decimal(6,6)")
-        sums.append((F.sum(f"{c}__whole").cast("decimal(30,6)") + micro).cast("double").alias(c))
-    return stored.groupBy(*keys).agg(*sums)
+    merged = _merged(spark.read.parquet(target), keys, columns)
+    return merged.select(*keys, "rows", *[
+        exact_value({name: F.col(f"{c}__{name}") for name in EXACT_PARTS}).alias(c)
+        for c in columns])
 
 
 def current_kpis(spark: SparkSession, target: str, keys: Sequence[str], columns: Sequence[str],
@@ -84,8 +84,5 @@ def current_kpis(spark: SparkSession, target: str, keys: Sequence[str], columns:
 def compact(spark: SparkSession, target: str, into: str, keys: Sequence[str],
             columns: Sequence[str]) -> None:
     """Fold all batches into one table of sums, so that reading does not grow with batches."""
-    parts = [F.sum("rows").alias("rows")]
-    for c in columns:
-        parts += [F.sum(f"{c}__whole").alias(f"{c}__whole"), F.sum(f"{c}__micro").alias(f"{c}__micro")]
-    spark.read.parquet(target).groupBy(*keys).agg(*parts).write.mode("overwrite").parquet(
+    _merged(spark.read.parquet(target), keys, columns).write.mode("overwrite").parquet(
         f"{into}/batch=0")

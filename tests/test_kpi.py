@@ -87,6 +87,17 @@ def test_exact_sums_do_not_depend_on_partitions(spark):
     assert results == {cents / 100}
 
 
+def test_exact_sums_of_negative_large_and_endless_values(spark):
+    def summed(*values):
+        df = spark.createDataFrame([(v,) for v in values], "a double")
+        return kpi.compute_kpis(df, ["total"], CATALOG, MAPPING).first()["value"]
+
+    assert summed(-1.25, -0.5, 3.0) == 1.25
+    assert summed(1e15, 2e18, 0.25) == 1e15 + 2e18 + 0.25
+    assert summed(999999999999.75, -0.75) == 999999999999.0
+    assert summed(float("inf"), 1.0) == float("inf")
+
+
 def test_period_is_inclusive_by_day(spark):
     df = spark.sql("SELECT explode(array(timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-31 23:59:59', "
                    "timestamp_ntz'2024-02-01 00:00:00')) AS d")
