@@ -30,7 +30,8 @@ DATE_NAME_HINT = (
 
 
 def grain(column: Column, granularity: str) -> Column:
-    return F.date_trunc(GRAINS[granularity], column)
+    """Start of the day, week or month as wall-clock time."""
+    return F.date_trunc(GRAINS[granularity], column).cast("timestamp_ntz")
 
 
 def parses(value: Column, pattern: str) -> Column:

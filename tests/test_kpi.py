@@ -164,3 +164,30 @@ def test_recipe_filters_must_be_offered(facts):
     assert recipe.apply_filters(facts, ["g"], {"g": ["x"]}).count() == 2
     with pytest.raises(ValueError):
         recipe.apply_filters(facts, ["g"], {"a": [1]})
+
+
+def test_catalog_file_to_kpis(spark, facts, tmp_path):
+    import json
+
+    from kpiloom.sources.catalog_files import read_catalog, replace_catalog
+
+    (tmp_path / "kpis.json").write_text(json.dumps([
+        {"kpi_id": "rate", "display_name": "Rate", "numerator": "a", "denominator": "b", "format": "percentage",
+         "domain": "ops", "expected_range": {"min": 0, "max": 0.5}, "aliases": ["r"]},
+        {"kpi_id": "total", "display_name": "Total", "numerator": "a", "denominator": "_none_", "format": "integer",
+         "domain": "ops"}], indent=1))
+    for _ in range(2):
+        replace_catalog(read_catalog(spark, str(tmp_path / "kpis.json")), str(tmp_path / "catalog"))
+    stored = spark.read.parquet(str(tmp_path / "catalog"))
+    assert stored.count() == 2
+    known = kpi.definitions(stored, ["rate", "total", "nope"])
+    assert set(known) == {"rate", "total"} and known["rate"].aliases == ("r",) and known["total"].min is None
+    got = by_id(kpi.compute_kpis(facts, ["rate", "total"], known, MAPPING))
+    assert got["rate"]["flags"] == ["value 0.7000 above expected max 0.5"] and got["total"]["value"] == 7.0
+
+
+def test_trend_periods_are_wall_clock(spark):
+    df = spark.sql("SELECT timestamp_ntz'2024-01-03 05:00:00' AS d, 2.0D AS a UNION ALL SELECT timestamp_ntz'2024-01-09 23:00:00', 3.0D")
+    trend = kpi.kpi_trend(df, "d", "weekly", ["total"], CATALOG, MAPPING)
+    assert dict(trend.dtypes)["period"] == "timestamp_ntz"
+    assert {str(r["period"]): r["value"] for r in trend.collect()} == {"2024-01-01 00:00:00": 2.0, "2024-01-08 00:00:00": 3.0}
