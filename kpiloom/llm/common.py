@@ -54,7 +54,7 @@ def with_running(
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b): the smallest node that links reach.
+    """(node, root) for every node of ``edges`` (a, b) that reaches a smaller one: the smallest it reaches.
 
     Alternating large-star and small-star rounds: each node's neighbours are hung on the smallest
     one, until only stars are left. Every round is written out; the only thing the driver sees is a

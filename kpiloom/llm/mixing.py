@@ -146,8 +146,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         plan, rows["row_id"].eqNullSafe(plan["mix_id"]) & (rows["row_tie"] == plan["mix_tie"]))
     text = F.when(F.col("placement.words") >= F.col("size"), F.col("row.text")).otherwise(
         F.array_join(F.slice(words(F.col("row.text")), F.lit(1), F.col("placement.words").cast("int")), " "))
-    out = joined.select(
-        *[text.alias(c) if c == "text" else F.col(f"row.{c}").alias(c) for c in kept],
-        F.col("placement.copy").alias("mix_copy"), F.col("placement.position").alias("mix_position"),
-        F.col("draw"))
-    return in_training_order(out, F.col("mix_position")).drop("draw")
+    out = joined.select("row", text.alias("cut"), "placement", "draw", F.col("row_id").alias("doc_id"))
+    return in_training_order(out, F.col("placement.position")).select(
+        *[F.col("cut" if c == "text" else f"row.{c}").alias(c) for c in kept],
+        F.col("placement.copy").alias("mix_copy"), F.col("placement.position").alias("mix_position"))

@@ -247,7 +247,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                    & F.col("doc_id").eqNullSafe(F.col("first_id"))
                    ).select("doc_id", "t1", "t2", "body", "shared"), "repeats-candidates")
 
-    windows = materialised(_windows(candidates, window), "repeats-windows")
+    windows = _windows(candidates, window)  # made twice: cheaper than to keep, being most of the bytes here
     # A null id is larger than every other: it never is the smallest, and loses to any.
     repeated = windows.groupBy("h1", "h2").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.bool_or(F.col("doc_id").isNull()).alias("open")

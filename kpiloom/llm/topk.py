@@ -86,8 +86,8 @@ def search(
 
     Queries are the vectors whose id is divisible by ``query_step``. Vectors are dealt to shards and queries
     to blocks by hash, so that both fit a task; every (block, shard) cell is searched once and the cells'
-    results are merged per query. Scores are exact while they fit 53 bits, else the cell is computed on
-    Python integers. Ties go to the smaller vec_id; repeated rows of a vector are all candidates. A null id
+    results are merged per query. Scores are exact: where one may not fit 53 bits, the cell is computed on
+    Python integers; a score beyond a long is an error. Ties go to the smaller vec_id; repeated rows of a vector are all candidates. A null id
     is neither query nor candidate. Shorter vectors count as padded with zeros. Empty tables give no rows.
     """
     usable = materialised(usable_vectors(vectors.where("vec_id is not null"), scale), "topk-vectors")
