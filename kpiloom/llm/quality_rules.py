@@ -56,7 +56,7 @@ def ratios(docs: DataFrame, trusted: DataFrame, buckets: int, prior: float, max_
 
 
 def judge(
-    docs: DataFrame, trusted: DataFrame, threshold: float = -0.5, buckets: int = 1 << 16,
+    docs: DataFrame, trusted: DataFrame, threshold: float = -0.3, buckets: int = 1 << 16,
     prior: float = 1000.0, max_trusted: int = 20_000, min_words: int = 10, max_repeat_percent: int = 20,
 ) -> DataFrame:
     """All columns of ``docs`` with the counts, ``llr`` (mean ratio per n-gram, in nats) and ``kept``.
