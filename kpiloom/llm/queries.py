@@ -106,4 +106,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_url_filter, op8_packing, op9_secrets, op10_quality_rules)
 }
 
-CHECKS: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_HOST = r"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+_QUERY = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*\?([^#]*)', 1)"
+
+CHECKS: dict[str, str] = {
+    "op3_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        w AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h
+              FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)),
+        f AS (SELECT h, min(doc_id) AS least FROM w GROUP BY h),
+        hit AS (SELECT w.doc_id, w.i FROM w JOIN f USING (h) WHERE f.least < w.doc_id),
+        gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 50)))) AS at FROM hit GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(g.at), 0) AS BIGINT) AS n_removed,
+               sha256(array_to_string(CASE WHEN g.at IS NULL THEN ws ELSE
+                   [x.w FOR x IN list_transform(ws, lambda w, i: {{'w': w, 'i': i}}) IF NOT list_contains(g.at, x.i)] END, ' ')) AS kept_sha256
+        FROM d LEFT JOIN gone g USING (doc_id)""",
+    "op6_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+                   FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id,
+                     CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        WHERE rank <= 5""",
+    "op7_url_filter": f"""
+        WITH p AS (SELECT page_id, url, {_HOST} AS host, {_PATH} AS path, {_HOST} || regexp_replace({_PATH}, '/$', '') AS place,
+                          array_to_string(list_filter(string_split({_QUERY}, '&'), lambda q: q <> '' AND NOT starts_with(q, 'utm_')), '&') AS query
+                   FROM pages),
+        c AS (SELECT *, CASE WHEN contains(url, '://') THEN place || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canon FROM p),
+        l AS (SELECT DISTINCT canon FROM c WHERE canon IS NOT NULL
+              AND page_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+        r(rhost, rpath, rverdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+            ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+        b AS (SELECT page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(rverdict, length(rhost || rpath)) AS rverdict
+              FROM c JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+        SELECT c.page_id, host, path, rule,
+               CASE WHEN rule IS NOT NULL THEN rverdict WHEN l.canon IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+        FROM c LEFT JOIN b USING (page_id) LEFT JOIN l ON c.canon = l.canon""",
+}
