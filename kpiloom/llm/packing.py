@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 _END = 1  # id that closes a document
 _BUFFER_TOKENS = 2_000_000
-_CACHE_PIECES = 400_000
+_CACHE_PIECES = 1_000_000
 
 
 @cache
@@ -32,47 +32,68 @@ def _tokenizer(path: str):
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, the same as the tokenizer gives.
 
-    The tokenizer's pattern never joins what a single space separates from a preceding non-space to a
-    following one, so a text whose white space is all single is encoded run by run, and runs are
-    remembered, up to a bound. Other texts are encoded whole.
+    The tokenizer's pattern never joins what a single space or line break separates, and a space goes with
+    what follows it. So a text with no other white space, and none doubled or at its ends, is encoded run
+    by run, and runs are remembered, up to a bound. Other texts are encoded whole.
     """
 
     def __init__(self, path: str):
-        self.path, self.known = path, {}
+        self.path, self.inner, self.first = path, {}, {}  # runs with a space before them, and without
+        self.line_break = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = _tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _ids_of_runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs, encoded many at once as lines: a line break is an id of its own, which no run holds."""
+        out, mark = [], int.from_bytes(self.line_break, "little")
+        for i in range(0, len(runs), 2000):
+            some = runs[i : i + 2000]
+            ids = np.frombuffer(self._ids(["\n".join(some)])[0], dtype="<u4")
+            breaks = np.flatnonzero(ids == mark)
+            if len(breaks) != len(some) - 1:
+                raise ValueError("the tokenizer joins line breaks with words")
+            starts, ends = [0, *(breaks + 1)], [*breaks, len(ids)]
+            out += [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+        return out
+
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        split, missing, whole = [], {}, []
+        split, inner, first, whole = [], set(), set(), []
         for text in texts:
-            runs = text.split(" ")
-            if all(runs) and not any(r[0].isspace() or r[-1].isspace() for r in runs):
-                runs = [runs[0], *[" " + r for r in runs[1:]]]
-                for r in runs:
-                    if r not in self.known:
-                        missing[r] = None
-                split.append(runs)
+            if text and " ".join(text.split()) == text.replace("\n", " "):
+                lines = [line.split(" ") for line in text.split("\n")]
+                for line in lines:
+                    first.add(line[0])
+                    inner.update(line[1:])
+                split.append(lines)
             else:
                 whole.append(text)
                 split.append(None)
-        fresh = dict(zip(missing, self._ids(list(missing)), strict=True)) if missing else {}
+        inner = [r for r in inner if r not in self.inner]
+        first = [r for r in first if r not in self.first]
+        self.inner.update(zip(inner, self._ids_of_runs([" " + r for r in inner]), strict=True))
+        self.first.update(zip(first, self._ids_of_runs(first), strict=True))
+        of_inner, of_first = self.inner.__getitem__, self.first.__getitem__
         others = iter(self._ids(whole) if whole else ())
-        known, out = self.known, []
-        if len(known) + len(fresh) <= _CACHE_PIECES:
-            known.update(fresh)
-            fresh = {}
-        for runs in split:
-            if runs is None:
-                out.append(next(others))
-            elif fresh:
-                out.append(b"".join([known.get(r) or fresh.get(r, b"") for r in runs]))
-            else:
-                out.append(b"".join(map(known.__getitem__, runs)))
+        out = [
+            next(others) if lines is None else self.line_break.join(
+                [of_first(line[0]) + b"".join(map(of_inner, line[1:])) for line in lines])
+            for lines in split]
+        if len(self.inner) + len(self.first) > _CACHE_PIECES:
+            for r in inner:
+                del self.inner[r]
+            for r in first:
+                del self.first[r]
         return out
 
 
+@cache
+def _encoder(path: str) -> Encoder:
+    """One encoder per Python worker: what it remembers serves all tasks the worker runs."""
+    return Encoder(path)
+
+
 class Pool:
     """Pieces of documents by length, with the lengths in use as the bits of one integer."""
 
@@ -168,7 +189,7 @@ def pack(
     longest = tiers[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pool, stored, number, in_tier = Encoder(tokenizer), Pool(), {}, 0, dict.fromkeys(tiers, 0)
+        encoder, pool, stored, number, in_tier = _encoder(tokenizer), Pool(), {}, 0, dict.fromkeys(tiers, 0)
         base, keys = TaskContext.get().partitionId() << 36, 0
         columns: tuple[list, ...] = tuple([] for _ in range(9))
 
