@@ -20,8 +20,21 @@ DATE_FORMATS = [
     "dd-MM-yyyy",
     "dd MMM yyyy",
     "yyyyMMdd",
+    "M/d/yyyy",
+    "d/M/yyyy",
+    "M/d/yyyy H:mm",
+    "M/d/yyyy h:mm a",
+    "M/d/yyyy h:mm:ss a",
+    "yyyy-MM-dd'T'HH:mm:ssXXX",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSXXX",
+    "yyyy-MM-dd HH:mm:ssXXX",
+    "dd-MMM-yyyy",
+    "MMM d, yyyy",
 ]
 
+# The longest text that fits one of the formats: an offset is three letters of a format but six characters.
+LONGEST_DATE = max(len(f) for f in DATE_FORMATS) + 3
+
 # Words in a column name that hint at a date. `_` is a word character, so
 # `order_date` carries no hint while a bare `date` does.
 DATE_NAME_HINT = (
@@ -37,7 +50,9 @@ def grain(column: Column, granularity: str) -> Column:
 def parses(value: Column, pattern: str) -> Column:
     """True where the text is a date in exactly this format.
 
-    Texts that are too long or hold no digit are ruled out before the parser sees them.
+    White space around it does not count. Texts that are too long for every format or hold no digit
+    are ruled out before the parser sees them.
     """
-    possible = (F.length(value) <= 40) & value.rlike("[0-9]")
+    value = F.trim(value)
+    possible = (F.length(value) <= LONGEST_DATE) & value.rlike("[0-9]")
     return F.when(possible, F.try_to_timestamp(value, F.lit(pattern)).isNotNull()).otherwise(False)

@@ -8,11 +8,12 @@ from pyspark.sql import Column, functions as F, types as T
 
 _FLOATING = (T.FloatType, T.DoubleType)
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-# Exact sums: |value| up to a limit is cut into units of 2^20, units below that, and millionths,
-# so that each part's long sum holds for 8 * 10^12 rows. Larger values are summed as doubles.
-EXACT_LIMIT = 1e12
+# Exact sums: a value is cut into whole units in three steps of 20 bits, millionths, and what is left below
+# a millionth. The first four are long sums, the same for any order of the rows; the rest, and doubles whose
+# units no long holds, are sums of doubles.
 UNIT_BITS = 20
-EXACT_PARTS = ("high", "low", "micro", "large")
+EXACT_PARTS = ("high", "mid", "low", "micro", "rest", "large")
+_LONG_UNITS = 2.0**62
 
 
 def is_numeric(dtype: T.DataType) -> bool:
@@ -26,42 +27,56 @@ def present(column: Column, dtype: T.DataType) -> Column:
     return column
 
 
-def exact_parts(value: Column) -> dict[str, Column]:
-    """Sums that add up over any grouping of the rows, by name of the part."""
-    fits = F.abs(value) < EXACT_LIMIT
-    whole = F.floor(F.when(fits, value))
-    zero = F.lit(0).cast("bigint")
-    return {
-        "high": F.coalesce(F.sum(F.shiftright(whole, UNIT_BITS)), zero),
-        "low": F.coalesce(F.sum(whole.bitwiseAND(F.lit((1 << UNIT_BITS) - 1))), zero),
-        "micro": F.coalesce(F.sum(F.floor((value - whole) * 1_000_000 + F.lit(0.5))), zero),
+def exact_parts(value: Column, dtype: T.DataType) -> dict[str, Column]:
+    """Sums that add up over any grouping of the rows, by name of the part; longs keep every digit."""
+    integral = isinstance(dtype, _INTEGRAL)
+    if integral:
+        whole = value.cast("bigint")
+    else:
+        value = value.cast("double")
+        fits = F.abs(value) < _LONG_UNITS
+        whole = F.floor(F.when(fits, value))
+    zero, mask = F.lit(0).cast("bigint"), F.lit((1 << UNIT_BITS) - 1)
+    parts = {
+        "high": F.coalesce(F.sum(F.shiftright(whole, 2 * UNIT_BITS)), zero),
+        "mid": F.coalesce(F.sum(F.shiftright(whole, UNIT_BITS).bitwiseAND(mask)), zero),
+        "low": F.coalesce(F.sum(whole.bitwiseAND(mask)), zero),
+    }
+    if integral:
+        return parts | {"micro": zero, "rest": F.lit(0.0), "large": F.lit(0.0)}
+    fraction = value - whole
+    micro = F.floor(fraction * 1_000_000 + F.lit(0.5))
+    return parts | {
+        "micro": F.coalesce(F.sum(micro), zero),
+        "rest": F.coalesce(F.sum(fraction - micro / 1_000_000), F.lit(0.0)),
         "large": F.coalesce(F.sum(F.when(~fits, value)), F.lit(0.0)),
     }
 
 
 def exact_value(parts: dict[str, Column]) -> Column:
     """The double behind summed parts."""
-    units = parts["high"].cast("decimal(20,0)") * F.lit(Decimal(1 << UNIT_BITS))
-    rest = parts["low"].cast("decimal(20,0)") + (
-        parts["micro"].cast("decimal(20,0)") * F.lit(Decimal("0.000001")))
-    return (units + rest).cast("double") + parts["large"]
+    def scaled(name: str, factor: Decimal) -> Column:
+        return parts[name].cast("decimal(19,0)") * F.lit(factor)
+
+    units = scaled("high", Decimal(1 << 2 * UNIT_BITS)) + scaled("mid", Decimal(1 << UNIT_BITS))
+    below = parts["low"].cast("decimal(19,0)") + scaled("micro", Decimal("0.000001"))
+    return (units + below).cast("double") + parts["rest"] + parts["large"]
 
 
 def total(column: Column, dtype: T.DataType, exact: bool = True) -> Column:
     """Null-skipping sum, 0.0 when nothing is there.
 
     A plain double sum depends on the order in which partitions merge. ``exact`` adds whole
-    units and millionths as long sums, so the result is the same for any partitioning and the
-    aggregate keeps long buffers inside generated code. Digits past the sixth decimal are
-    rounded away.
+    units and millionths as long sums, so the result does not depend on partitioning and the
+    aggregate keeps long buffers inside generated code; no digit is dropped.
     """
     column = present(column, dtype)
     if isinstance(dtype, T.BooleanType):
         column, dtype = column.cast("int"), T.IntegerType()
-    if isinstance(dtype, _INTEGRAL + (T.DecimalType,)) or not exact:
+    if isinstance(dtype, T.DecimalType) or not exact:
         result = F.sum(column).cast("double")
     else:
-        return exact_value(exact_parts(column.cast("double")))
+        return exact_value(exact_parts(column, dtype))
     return F.coalesce(result, F.lit(0.0))
 
 

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
-
 
 def name_score(header: str, candidate: str) -> float:
     """Ratcliff-Obershelp ratio of the lower-cased, trimmed names, header first."""
@@ -31,12 +28,3 @@ def best_candidate(header: str, candidates) -> tuple[float, int]:
         if score > best:
             best, where = score, position
     return best, where
-
-
-@F.pandas_udf(T.DoubleType())
-def name_score_udf(header: pd.Series, candidate: pd.Series) -> pd.Series:
-    return pd.Series([name_score(h, c) for h, c in zip(header, candidate)])
-
-
-def similarity(header: Column, candidate: Column) -> Column:
-    return name_score_udf(header, candidate)

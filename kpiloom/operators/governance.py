@@ -19,7 +19,7 @@ def requests_of(requests: DataFrame, created_by: str | None = None) -> DataFrame
 def validate_intake(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """Error of each intake, template first, then the KPI ids the catalog lacks in request order.
 
-    Accepted intakes also list the KPIs still unreviewed. Every (request, KPI) row finds its
+    Accepted intakes also list the KPIs still unreviewed; a rejected one has none listed. Every (request, KPI) row finds its
     catalog row by an equi-join; what is gathered back is as long as the request's own list.
     """
     listed = requests.select("request_id", F.posexplode("kpi_list").alias("p", "kpi_id"))
@@ -54,18 +54,24 @@ def validate_intake(requests: DataFrame, catalog: DataFrame) -> DataFrame:
             .when(F.size("missing_kpis") > 0, F.concat(
                 F.lit("KPI IDs not found in catalog: "), shown("missing_kpis"))),
         )
-        .withColumn("accepted", F.col("error").isNull()).drop("_open")
+        .withColumn("accepted", F.col("error").isNull())
+        .withColumn("unreviewed_kpis", F.when(F.col("accepted"), F.col("unreviewed_kpis"))
+                    .otherwise(empty)).drop("_open")
     )
 
 
 def review_queue(entries: DataFrame, requests: DataFrame,
                  status: str | None = "pending") -> DataFrame:
-    """Review entries with their request, newest entry first."""
+    """Review entries with their request, newest entry first.
+
+    All columns of the request come along, so the reviewer sees its computed KPIs and data quality
+    flags; where both sides have a column, the entry's own stays.
+    """
     if status:
         entries = entries.where(F.col("status") == status)
-    request_columns = requests.select(
-        "request_id", "template_type", "client_id", "period_start", "period_end", "created_by")
-    return entries.join(request_columns, "request_id").orderBy(F.desc("entry_seq"))
+    own = set(entries.columns) - {"request_id"}
+    carried = requests.select(*[c for c in requests.columns if c not in own])
+    return entries.join(carried, "request_id").orderBy(F.desc("entry_seq"))
 
 
 def new_kpis(entries: DataFrame, requested: DataFrame, catalog: DataFrame) -> DataFrame:

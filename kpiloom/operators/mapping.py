@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -11,27 +9,15 @@ from kpiloom.functions.similarity import best_candidate
 from kpiloom.schemas import NO_DENOMINATOR, REVIEW_THRESHOLD
 
 
-_SCORES = T.ArrayType(T.StructType([
-    T.StructField("kpi_id", T.StringType()), T.StructField("score", T.DoubleType()),
-    T.StructField("candidate_pos", T.IntegerType()),
-]))
-
+_SCORE = T.StructType([
+    T.StructField("score", T.DoubleType()), T.StructField("candidate_pos", T.IntegerType()),
+])
 
-@F.pandas_udf(_SCORES)
-def _score_block(header: pd.Series, kpis: pd.Series) -> pd.Series:
-    blocks: dict[str, list] = {}
 
-    def scored(name, text):
-        if text not in blocks:
-            blocks[text] = json.loads(text)
-        rows = []
-        for kpi in blocks[text]:
-            score, place = best_candidate(name, kpi["candidates"])
-            if place >= 0:
-                rows.append({"kpi_id": kpi["kpi_id"], "score": score, "candidate_pos": place})
-        return rows
-
-    return pd.Series([scored(h, b) for h, b in zip(header, kpis)])
+@F.pandas_udf(_SCORE)
+def _best_score(header: pd.Series, names: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(
+        [best_candidate(h, n) for h, n in zip(header, names)], columns=["score", "candidate_pos"])
 
 
 def candidates() -> Column:
@@ -44,29 +30,18 @@ def candidates() -> Column:
     return F.filter(listed, lambda c: c.isNotNull() & (c != NO_DENOMINATOR))
 
 
-def header_scores(headers: DataFrame, catalog: DataFrame, block_size: int = 64,
-                  salts: int = 32) -> DataFrame:
-    """Scores of each distinct header name: arrays of (kpi_id, score, candidate_pos).
+def header_scores(pairs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Score of each (header, kpi_id): (score, candidate_pos of the first best candidate).
 
-    The catalog is cut into blocks of about ``block_size`` KPIs and each name meets each block
-    once, through an equi-join on (block, salt). The salt spreads the names over tasks whatever
-    the catalog's size, so nothing has to be broadcast; pairs live only inside the Arrow UDF.
+    Only pairs that some upload asks for are scored, each once, however many uploads share it; the
+    KPI's own candidates come by an equi-join.
     """
-    blocks = max(1, -(-catalog.count() // block_size))
-    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    packed = (
-        catalog.select(F.pmod(F.xxhash64("kpi_id"), F.lit(blocks)).cast("int").alias("block"),
-                       F.struct("kpi_id", candidates().alias("candidates")).alias("kpi"))
-        .groupBy("block").agg(F.to_json(F.sort_array(F.collect_list("kpi"))).alias("kpis"))
-        .withColumn("salt", spread)
-    )
-    names = (
-        headers.select("header").distinct()
-        .withColumn("salt", F.pmod(F.xxhash64("header"), F.lit(salts)).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    names = catalog.select("kpi_id", candidates().alias("names"))
+    return (
+        pairs.select("header", "kpi_id").distinct().join(names, "kpi_id")
+        .select("header", "kpi_id", _best_score("header", "names").alias("s"))
+        .where("s.candidate_pos >= 0").select("header", "kpi_id", "s.score", "s.candidate_pos")
     )
-    return names.join(packed, ["block", "salt"]).select(
-        "header", _score_block("header", "kpis").alias("scores"))
 
 
 def match_headers(headers: DataFrame, requests: DataFrame, catalog: DataFrame,
@@ -76,22 +51,15 @@ def match_headers(headers: DataFrame, requests: DataFrame, catalog: DataFrame,
     ``headers`` is (key, position, header), ``requests`` (key, kpi_list). The first header, then
     the first candidate, wins a tie, and a score of zero is no match. ``needs_review`` looks at
     the score before rounding. Scores fold into one maximum per (upload, KPI) before the
-    shuffle.
+    shuffle; what is joined is as long as an upload's own headers times its own KPI list.
     """
     wanted = restrict(requests, catalog, key)
-    asked = (
-        headers.join(requests.select(key, "kpi_list"), key)
-        .join(header_scores(headers, catalog), "header")
-        .select(
-            key, "position", "header",
-            F.explode(F.filter("scores", lambda s: F.array_contains(F.col("kpi_list"), s["kpi_id"])))
-            .alias("s"),
-        )
-    )
-    best = asked.groupBy(key, F.col("s.kpi_id").alias("kpi_id")).agg(
+    pairs = headers.where(F.col("header").isNotNull()).join(wanted, key)
+    asked = pairs.join(header_scores(pairs, catalog), ["header", "kpi_id"])
+    best = asked.groupBy(key, "kpi_id").agg(
         F.max(F.struct(
-            F.col("s.score").alias("score"), (-F.col("position")).alias("p"),
-            (-F.col("s.candidate_pos")).alias("c"), F.col("header"),
+            F.col("score"), (-F.col("position")).alias("p"), (-F.col("candidate_pos")).alias("c"),
+            F.col("header"),
         )).alias("best"))
     score = F.coalesce("best.score", F.lit(0.0))
     return wanted.join(best, [key, "kpi_id"], "left").select(
@@ -135,18 +103,24 @@ def check_mapped_columns(mappings: DataFrame, headers: DataFrame, keys: list[str
                          key: str = "upload_id") -> DataFrame:
     """Whether the numerator and denominator columns of each mapping are in the file.
 
-    Two equi-joins on (upload, column name), so one wide or popular file does not gather in one
-    task. ``is_total`` marks KPIs without a denominator.
+    A mapping without a numerator column is judged by its raw column. Each mapping is split into its
+    two names, which meet the headers in one equi-join on (upload, column name), so one wide or popular
+    file does not gather in one task. ``is_total`` marks KPIs without a denominator.
     """
     known = headers.select(key, F.col("header").alias("_name"), F.lit(True).alias("_there")).distinct()
-
-    def there(df: DataFrame, column: str, out: str) -> DataFrame:
-        names = known.withColumnsRenamed({"_name": column, "_there": out})
-        return df.join(names, [key, column], "left").withColumn(
-            out, F.coalesce(F.col(out), F.lit(False)))
-
-    checked = there(there(mappings, "numerator_column", "has_numerator"),
-                    "denominator_column", "has_denominator")
+    if "raw_column" in mappings.columns:
+        named = F.coalesce(F.nullif(F.col("numerator_column"), F.lit("")), F.col("raw_column"))
+        mappings = mappings.withColumn("numerator_column", named)
+    sides = mappings.select(
+        key, *keys, "is_total", "numerator_column", "denominator_column",
+        F.posexplode(F.array("numerator_column", "denominator_column")).alias("_side", "_name"))
+    found = sides.join(known, [key, "_name"], "left")
+
+    def there(side: int) -> Column:
+        return F.bool_or((F.col("_side") == side) & F.coalesce(F.col("_there"), F.lit(False)))
+
+    checked = found.groupBy(key, *keys, "is_total", "numerator_column", "denominator_column").agg(
+        there(0).alias("has_numerator"), there(1).alias("has_denominator"))
 
     def gap(prefix: str, column: str) -> Column:
         return F.concat(F.lit(f"{prefix}column '"), F.coalesce(F.col(column), F.lit("None")),

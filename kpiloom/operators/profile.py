@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from kpiloom.functions.dates import DATE_FORMATS, DATE_NAME_HINT, parses
+from kpiloom.functions.dates import DATE_FORMATS, DATE_NAME_HINT, LONGEST_DATE, parses
 from kpiloom.functions.frames import literal_rows
 from kpiloom.functions.numbers import is_numeric, present
 from kpiloom.sources.delimited import quoted
@@ -232,7 +232,8 @@ def date_samples(df: DataFrame, columns: Sequence[str],
     ranked, order = _in_order(df, order_by)
     keys = [quoted(c).alias(f"k{j}") for j, c in enumerate(order)]
     short = ranked.select(*keys, *[
-        F.when(F.length(quoted(c)) > 40, "-").otherwise(quoted(c)).alias(f"c{place[c]}")
+        F.when(F.length(F.trim(quoted(c))) > LONGEST_DATE, "-").otherwise(F.trim(quoted(c)))
+        .alias(f"c{place[c]}")
         for c in columns])
     firsts = _firsts(short, [f"k{j}" for j in range(len(order))], [f"c{place[c]}" for c in columns],
                      DATE_SAMPLE)

@@ -154,21 +154,20 @@ def layout_rows(recipes: DataFrame) -> DataFrame:
 
 def approve_recipes(recipes: DataFrame, approvals: DataFrame,
                     definitions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stamp approved recipes, and replace the KPI rows of those approved with a new config.
+    """Stamp approved recipes, and replace the whole configuration of those approved with a new one.
 
     ``approvals`` has one row per recipe: recipe_id, approved_by, approved_at, kpis (null when the
-    config was not edited). Returns recipes and KPI definition rows.
+    config was not edited) and any other column of the configuration. An edited configuration
+    replaces every column that ``approvals`` brings, also by null; the stamp alone leaves them.
+    Returns recipes and KPI definition rows.
     """
-    stamp = approvals.select(
-        "recipe_id", F.col("approved_by").alias("_by"), F.col("approved_at").alias("_at"),
-        F.col("kpis").alias("_kpis"))
-    stamped = (
-        recipes.join(stamp, "recipe_id", "left")
-        .withColumn("kpis", F.coalesce("_kpis", "kpis"))
-        .withColumn("approved_by", F.coalesce("_by", "approved_by"))
-        .withColumn("approved_at", F.coalesce("_at", "approved_at"))
-        .drop("_by", "_at", "_kpis")
-    )
+    stamps = {"approved_by", "approved_at"}
+    brought = [c for c in approvals.columns if c in recipes.columns and c != "recipe_id"]
+    stamp = approvals.select("recipe_id", *[F.col(c).alias(f"_new_{c}") for c in brought])
+    edit = F.col("_new_kpis").isNotNull()
+    stamped = recipes.join(stamp, "recipe_id", "left").withColumns({
+        c: F.coalesce(f"_new_{c}", c) if c in stamps else F.when(edit, F.col(f"_new_{c}")).otherwise(F.col(c))
+        for c in brought}).select(*recipes.columns)
     edited = approvals.where(F.col("kpis").isNotNull())
     fresh = (
         edited.join(recipes.select("recipe_id", "client_id"), "recipe_id")

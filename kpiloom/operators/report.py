@@ -125,12 +125,17 @@ def resolve_spotlight(charts: DataFrame, kpi_id: Column, display_name: Column, f
     })
 
 
-def apply_overrides(results: DataFrame, entries: DataFrame, key: str = "request_id") -> DataFrame:
+def apply_overrides(results: DataFrame, entries: DataFrame, key: str = "request_id",
+                    order: str = "entry_seq") -> DataFrame:
     """KPI values as published: a reviewer's value replaces the computed one.
 
-    ``entries`` is (key, overrides map), one row per approved review entry.
+    ``entries`` is (key, order, overrides map), one row per approved review entry; of several that
+    name the same KPI the one last in ``order`` counts.
     """
-    chosen = entries.select(key, F.explode("overrides").alias("kpi_id", "_override"))
+    chosen = (
+        entries.select(key, order, F.explode("overrides").alias("kpi_id", "_value"))
+        .groupBy(key, "kpi_id").agg(F.max_by("_value", order).alias("_override"))
+    )
     return (
         results.join(chosen, [key, "kpi_id"], "left")
         .withColumn("overridden", F.col("_override").isNotNull())

@@ -28,7 +28,8 @@ _TEMPLATES_TEXT = str(TEMPLATE_IDS).replace("'", "''")
         WHEN r.template_type NOT IN ('client_health_dashboard', 'wbr_qbr', 'exec_scorecard', 'kpi_spotlight')
         THEN 'Unknown template ''' || r.template_type || '''. Choose from: {_TEMPLATES_TEXT}'
         WHEN k.missing IS NOT NULL THEN 'KPI IDs not found in catalog: [''' || k.missing || ''']' END AS error,
-        COALESCE(k.pending, '') AS unreviewed_kpis
+        CASE WHEN r.template_type NOT IN ('client_health_dashboard', 'wbr_qbr', 'exec_scorecard', 'kpi_spotlight')
+                  OR k.missing IS NOT NULL THEN '' ELSE COALESCE(k.pending, '') END AS unreviewed_kpis
     FROM requests r LEFT JOIN (
         SELECT q.request_id, string_agg(q.kpi_id, ''', ''' ORDER BY position) FILTER (c.kpi_id IS NULL) AS missing,
                string_agg(q.kpi_id, ',' ORDER BY position) FILTER (NOT c.reviewed) AS pending

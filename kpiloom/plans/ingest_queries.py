@@ -66,12 +66,6 @@ def upload_admission(spark, sf_dir):
     return uploads.admit(table(spark, sf_dir, "uploads")).select("upload_id", "extension", "accepted", "reason")
 
 
-@query("file_admission")
-def file_admission(spark, sf_dir):
-    """The given table files themselves, with Parquet allowed."""
-    return uploads.admit(uploads.list_files(spark, sf_dir), allowed=[".parquet", ".csv"])
-
-
 @query("file_names", """
     SELECT upload_id, CASE WHEN contains(filename, '.') THEN regexp_replace(filename, '\\.[^.]*$', '') ELSE filename END AS stem,
            CASE WHEN contains(filename, '.') THEN '.' || lower(string_split(filename, '.')[-1]) ELSE '' END AS extension,
@@ -188,7 +182,7 @@ def row_counts(spark, sf_dir):
 @query("refreshed_kpis", """
     SELECT event_type, 'event_value' AS kpi_id, ROUND(v, 4) AS value,
            CASE WHEN v > 30 THEN 'value ' || printf('%.4f', v) || ' above expected max 30' ELSE '' END AS flags, 0 AS missing_columns
-    FROM (SELECT event_type, CAST(SUM(CAST(value AS DECIMAL(38,6))) AS DOUBLE) / SUM(user_id) AS v FROM events GROUP BY event_type)""")
+    FROM (SELECT event_type, CAST(SUM(CAST(value AS DECIMAL(38,12))) AS DOUBLE) / SUM(user_id) AS v FROM events GROUP BY event_type)""")
 def refreshed_kpis(spark, sf_dir):
     """A ratio KPI over the refreshed sums, and the check of the files taken in."""
     source = f"{sf_dir}/events.parquet"
@@ -208,7 +202,7 @@ def refreshed_kpis(spark, sf_dir):
 
 @query("refresh_stream", """
     SELECT date_trunc('week', ts)::TIMESTAMP AS period, event_type, COUNT(*) AS rows,
-           CAST(SUM(CAST(value AS DECIMAL(38,6))) AS DOUBLE) AS value
+           CAST(SUM(CAST(value AS DECIMAL(38,12))) AS DOUBLE) AS value
     FROM events GROUP BY ALL""")
 def refresh_stream(spark, sf_dir):
     """The events files as a stream, folded into weekly sums."""

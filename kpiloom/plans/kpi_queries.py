@@ -32,7 +32,7 @@ def marked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sum_sql(column: str) -> str:
-    return f"CAST(SUM(CAST({column} AS DECIMAL(38,6))) AS DOUBLE)"
+    return f"CAST(SUM(CAST({column} AS DECIMAL(38,12))) AS DOUBLE)"
 
 
 def range_sql(value: str, low: str | None, high: str | None) -> str:
@@ -64,6 +64,28 @@ def kpi_totals_validated(spark, sf_dir):
     ).select("kpi_id", "value", text_of("flags"))
 
 
+@query("kpi_scaled_values", """
+    SELECT 'tiny_ratio' AS kpi_id, ROUND(fsum(l_extendedprice * 1e-9) / fsum(l_quantity * 1e-9), 4) AS value, '' AS flags FROM lineitem
+    UNION ALL SELECT 'tiny_total', ROUND(fsum(l_quantity * 1e-9), 4), '' FROM lineitem
+    UNION ALL SELECT 'huge_ratio', ROUND(fsum(l_extendedprice * 1e9) / fsum(l_quantity * 1e-9) / 1e18, 4), '' FROM lineitem""")
+def kpi_scaled_values(spark, sf_dir):
+    """Values far below a millionth and far above a trillion, as both sides of ratios."""
+    items = table(spark, sf_dir, "lineitem").withColumns({
+        "tiny": F.col("l_extendedprice") * 1e-9, "tiny_quantity": F.col("l_quantity") * 1e-9,
+        "huge": F.col("l_extendedprice") * 1e9, "tiniest": F.col("l_quantity") * 1e-9})
+    catalog = {
+        "tiny_ratio": kpi.KpiDef("tiny_ratio", "tiny", "tiny_quantity"),
+        "tiny_total": kpi.KpiDef("tiny_total", "tiny_quantity", "_none_"),
+        "huge_ratio": kpi.KpiDef("huge_ratio", "huge", "tiniest")}
+    mapping = {
+        "tiny_ratio": kpi.ColumnMapping(None, "tiny", "tiny_quantity"),
+        "tiny_total": kpi.ColumnMapping(raw_column="tiny_quantity"),
+        "huge_ratio": kpi.ColumnMapping(None, "huge", "tiniest")}
+    results = kpi.compute_kpis(items, list(catalog), catalog, mapping)
+    scaled = F.when(F.col("kpi_id") == "huge_ratio", F.round(F.col("value") / 1e18, 4)).otherwise(F.col("value"))
+    return results.select("kpi_id", scaled.alias("value"), text_of("flags"))
+
+
 @query("kpi_ratios", f"""
     SELECT 'avg_unit_price' AS kpi_id, ROUND(v, 4) AS value, {range_sql('v', '0', '1000')} AS flags
     FROM (SELECT {sum_sql('l_extendedprice')} / {sum_sql('l_quantity')} AS v FROM lineitem)

@@ -31,13 +31,26 @@ def review_load(spark, sf_dir):
     return mapping.review_load(matched(spark, sf_dir))
 
 
-@query("name_similarity")
-def name_similarity(spark, sf_dir):
-    """Score of every distinct part name against its own type's label."""
-    from kpiloom.functions.similarity import similarity
-
-    names = table(spark, sf_dir, "part").select("p_name", "p_type").distinct()
-    return names.select("p_name", "p_type", similarity(F.col("p_name"), F.col("p_type")).alias("score"))
+@query("header_match_exact", """
+    SELECT l_orderkey * 10 + l_linenumber AS upload_id, 'kpi_' || CAST(l_partkey AS STRING) AS kpi_id,
+           CASE l_linenumber % 3 WHEN 0 THEN upper(c.numerator) WHEN 1 THEN '  ' || c.numerator || ' ' END AS raw_column,
+           CASE WHEN l_linenumber % 3 < 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS confidence, l_linenumber % 3 = 2 AS needs_review
+    FROM lineitem JOIN part_catalog c ON c.p_partkey = l_partkey""")
+def header_match_exact(spark, sf_dir):
+    """One upload per line item that asks for its part's KPI: a header is the KPI's numerator in another case
+    or padded, twice over so that the first must win, or shares no letter with it."""
+    catalog = table(spark, sf_dir, "part_catalog").withColumns({
+        "source_fields": F.array().cast("array<string>"), "aliases": F.array("numerator")})
+    items = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("upload_id"),
+        F.concat(F.lit("kpi_"), F.col("l_partkey").cast("string")).alias("kpi_id"),
+        (F.col("l_linenumber") % 3).alias("kind")).join(catalog.select("kpi_id", "numerator"), "kpi_id")
+    copy = F.when(F.col("kind") == 0, F.upper("numerator")).when(
+        F.col("kind") == 1, F.concat(F.lit("  "), "numerator", F.lit(" "))).otherwise("~~~")
+    headers = items.select("upload_id", F.posexplode(F.array(
+        F.lit("###"), copy, F.when(F.col("kind") < 2, F.col("numerator")).otherwise("^^^"))).alias("position", "header"))
+    requests = items.select("upload_id", F.array("kpi_id", F.lit("no_such_kpi")).alias("kpi_list"))
+    return mapping.match_headers(headers, requests, catalog)
 
 
 REVIEWS = {"checked_mappings": """

@@ -204,16 +204,22 @@ def ready_reports(spark, sf_dir):
 @query("overrides_applied", """
     SELECT k.request_id, k.kpi_id, COALESCE(o.v, k.value) AS value, o.v IS NOT NULL AS overridden
     FROM supplier_kpis k
-    LEFT JOIN (SELECT CAST(s_suppkey AS STRING) AS request_id, 'gross_sales' AS kpi_id, s_acctbal AS v
+    LEFT JOIN (SELECT CAST(s_suppkey AS STRING) AS request_id, 'gross_sales' AS kpi_id,
+                      CASE WHEN s_nationkey % 2 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS v
                FROM supplier WHERE s_acctbal > 5000
                UNION ALL SELECT CAST(s_suppkey AS STRING), 'units_sold', CAST(s_nationkey AS DOUBLE)
                FROM supplier WHERE s_acctbal > 5000) o
       ON o.request_id = k.request_id AND o.kpi_id = k.kpi_id
     WHERE k.in_catalog""", SUPPLIER_KPIS)
 def overrides_applied(spark, sf_dir):
-    entries = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(
-        F.col("s_suppkey").cast("string").alias("request_id"),
-        F.create_map(F.lit("gross_sales"), F.col("s_acctbal"),
-                     F.lit("units_sold"), F.col("s_nationkey").cast("double")).alias("overrides"))
+    """Approved entries of every supplier's report; every second nation's reports have a later one."""
+    approved = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").withColumn(
+        "request_id", F.col("s_suppkey").cast("string"))
+    first = approved.select("request_id", F.lit(1).alias("entry_seq"), F.create_map(
+        F.lit("gross_sales"), F.col("s_acctbal"), F.lit("units_sold"), F.col("s_nationkey").cast("double")
+    ).alias("overrides"))
+    later = approved.where("s_nationkey % 2 = 0").select("request_id", F.lit(2).alias("entry_seq"), F.create_map(
+        F.lit("gross_sales"), F.col("s_acctbal") + 1).alias("overrides"))
     results = kpi.values_only(supplier_results(spark, sf_dir))
-    return report.apply_overrides(results, entries).select("request_id", "kpi_id", "value", "overridden")
+    return report.apply_overrides(results, first.unionByName(later)).select(
+        "request_id", "kpi_id", "value", "overridden")

@@ -14,8 +14,11 @@ def partial_sums(facts: DataFrame, keys: Sequence[Column], columns: Sequence[str
     """Per key: rows, and the exact parts of each column's sum, which add up across files."""
     sums = [F.count(F.lit(1)).alias("rows")]
     for c in columns:
-        value = present(F.col(c).cast("double"), T.DoubleType())
-        sums += [part.alias(f"{c}__{name}") for name, part in exact_parts(value).items()]
+        dtype = facts.schema[c].dataType
+        if not isinstance(dtype, T.IntegralType):
+            dtype = T.DoubleType()
+        value = present(F.col(c).cast(dtype), dtype)
+        sums += [part.alias(f"{c}__{name}") for name, part in exact_parts(value, dtype).items()]
     return facts.groupBy(*keys).agg(*sums)
 
 

@@ -191,3 +191,11 @@ def test_trend_periods_are_wall_clock(spark):
     trend = kpi.kpi_trend(df, "d", "weekly", ["total"], CATALOG, MAPPING)
     assert dict(trend.dtypes)["period"] == "timestamp_ntz"
     assert {str(r["period"]): r["value"] for r in trend.collect()} == {"2024-01-01 00:00:00": 2.0, "2024-01-08 00:00:00": 3.0}
+
+
+def test_values_below_a_millionth_and_above_a_trillion_keep_their_digits(spark):
+    rows = spark.createDataFrame([(1e-7, 2e-7, 3e15)] * 5, "num double, den double, huge double")
+    catalog = {"r": kpi.KpiDef("r", "num", "den"), "h": kpi.KpiDef("h", "huge", "_none_")}
+    mapping = {"r": kpi.ColumnMapping(None, "num", "den"), "h": kpi.ColumnMapping(raw_column="huge")}
+    got = {r["kpi_id"]: (r["value"], r["flags"]) for r in kpi.compute_kpis(rows, ["r", "h"], catalog, mapping).collect()}
+    assert got == {"r": (0.5, []), "h": (1.5e16, [])}

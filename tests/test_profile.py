@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from kpiloom.operators import profile
 
@@ -126,3 +127,13 @@ def test_overrides_warnings_digest(spark, mixed):
     lines = profile.digest(base).first()["digest"].split("\n")
     assert lines[0] == "  - 'id': numeric, role=measure, e.g. [0, 1]"
     assert lines[2] == "  - 'note': text, role=dimension, e.g. ['text number 0', 'text number 1']"
+
+
+def test_common_date_texts(spark):
+    from kpiloom.functions.dates import DATE_FORMATS, parses
+
+    texts = ["1/5/2024", "2024-01-05T10:00:00Z", "2024-01-05T10:00:00+05:30", "1/5/2024 3:04 PM", "05-Jan-2024",
+             "Jan 5, 2024", "  2024-01-05  ", "not 1 date", "2024"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    any_format = F.greatest(*[parses(F.col("t"), p).cast("int") for p in DATE_FORMATS])
+    assert [r["ok"] for r in rows.select(any_format.alias("ok")).collect()] == [1] * 7 + [0, 0]

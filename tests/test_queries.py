@@ -7,12 +7,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from kpiloom.plans.registry import CHECKS, QUERIES
 from kpiloom.plans.tables import GIVEN
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
-WITHOUT_CHECK = {"report_document", "header_match", "review_load", "name_similarity", "file_admission"}
+WITHOUT_CHECK = {"report_document", "header_match", "review_load"}
 
 
 @pytest.fixture(scope="module")
@@ -34,14 +35,14 @@ def ordered(rows, columns):
     return sorted((tuple(cell(r[i]) for i in places) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
-    frame = entry.queries()[name](spark, SF_DIR)
+    frame = QUERIES[name](spark, SF_DIR)
     got = frame.collect()
     if name in WITHOUT_CHECK:
         assert got
         return
-    result = db.execute(entry.oracle_sql()[name])
+    result = db.execute(CHECKS[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == sorted(frame.columns)
     assert ordered(got, frame.columns) == ordered(result.fetchall(), names)
@@ -50,4 +51,5 @@ def test_query(spark, db, name):
 def test_entry(spark):
     rows = {r["kpi_id"]: r for r in entry.entry(spark).collect()}
     assert rows["avg_unit_price"]["flags"].startswith("value 2")
-    assert set(entry.oracle_sql()) == set(entry.queries()) - WITHOUT_CHECK
+    assert set(CHECKS) == set(QUERIES) - WITHOUT_CHECK
+    assert set(QUERIES) <= set(entry.queries()) and set(CHECKS) <= set(entry.oracle_sql())

@@ -59,7 +59,7 @@ def test_spotlight_placeholders(spark):
 
 
 def test_overrides(spark):
-    entries = spark.createDataFrame([("1", {"units_sold": 9.0, "other": 1.0})], "request_id string, overrides map<string,double>")
+    entries = spark.createDataFrame([("1", 1, {"units_sold": 9.0, "other": 1.0})], "request_id string, entry_seq int, overrides map<string,double>")
     got = {r["kpi_id"]: (r["value"], r["overridden"]) for r in report.apply_overrides(results(spark), entries).collect()}
     assert got == {"units_sold": (9.0, True), "gone": (None, False), "missing_num": (None, False)}
 
@@ -157,3 +157,11 @@ def test_transcript_pages_join_to_the_whole(spark):
     whole = "\n".join(r["transcript"] for r in pages.orderBy("page").collect())
     assert whole == "User: line 0\nAssistant: line 1\nAssistant: line 2\nUser: line 3\nAssistant: line 4"
     assert pages.count() == 3
+
+
+def test_the_latest_of_two_overrides_counts(spark):
+    results = spark.createDataFrame([("r", "k", 1.0), ("r", "other", 2.0)], "request_id string, kpi_id string, value double")
+    entries = spark.createDataFrame(
+        [("r", 2, {"k": 20.0}), ("r", 1, {"k": 10.0})], "request_id string, entry_seq int, overrides map<string,double>")
+    got = [(r["kpi_id"], r["value"], r["overridden"]) for r in report.apply_overrides(results, entries).orderBy("kpi_id").collect()]
+    assert got == [("k", 20.0, True), ("other", 2.0, False)]
