@@ -115,8 +115,10 @@ def fit(
         return constant
     if n > max_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
+    # Dealt and ordered by id, so that the forest draws the same rows in every run.
     rows = materialised(
-        statistics.join(known, "doc_id").select("label", *FEATURES).repartition(6), "quality-train").persist()
+        statistics.join(known, "doc_id").repartition(6, "doc_id").sortWithinPartitions("doc_id", *FEATURES)
+        .select("label", *FEATURES), "quality-train").persist()
     try:
         if rows.select("label").distinct().count() < 2:
             return constant
