@@ -86,7 +86,8 @@ def evaluate(rows: DataFrame, headers: list[str], numeric: list[str],
     A row has kpi_id, in_catalog, is_total, numerator, denominator (column names),
     numerator_total, denominator_total, low and high. The flag texts are fixed values. Totals are not
     range-checked unless asked. A mapped column that is there but holds no numbers is flagged
-    as well.
+    as well. Rows that say themselves whether their columns are there (has_numerator,
+    has_denominator) are not judged by ``headers``.
     """
     numerator, denominator = F.col("numerator"), F.col("denominator")
     is_total, in_catalog, value = F.col("is_total"), F.col("in_catalog"), F.col("_value")
@@ -100,10 +101,13 @@ def evaluate(rows: DataFrame, headers: list[str], numeric: list[str],
     def text(*parts) -> Column:
         return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
+    own = {"has_numerator", "has_denominator"} <= set(rows.columns)
+    no_numerator = ~F.col("has_numerator") if own else absent(numerator)
+    no_denominator = ~F.col("has_denominator") if own else absent(denominator)
     gap = (
         F.when(~in_catalog, "unknown")
-        .when(absent(numerator), "numerator")
-        .when(~is_total & absent(denominator), "denominator")
+        .when(no_numerator, "numerator")
+        .when(~is_total & no_denominator, "denominator")
         .when(~numerator.isin(numeric), "numerator type")
         .when(~is_total & ~denominator.isin(numeric), "denominator type")
         .when(~is_total & (F.col("denominator_total") == 0), "zero")
@@ -148,7 +152,7 @@ def evaluate(rows: DataFrame, headers: list[str], numeric: list[str],
     })
     return flagged.drop("_gap", "_value", "_problem", "_report_problem", "_outside", "is_total",
                         "numerator", "denominator", "numerator_total", "denominator_total",
-                        "low", "high")
+                        "low", "high", "has_numerator", "has_denominator")
 
 
 def compute_kpis(facts: DataFrame, kpi_list: Sequence[str], catalog: dict[str, KpiDef],
@@ -209,14 +213,26 @@ def numerator_of() -> Column:
 
 def compute_requests(facts: DataFrame, requested: DataFrame, catalog: DataFrame,
                      mapping: DataFrame, key: str = "request_id", exact: bool = True,
-                     validate_totals: bool = False) -> DataFrame:
+                     validate_totals: bool = False, file_headers: DataFrame | None = None,
+                     periods: DataFrame | None = None, date_column: str | None = None) -> DataFrame:
     """KPIs of many requests over one keyed fact table in one job.
 
     ``requested`` is (key, position, kpi_id) and ``mapping`` one row per (key, kpi_id). The facts
     are summed per key first, so only one row per key is shuffled from each task, and the KPI
     rows meet sums instead of facts. A key without facts has totals of zero, like an empty file.
+
+    ``file_headers`` (key, header) says which columns each request's own file has: one it lacks is
+    null in the shared table and is flagged instead of summing to zero. ``periods`` (key,
+    period_start, period_end) keeps each request's facts of its own days by ``date_column``, both
+    days included and open without a bound.
     """
     headers, numeric = facts.columns, numeric_columns(facts)
+    if periods is not None:
+        day = F.to_date(date_column)
+        inside = (F.coalesce(day >= F.to_date("period_start"), F.col("period_start").isNull())
+                  & F.coalesce(day <= F.to_date("period_end"), F.col("period_end").isNull()))
+        bounds = periods.select(key, "period_start", "period_end")
+        facts = facts.join(bounds, key, "left").where(inside).select(*headers)
     used = [c for c in mapped_columns(mapping, headers) if c in numeric]
     totals, where = column_totals(facts, used, [F.col(key)], exact)
     sums = totals.select(key, F.array(*where.values()).cast("array<double>").alias("_sums"))
@@ -246,6 +262,11 @@ def compute_requests(facts: DataFrame, requested: DataFrame, catalog: DataFrame,
         summed("_num_col").alias("numerator_total"), summed("_den_col").alias("denominator_total"),
         F.col("_low").alias("low"), F.col("_high").alias("high"),
     )
+    if file_headers is not None:
+        for side in ("numerator", "denominator"):
+            held = file_headers.select(key, F.col("header").alias(side), F.lit(True).alias(f"has_{side}")).distinct()
+            rows = rows.join(held, [key, side], "left").withColumn(
+                f"has_{side}", F.coalesce(F.col(f"has_{side}") & F.col(side).isin(headers), F.lit(False)))
     return evaluate(rows, headers, numeric, validate_totals)
 
 
@@ -283,13 +304,16 @@ def kpi_trend(facts: DataFrame, date_column: str, granularity: str, kpi_list: Se
 
 
 def period_delta(trend: DataFrame, dimensions: Sequence[str] = (),
-                 threshold: float = 0.5) -> DataFrame:
+                 threshold: float = 0.5, granularity: str = "weekly") -> DataFrame:
     """Change against the previous period; flagged when it exceeds half of it either way.
 
-    The window runs over aggregated rows: one per period of a KPI and dimension value.
+    The previous period is the one just before by the calendar: after a period without facts there
+    is nothing to compare with. The window runs over aggregated rows: one per period of a KPI and
+    dimension value.
     """
     series = W.partitionBy("kpi_id", *dimensions).orderBy("period")
-    previous = F.lag("value").over(series)
+    adjacent = F.lag("period").over(series) == grain(F.col("period") - F.expr("INTERVAL 1 DAY"), granularity)
+    previous = F.when(adjacent, F.lag("value").over(series))
     return (
         trend.withColumn("previous", previous)
         .withColumn("delta", F.when(F.col("previous") != 0,

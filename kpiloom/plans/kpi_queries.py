@@ -173,6 +173,42 @@ def kpi_requests(spark, sf_dir):
     return results.select("request_id", "position", "kpi_id", "value", text_of("flags"))
 
 
+@query("kpi_requests_own_files", f"""
+    WITH f AS (SELECT l_orderkey, {sum_sql('l_extendedprice')} AS price, {sum_sql('l_tax')} AS tax, {sum_sql('l_discount')} AS discount
+               FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+               WHERE CAST(l_shipdate AS DATE) >= CAST(o_orderdate AS DATE) + 30 GROUP BY l_orderkey),
+    r AS (SELECT CAST(o_orderkey AS STRING) AS request_id, o_orderkey % 3 = 0 AS lacks, COALESCE(price, 0) AS price,
+                 COALESCE(tax, 0) AS tax, COALESCE(discount, 0) AS discount FROM orders LEFT JOIN f ON l_orderkey = o_orderkey)
+    SELECT request_id, 'gross_sales' AS kpi_id, ROUND(price, 4) AS value, '' AS flags FROM r
+    UNION ALL SELECT request_id, 'tax_to_discount', CASE WHEN NOT lacks AND discount <> 0 THEN ROUND(tax / discount, 4) END,
+        CASE WHEN lacks THEN 'denominator column ''l_discount'' missing' WHEN discount = 0 THEN 'denominator is zero'
+             WHEN tax / discount > 1 THEN 'value above expected max 1' ELSE '' END FROM r""")
+def kpi_requests_own_files(spark, sf_dir):
+    """One request per order, with a period and a file of its own; every third file lacks the discounts."""
+    orders = table(spark, sf_dir, "orders").withColumn("request_id", F.col("o_orderkey").cast("string"))
+    lacks = F.col("o_orderkey") % 3 == 0
+    discount = F.when(F.col("l_orderkey") % 3 != 0, F.col("l_discount"))
+    facts = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("request_id"), "l_shipdate", "l_extendedprice", "l_tax",
+        discount.alias("l_discount"))
+    kpis = ["gross_sales", "tax_to_discount"]
+    requested = orders.select("request_id", F.posexplode(F.array(*map(F.lit, kpis))).alias("position", "kpi_id"))
+    nothing = F.lit(None).cast("string")
+    mapped = requested.select(
+        "request_id", "kpi_id", F.when(F.col("position") == 0, "l_extendedprice").alias("raw_column"),
+        F.when(F.col("position") == 1, "l_tax").alias("numerator_column"),
+        F.when(F.col("position") == 1, "l_discount").otherwise(nothing).alias("denominator_column"))
+    files = orders.select("request_id", F.explode(F.array_compact(F.array(
+        F.lit("l_extendedprice"), F.lit("l_tax"), F.when(~lacks, "l_discount")))).alias("header"))
+    periods = orders.select("request_id", F.date_add(F.to_date("o_orderdate"), 30).alias("period_start"),
+                            F.lit(None).cast("date").alias("period_end"))
+    results = kpi.compute_requests(
+        facts, requested, catalog_frame(spark), mapped, file_headers=files, periods=periods, date_column="l_shipdate")
+    return kpi.values_only(results).select(
+        "request_id", "kpi_id", "value",
+        F.regexp_replace(F.array_join("flags", " | "), "^value [0-9.]+", "value").alias("flags"))
+
+
 @query("kpi_request_flags", """
     SELECT request_id, CAST(COALESCE(COUNT(f), 0) AS INTEGER) AS flag_count,
            COALESCE(string_agg(kpi_id || ': ' || f, ' | ' ORDER BY position, i), '') AS data_quality_flags
@@ -258,14 +294,17 @@ def kpi_period_filtered(spark, sf_dir):
 @query("kpi_period_delta", f"""
     SELECT *, CASE WHEN previous <> 0 THEN (value - previous) / previous END AS delta,
            COALESCE(ABS((value - previous) / NULLIF(previous, 0)) > 0.5, FALSE) AS large_change
-    FROM (SELECT *, LAG(value) OVER (PARTITION BY event_type ORDER BY period) AS previous
-          FROM (SELECT date_trunc('week', ts)::TIMESTAMP AS period, event_type, ROUND({sum_sql('value')}, 4) AS value
-                FROM events GROUP BY ALL))""")
+    FROM (SELECT t.*, p.value AS previous FROM weekly t
+          LEFT JOIN weekly p ON p.event_type = t.event_type AND p.period = t.period - INTERVAL 7 DAY)""", {"weekly": f"""
+    SELECT date_trunc('week', ts)::TIMESTAMP AS period, event_type, ROUND({sum_sql('value')}, 4) AS value
+    FROM events WHERE event_type <> 'view' OR week(ts) % 3 <> 0 GROUP BY 1, 2"""})
 def kpi_period_delta(spark, sf_dir):
+    """Weekly change per event type; views have weeks without facts, which break the comparison."""
     from kpiloom.operators.kpi import ColumnMapping, KpiDef
 
     trend = kpi.kpi_trend(
-        table(spark, sf_dir, "events"), "ts", "weekly", ["event_value"],
+        table(spark, sf_dir, "events").where("event_type <> 'view' OR weekofyear(ts) % 3 <> 0"),
+        "ts", "weekly", ["event_value"],
         {"event_value": KpiDef("event_value", "value")}, {"event_value": ColumnMapping("value")},
         ["event_type"])
     return kpi.period_delta(trend, ["event_type"]).select(
