@@ -214,3 +214,21 @@ def refresh_stream(spark, sf_dir):
     period = F.date_trunc("week", "ts").cast("timestamp_ntz").alias("period")
     stream.refresh(spark, events, [period, F.col("event_type")], ["value"], f"{root}/sums", f"{root}/checkpoint")
     return stream.current_totals(spark, f"{root}/sums", ["period", "event_type"], ["value"])
+
+
+@query("refresh_in_batches", """
+    SELECT event_type, COUNT(*) AS rows, CAST(SUM(CAST(value AS DECIMAL(38,12))) AS DOUBLE) AS value,
+           CAST(SUM(user_id) AS DOUBLE) AS user_id
+    FROM events GROUP BY event_type""")
+def refresh_in_batches(spark, sf_dir):
+    """The events as several files and batches: half of them, a fold of the batches, then the other half."""
+    events = table(spark, sf_dir, "events")
+    root = scratch_path(spark, "batches")
+    columns = ["value", "user_id"]
+    for half in (0, 1):
+        events.where(F.col("event_id") % 2 == half).repartition(3).write.mode("append").parquet(f"{root}/files")
+        arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/files")
+        stream.refresh(spark, arriving, [F.col("event_type")], columns, f"{root}/sums", f"{root}/checkpoint")
+        if half == 0:
+            stream.compact(spark, f"{root}/sums", ["event_type"], columns)
+    return stream.current_totals(spark, f"{root}/sums", ["event_type"], columns)

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from kpiloom.functions.numbers import EXACT_PARTS, exact_parts, exact_value, present
 from kpiloom.operators.kpi import ColumnMapping, KpiDef, kpis_from_totals
 
 
+_FOLDED = "-folded"
+
+
 def partial_sums(facts: DataFrame, keys: Sequence[Column], columns: Sequence[str]) -> DataFrame:
     """Per key: rows, and the exact parts of each column's sum, which add up across files."""
     sums = [F.count(F.lit(1)).alias("rows")]
@@ -66,7 +70,7 @@ def refresh(spark: SparkSession, stream: DataFrame, keys: Sequence[Column], colu
 def current_totals(spark: SparkSession, target: str, keys: Sequence[str],
                    columns: Sequence[str]) -> DataFrame:
     """Totals over all batches so far, as doubles."""
-    merged = _merged(spark.read.parquet(target), keys, columns)
+    merged = _merged(_stored(spark, target), keys, columns)
     return merged.select(*keys, "rows", *[
         exact_value({name: F.col(f"{c}__{name}") for name in EXACT_PARTS}).alias(c)
         for c in columns])
@@ -84,8 +88,26 @@ def current_kpis(spark: SparkSession, target: str, keys: Sequence[str], columns:
                           "report_flags")
 
 
-def compact(spark: SparkSession, target: str, into: str, keys: Sequence[str],
-            columns: Sequence[str]) -> None:
-    """Fold all batches into one table of sums, so that reading does not grow with batches."""
-    _merged(spark.read.parquet(target), keys, columns).write.mode("overwrite").parquet(
-        f"{into}/batch=0")
+def compact(spark: SparkSession, target: str, keys: Sequence[str], columns: Sequence[str]) -> None:
+    """Fold all batches so far into one table of sums, so that reading does not grow with batches.
+
+    The fold carries the number of the last batch in it. Readers take the newest fold and the batches
+    after it, so batches may keep coming to the same place, and a fold cut off by a failure is made again.
+    """
+    last = spark.read.parquet(target).agg(F.max("batch")).first()[0]
+    _merged(_stored(spark, target), keys, columns).write.mode("overwrite").parquet(
+        f"{target}{_FOLDED}/upto={last}")
+
+
+def _stored(spark: SparkSession, target: str) -> DataFrame:
+    """The newest fold and the batches after it; all batches when none is folded."""
+    batches = spark.read.parquet(target)
+    try:
+        folds = spark.read.parquet(f"{target}{_FOLDED}")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return batches.drop("batch")
+    upto = folds.agg(F.max("upto")).first()[0]
+    return folds.where(F.col("upto") == upto).drop("upto").unionByName(
+        batches.where(F.col("batch") > upto).drop("batch"))
