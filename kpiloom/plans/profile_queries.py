@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from kpiloom.operators import profile
 from kpiloom.plans.registry import query
@@ -142,19 +142,26 @@ def profile_digest(spark, sf_dir):
     return profile.digest(profile.profile_columns(events, ["event_id"]))
 
 
+def with_repeats(frame: DataFrame, condition: str) -> DataFrame:
+    """The whole table, with the rows that meet the condition coming twice more."""
+    again = frame.where(condition)
+    return frame.unionByName(again).unionByName(again)
+
+
 @query("duplicate_rows", """
-    SELECT COUNT(*) AS row_count, COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT p_brand, p_type, p_size FROM part)) AS duplicate_row_count
+    SELECT COUNT(*) + 2 * COUNT(*) FILTER (p_size % 3 = 0) AS row_count,
+           2 * COUNT(*) FILTER (p_size % 3 = 0) AS duplicate_row_count
     FROM part""")
 def duplicate_rows(spark, sf_dir):
-    return profile.duplicate_counts(table(spark, sf_dir, "part").select("p_brand", "p_type", "p_size"))
+    return profile.duplicate_counts(with_repeats(table(spark, sf_dir, "part"), "p_size % 3 = 0"))
 
 
 @query("duplicate_line_items", """
-    SELECT COUNT(*) AS row_count, COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT l_quantity, l_discount, l_tax + 0.0, l_returnflag, l_linestatus FROM lineitem)) AS duplicate_row_count
-    FROM lineitem""")
+    WITH t AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 2
+               UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 2)
+    SELECT COUNT(*) AS row_count, COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM t)) AS duplicate_row_count FROM t""")
 def duplicate_line_items(spark, sf_dir):
-    return profile.duplicate_counts(table(spark, sf_dir, "lineitem").select(
-        "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"))
+    return profile.duplicate_counts(with_repeats(table(spark, sf_dir, "lineitem"), "l_linenumber = 2"))
 
 
 @query("first_samples", " UNION ALL ".join(f"""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -35,6 +37,14 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
     return spark
 
 
+@cache
+def _local_root() -> str:
+    """One folder per process, removed when the process ends."""
+    root = tempfile.TemporaryDirectory(prefix="kpiloom-", ignore_cleanup_errors=True)
+    atexit.register(root.cleanup)
+    return root.name
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared location named by ``spark.checkpoint.dir``.
 
@@ -45,5 +55,5 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="kpiloom-")
+        root = _local_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
