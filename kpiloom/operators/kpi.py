@@ -304,16 +304,18 @@ def kpi_trend(facts: DataFrame, date_column: str, granularity: str, kpi_list: Se
 
 
 def period_delta(trend: DataFrame, dimensions: Sequence[str] = (),
-                 threshold: float = 0.5, granularity: str = "weekly") -> DataFrame:
+                 threshold: float = 0.5, granularity: str | None = None) -> DataFrame:
     """Change against the previous period; flagged when it exceeds half of it either way.
 
-    The previous period is the one just before by the calendar: after a period without facts there
-    is nothing to compare with. The window runs over aggregated rows: one per period of a KPI and
+    With ``granularity`` the previous period is the one just before by the calendar: after a period
+    without facts there is nothing to compare with. Without it, it is the row before. The window runs over aggregated rows: one per period of a KPI and
     dimension value.
     """
     series = W.partitionBy("kpi_id", *dimensions).orderBy("period")
-    adjacent = F.lag("period").over(series) == grain(F.col("period") - F.expr("INTERVAL 1 DAY"), granularity)
-    previous = F.when(adjacent, F.lag("value").over(series))
+    previous = F.lag("value").over(series)
+    if granularity is not None:
+        day_before = F.col("period") - F.expr("INTERVAL 1 DAY")
+        previous = F.when(F.lag("period").over(series) == grain(day_before, granularity), previous)
     return (
         trend.withColumn("previous", previous)
         .withColumn("delta", F.when(F.col("previous") != 0,

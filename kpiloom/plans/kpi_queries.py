@@ -307,7 +307,7 @@ def kpi_period_delta(spark, sf_dir):
         "ts", "weekly", ["event_value"],
         {"event_value": KpiDef("event_value", "value")}, {"event_value": ColumnMapping("value")},
         ["event_type"])
-    return kpi.period_delta(trend, ["event_type"]).select(
+    return kpi.period_delta(trend, ["event_type"], granularity="weekly").select(
         F.col("period").cast("timestamp_ntz").alias("period"), "event_type", "value", "previous",
         "delta", "large_change")
 

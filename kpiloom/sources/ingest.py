@@ -6,11 +6,11 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kpiloom.functions.frames import literal_rows
 from kpiloom.operators.profile import duplicate_counts, profile_columns
-from kpiloom.sources import delimited, staging
+from kpiloom.sources import delimited, staging, uploads
 
 
 @dataclass(frozen=True)
@@ -21,7 +21,14 @@ class Upload:
 
 
 def ingest_upload(spark: SparkSession, upload: Upload, root: str) -> None:
-    """Stage one delimited upload and register it; running it again replaces both."""
+    """Admit, stage and register one delimited upload; running it again replaces both.
+
+    An upload with a file of another type, or one too large, fails with the reason of the first.
+    """
+    files = uploads.admit(uploads.list_files(spark, upload.path), allowed=[".csv"])
+    refused = files.where(~F.col("accepted")).agg(F.min_by("reason", "filename")).first()[0]
+    if refused:
+        raise ValueError(refused)
     scanned = delimited.with_normalised_headers(delimited.scan_delimited(spark, upload.path))
     staged = spark.read.parquet(staging.stage(scanned, root, upload.upload_id))
     row = staging.registry_row(profile_columns(staged), duplicate_counts(staged),
@@ -29,7 +36,7 @@ def ingest_upload(spark: SparkSession, upload: Upload, root: str) -> None:
     staging.register(row, f"{root}/registry", upload.upload_id)
 
 
-def ingest_uploads(spark: SparkSession, uploads: Sequence[Upload], root: str,
+def ingest_uploads(spark: SparkSession, jobs: Sequence[Upload], root: str,
                    at_once: int = 4) -> DataFrame:
     """Run many uploads, a few jobs side by side, and return (upload_id, error_message).
 
@@ -40,10 +47,10 @@ def ingest_uploads(spark: SparkSession, uploads: Sequence[Upload], root: str,
             ingest_upload(spark, upload, root)
             return upload.upload_id, None
         except Exception as error:  # the outcome row carries it, as for any bad upload
-            return upload.upload_id, str(error).split("\n")[0]
+            return upload.upload_id, str(error)
 
     with ThreadPoolExecutor(at_once) as pool:
-        outcomes = list(pool.map(attempt, uploads))
+        outcomes = list(pool.map(attempt, jobs))
     frame = literal_rows(spark, outcomes, ["upload_id", "error_message"])
     return frame.selectExpr("CAST(upload_id AS BIGINT) AS upload_id",
                             "CAST(error_message AS STRING) AS error_message")

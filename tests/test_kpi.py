@@ -160,6 +160,13 @@ def test_period_delta(spark):
     assert rows[3]["delta"] == -1.0 and rows[4]["delta"] is None and not rows[4]["large_change"]
 
 
+def test_period_delta_knows_the_calendar(spark):
+    trend = spark.sql("SELECT 'k' AS kpi_id, period, value FROM VALUES (timestamp_ntz'2024-01-01', 1.0D), "
+                      "(timestamp_ntz'2024-02-01', 2.0D), (timestamp_ntz'2024-04-01', 4.0D) AS t(period, value)")
+    rows = kpi.period_delta(trend, granularity="monthly").orderBy("period").collect()
+    assert [r["previous"] for r in rows] == [None, 1.0, None]
+
+
 def test_recipe_filters_must_be_offered(facts):
     assert recipe.apply_filters(facts, ["g"], {"g": ["x"]}).count() == 2
     with pytest.raises(ValueError):

@@ -78,9 +78,14 @@ def test_uploads_fail_alone_and_can_run_again(spark, tmp_path):
             f"2024-01-{d:02d},{d * i},n{d}\n" for d in range(1, 11)) + f"2024-01-01,{i},n1\n")
         jobs.append(ingest.Upload(i, "c", str(tmp_path / f"u{i}.csv")))
     jobs.append(ingest.Upload(9, "c", str(tmp_path / "gone.csv")))
+    (tmp_path / "book.xlsx").write_text("a,b\n1,2\n")
+    (tmp_path / "ragged.csv").write_text("a,b\n1,2,3\n")
+    jobs += [ingest.Upload(7, "c", str(tmp_path / "book.xlsx")), ingest.Upload(8, "c", str(tmp_path / "ragged.csv"))]
     for _ in range(2):
         outcome = {r["upload_id"]: r["error_message"] for r in ingest.ingest_uploads(spark, jobs, root).collect()}
         assert [outcome[i] for i in range(3)] == [None] * 3 and "gone.csv" in outcome[9]
+        assert outcome[7] == "Unsupported file type '.xlsx'. Upload .csv."
+        assert "more fields than the header" in outcome[8]
     rows = {r["upload_id"]: r for r in spark.read.parquet(f"{root}/registry").collect()}
     assert set(rows) == {0, 1, 2}
     assert all(r["row_count"] == 11 and r["column_count"] == 3 for r in rows.values())
