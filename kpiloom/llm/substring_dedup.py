@@ -164,7 +164,7 @@ def _parsed(keyed: DataFrame, window: int) -> DataFrame:
 
 
 def _windows(candidates: DataFrame, window: int) -> DataFrame:
-    """The windows of candidate texts whose anchor other texts have as well, or that have none."""
+    """The distinct windows of candidate texts whose anchor other texts have as well, or that have none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in _slices(batch, "body"):
@@ -181,15 +181,16 @@ def _windows(candidates: DataFrame, window: int) -> DataFrame:
                     keep[a:b] |= np.isin(anchor[a:b], flat[ends[d] : ends[d + 1]])
                 at, owner = at[keep], owner[keep]
                 h1, h2 = window_hashes(hashes, at, window)
-                rows = pa.array(owner)
+                once = np.unique(h1 ^ _mix(owner.astype(np.uint64)), return_index=True)[1]
+                h1, h2, rows = h1[once], h2[once], pa.array(owner[once])
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id").take(rows), part.column("t1").take(rows), pa.array(h1.view(np.int64)),
-                    pa.array(h2.view(np.int64)), pa.array((at - starts[owner]).astype(np.int32)),
-                ], names=["doc_id", "t1", "h1", "h2", "place"])
+                    pa.array(h2.view(np.int64)),
+                ], names=["doc_id", "t1", "h1", "h2"])
 
     kind = candidates.schema["doc_id"].dataType.simpleString()
     return candidates.select("doc_id", "t1", "body", "shared").mapInArrow(
-        run, f"doc_id {kind}, t1 long, h1 long, h2 long, place int")
+        run, f"doc_id {kind}, t1 long, h1 long, h2 long")
 
 
 def _cut(found: DataFrame, window: int) -> DataFrame:
@@ -197,10 +198,13 @@ def _cut(found: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, removed = [], []
-            for text, places in zip(batch.column("body"), batch.column("places"), strict=True):
+            for text, gone_windows in zip(batch.column("body"), batch.column("gone_windows"), strict=True):
                 words = text.as_py().encode().split()
                 gone = np.zeros(len(words) + 1, dtype=np.int64)
-                starts = places.values.to_numpy(zero_copy_only=False)
+                hashes, _ = word_hashes([text.as_py()])
+                at = np.arange(len(words) - window + 1)
+                found = gone_windows.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                starts = at[np.isin(window_hashes(hashes, at, window)[0], found)]
                 np.add.at(gone, starts, 1)
                 np.subtract.at(gone, starts + window, 1)
                 stays = np.cumsum(gone)[:-1] == 0
@@ -211,7 +215,7 @@ def _cut(found: DataFrame, window: int) -> DataFrame:
                  pa.array(removed, pa.int64())], names=["doc_id", "t1", "t2", "kept_text", "removed"])
 
     kind = found.schema["doc_id"].dataType.simpleString()
-    return found.select("doc_id", "t1", "t2", "body", "places").mapInArrow(
+    return found.select("doc_id", "t1", "t2", "body", "gone_windows").mapInArrow(
         run, f"doc_id {kind}, t1 long, t2 long, kept_text string, removed long")
 
 
@@ -252,11 +256,11 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     repeated = windows.groupBy("h1", "h2").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.bool_or(F.col("doc_id").isNull()).alias("open")
     ).where("least < most or (least is not null and open)").select("h1", "h2", "least")
-    hits = windows.join(repeated, ["h1", "h2"]).where("doc_id is null or least < doc_id").select("doc_id", "t1", "place")
-    places = hits.groupBy(F.col("doc_id").alias("hit_id"), F.col("t1").alias("hit_t1")).agg(
-        F.collect_set("place").alias("places"))
+    hits = windows.join(repeated, ["h1", "h2"]).where("doc_id is null or least < doc_id").select("doc_id", "t1", "h1")
+    gone = hits.groupBy(F.col("doc_id").alias("hit_id"), F.col("t1").alias("hit_t1")).agg(
+        F.collect_set("h1").alias("gone_windows"))
     cut = _cut(candidates.dropDuplicates(["t1", "t2"]).join(
-        places, (F.col("t1") == F.col("hit_t1")) & F.col("doc_id").eqNullSafe(F.col("hit_id"))), window)
+        gone, (F.col("t1") == F.col("hit_t1")) & F.col("doc_id").eqNullSafe(F.col("hit_id"))), window)
     named = materialised(
         firsts.join(cut.select(F.col("t1").alias("cut_t1"), F.col("t2").alias("cut_t2"), "kept_text", "removed"),
                     (F.col("t1") == F.col("cut_t1")) & (F.col("t2") == F.col("cut_t2")), "left")
