@@ -25,11 +25,11 @@ _HALF_BITS = 32
 _SPREAD = 0.57  # share of a node's rows in its larger child, boundary rows included
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """A bit is set if it is set in over half the shingles' hashes; without words the fingerprint is 0."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """One hash per shingle, repeats included; a text of fewer words is one shingle, one without words none."""
     ws = (text or "").encode().lower().split()  # bytes: only A-Z and ASCII white space are special
     if not ws:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     joined = memoryview(b" ".join(ws))
     ends, at = [], -1
     for w in ws:
@@ -37,7 +37,14 @@ def fingerprint(text: str | None, shingle: int) -> int:
         ends.append(at)
     starts = [0, *[e + 1 for e in ends[:-1]]]
     spans = zip(starts, ends[shingle - 1 :], strict=False) if len(ws) >= shingle else [(0, ends[-1])]
-    hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in spans], dtype=np.uint64)
+    return np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in spans], dtype=np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """A bit is set if it is set in over half the shingles' hashes; without words the fingerprint is 0."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 8192):
         some = hashes[i : i + 8192]
