@@ -29,8 +29,8 @@ ALLOWED = (
 
 @dataclass(frozen=True)
 class CharClass:
-    """Strings made of one set of characters, the window slid over them and the entropy that is too high
-    for text (bits per character; a window of n characters has log2(n) at most)."""
+    """A set of characters, the window slid over each maximal run of them inside a candidate and the entropy
+    that is too high for text (bits per character; a window of n characters has log2(n) at most)."""
 
     pattern: str
     window: int
@@ -38,9 +38,9 @@ class CharClass:
 
 
 CLASSES = (
-    CharClass(r"^[0-9a-fA-F]+$", 24, 3.0),
-    CharClass(r"^[A-Za-z0-9]+$", 20, 3.6),
-    CharClass(r"^[A-Za-z0-9+/_=-]+$", 20, 3.8),
+    CharClass(r"[0-9a-fA-F]+", 20, 3.0),
+    CharClass(r"[A-Za-z0-9]+", 20, 3.6),
+    CharClass(r"[A-Za-z0-9+/_=-]+", 20, 3.8),
 )
 
 
@@ -108,6 +108,18 @@ def entropy_spans(value: Column, window: int, bits: float) -> Column:
             s["out"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).otherwise(s["out"]))
 
 
+def _united(spans: Column) -> Column:
+    """Spans (start, end) by start, those that overlap or touch as one."""
+    def step(out: Column, s: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(last["end"] >= s["start"], F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(longer))
+                      ).otherwise(F.concat(out, F.array(s)))
+
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+    return F.aggregate(F.array_sort(spans), empty, step)
+
+
 def _candidate_spans(spans: Column, allowed: tuple[str, ...], classes: tuple[CharClass, ...]) -> Column:
     def readable(s: Column) -> Column:
         out = ~(s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
@@ -115,14 +127,15 @@ def _candidate_spans(spans: Column, allowed: tuple[str, ...], classes: tuple[Cha
             out = out | s["value"].rlike(pattern)
         return out
 
-    def windows(s: Column) -> Column:
-        found = F.array().cast("array<struct<start:int,end:int>>")
-        for c in reversed(classes):
-            found = F.when(s["value"].rlike(c.pattern), entropy_spans(s["value"], c.window, c.bits)).otherwise(found)
-        return F.transform(found, lambda w: F.struct(
-            (s["start"] + w["start"]).alias("start"), (s["start"] + w["end"]).alias("end")))
+    def of_class(s: Column, c: CharClass) -> Column:
+        runs = _spans(F.regexp_extract_all(s["value"], F.lit(c.pattern), F.lit(0)), F.split(s["value"], c.pattern, -1))
+        runs = F.filter(runs, lambda r: (F.length(r["value"]) >= c.window) & ~readable(r))
+        return F.flatten(F.transform(runs, lambda r: F.transform(
+            entropy_spans(r["value"], c.window, c.bits), lambda w: F.struct(
+                (s["start"] + r["start"] + w["start"]).alias("start"), (s["start"] + r["start"] + w["end"]).alias("end")))))
 
-    return F.flatten(F.transform(F.filter(spans, lambda s: ~readable(s)), windows))
+    return F.flatten(F.transform(
+        F.filter(spans, lambda s: ~readable(s)), lambda s: _united(F.concat(*[of_class(s, c) for c in classes]))))
 
 
 def scan(
@@ -132,7 +145,8 @@ def scan(
 
     The base kinds are leftmost, non-overlapping matches, of which too short ones are dropped after they
     have matched. Kind ``entropy`` adds the high-entropy stretches of candidate strings that no allow-list
-    pattern covers whole. Positions are code points, the end is exclusive. Texts are scanned where they
+    pattern covers whole: each class's window slides over the maximal runs of its characters inside them, and
+    a run is left out where it would be allowed as a candidate. Positions are code points, the end is exclusive. Texts are scanned where they
     are read, whole; only texts with a match pay for more than the search.
 
     Null and empty texts have no spans. Repeated rows are each scanned. A column of the added name is

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 
 import pytest
@@ -86,3 +87,37 @@ def test_query(spark, empty_docs):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for _, _, x, _ in want) for k in ("assign", "access", "hex"))
     assert len(rows) == len(texts)
     assert secrets.scan(empty_docs).count() == 0
+
+
+def slow_candidate_spans(value):
+    def readable(v):
+        return not (re.search("[0-9]", v) and re.search("[A-Za-z]", v)) or any(re.search(p, v) for p in secrets.ALLOWED)
+
+    at = set()
+    for c in () if readable(value) else secrets.CLASSES:
+        for m in re.finditer(c.pattern, value):
+            if not readable(m[0]):
+                for a, b in slow_entropy(m[0], c.window, c.bits):
+                    at |= set(range(m.start() + a, m.start() + b))
+    return at
+
+
+def test_runs_inside_candidates(spark):
+    """Upper-case hex joined to a name or path is covered as it is alone, whatever stands before it."""
+    rng = random.Random(4)
+    texts = []
+    for i in range(60):
+        value = "".join(rng.choices("0123456789ABCDEF", k=rng.choice((20, 23, 40, 64))))
+        texts.append(("", "KEY=", "/", "session-id=", "a/b/SIG=")[i % 5] + value + ("", "-end", "/x")[i % 3])
+    texts += ["order-12345678901234567890-x1", "path/to/averylongwordwithoutanydigit2/file"]
+    texts += ["".join(rng.choices("ab01XYZ9=/-_+", k=rng.randint(20, 90))) for _ in range(40)]
+    frame = spark.createDataFrame(list(enumerate(f"see {t} end" for t in texts)), "doc_id long, text string")
+    covered = 0
+    for r in secrets.scan(frame).collect():
+        spans = [s for s in r["secret_spans"] if s["kind"] == "entropy"]
+        got = {x - 4 for s in spans for x in range(s["start"], s["end"])}
+        assert all(x["end"] < y["start"] for x, y in zip(spans, spans[1:]))
+        assert got == slow_candidate_spans(texts[r["doc_id"]]), texts[r["doc_id"]]
+        hexes = {x for m in re.finditer("[0-9A-F]{20,}", texts[r["doc_id"]]) for x in range(*m.span())}
+        covered += r["doc_id"] < 60 and len(hexes & got) >= 0.9 * len(hexes)
+    assert covered >= 54
