@@ -3,6 +3,8 @@ target and the raw corpus."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,53 +25,54 @@ def buckets_of(ws: Column, buckets: int) -> Column:
     return F.concat(F.transform(ws, lambda w: one(w)), pairs)
 
 
-def bucket_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, n) over all texts; every task sums its own part first."""
-    ws = docs.select(words(F.col("text")).alias("ws"))
-    return ws.select(F.explode(buckets_of(F.col("ws"), buckets)).alias("bucket")).groupBy("bucket").agg(
-        F.count("*").alias("n"))
+def buckets_for(grams: int) -> int:
+    """The power of two that reaches eight times the root of the number of n-grams, 65,536 at least: the
+    vocabulary of a text grows with about the root of its length."""
+    return 1 << max(16, math.ceil(math.log2(8 * math.sqrt(max(grams, 1)))))
+
+
+def gram_count(docs: DataFrame) -> int:
+    """The number of words and pairs of neighbours in all texts."""
+    return docs.agg(F.coalesce(F.sum(F.greatest(2 * F.size(words(F.col("text"))) - 1, F.lit(0))), F.lit(0))).first()[0]
 
 
-def trusted_documents(docs: DataFrame, trusted: DataFrame, max_trusted: int) -> DataFrame:
-    """The trusted documents: the ``max_trusted`` ids with the smallest hash, which bounds the broadcast."""
-    ids = trusted.where("doc_id is not null").select("doc_id").distinct().orderBy(
-        F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
-    return docs.join(F.broadcast(ids), "doc_id", "left_semi")
+def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, raw, hit): n-grams of all texts and of all trusted ones; every task sums its own part first."""
+    ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("trusted_id")).distinct()
+    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
+    grams = marked.select("trusted_id", F.explode(buckets_of(words(F.col("text")), buckets)).alias("bucket"))
+    return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted_id").alias("hit"))
 
 
-def ratios(docs: DataFrame, trusted: DataFrame, buckets: int, prior: float, max_trusted: int) -> DataFrame:
+def ratios(docs: DataFrame, trusted: DataFrame, buckets: int, prior: float) -> DataFrame:
     """One row: the log ratio of every bucket, in units of 2^-20 nat. The raw side is smoothed by one count
     a bucket, the target by ``prior`` counts spread like the raw side."""
-    raw = bucket_counts(docs, buckets).select("bucket", F.col("n").alias("raw"), F.lit(0).cast("long").alias("hit"))
-    target = bucket_counts(trusted_documents(docs, trusted, max_trusted), buckets).select(
-        "bucket", F.lit(0).cast("long").alias("raw"), F.col("n").alias("hit"))
-    counts = materialised(
-        raw.union(target).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("hit").alias("hit")),
-        "rule-counts")
+    counts = materialised(bucket_counts(docs, trusted, buckets), "rule-counts")
     n_raw, n_hit = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("hit"), F.lit(0))).first()
     p_raw = (F.coalesce(F.col("raw"), F.lit(0)) + 1) / float(n_raw + buckets)
     p_hit = (F.coalesce(F.col("hit"), F.lit(0)) + prior * p_raw) / float(n_hit + prior)
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    value = F.round(F.ln(p_hit / p_raw) * _UNIT).cast("long")
+    value = F.round(F.ln(p_hit / p_raw) * _UNIT).cast("int")
     table = every.join(counts, "bucket", "left").select(F.struct("bucket", value.alias("v")).alias("entry"))
     return table.agg(F.transform(F.array_sort(F.collect_list("entry")), lambda e: e["v"]).alias("ratios"))
 
 
 def judge(
-    docs: DataFrame, trusted: DataFrame, threshold: float = -0.3, buckets: int = 1 << 16,
-    prior: float = 1000.0, max_trusted: int = 20_000, min_words: int = 10, max_repeat_percent: int = 20,
+    docs: DataFrame, trusted: DataFrame, threshold: float = -0.3, buckets: int | None = None,
+    prior: float = 1000.0, min_words: int = 10, max_repeat_percent: int = 20,
 ) -> DataFrame:
     """All columns of ``docs`` with the counts, ``llr`` (mean ratio per n-gram, in nats) and ``kept``.
 
     A document is kept if it passes the base rules and its ``llr`` reaches ``threshold``. ``trusted``
-    (doc_id) names target documents. Counts cover all documents; what all tasks share is one array of
-    ``buckets`` numbers. Texts are scored where they are read: no row is shuffled.
+    (doc_id) names target documents. Counts cover all documents, trusted and raw; what all tasks share is one
+    array of ``buckets`` numbers, by default as many as ``buckets_for`` the corpus's n-grams. Texts are scored
+    where they are read; for the counts they are shuffled only if the trusted ids are too many to broadcast.
 
     Null text counts as empty: no words, base_failed, llr 0. Repeated rows are counted and judged each.
     Columns of the added names are replaced. With no trusted documents every ratio is near 0 and only the
     base rules decide. An empty table gives an empty table.
     """
-    table = ratios(docs, trusted, buckets, prior, max_trusted)
+    table = ratios(docs, trusted, buckets or buckets_for(gram_count(docs)), prior)
     kept = [c for c in docs.columns if c not in _ADDED]
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.struct(*kept).alias("row"), text.alias("body"), words(F.col("text")).alias("ws"))

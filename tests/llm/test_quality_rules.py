@@ -56,3 +56,18 @@ def test_empty_and_untrusted(empty_docs, edge_docs):
     assert quality_rules.judge(empty_docs, empty_docs.select("doc_id")).count() == 0
     rows = quality_rules.judge(edge_docs, empty_docs.select("doc_id")).collect()
     assert all(abs(r["llr"]) < 1e-6 for r in rows)
+
+
+def test_all_trusted_documents_count(spark):
+    """25,000 trusted texts without a common word: each is like the target it is part of."""
+    docs = spark.range(25_000).selectExpr("id as doc_id", "concat_ws(' ', concat('a', id), concat('b', id), concat('c', id)) as text")
+    rows = quality_rules.judge(docs, docs.select("doc_id"), buckets=1 << 18, min_words=1)
+    assert rows.agg(F.min("llr")).first()[0] > 0
+    counts = quality_rules.bucket_counts(docs, docs.select("doc_id"), 1 << 16)
+    assert counts.where("raw <> hit").count() == 0 and counts.agg(F.sum("hit")).first()[0] == 5 * 25_000
+
+
+def test_buckets_follow_the_corpus(spark, edge_docs):
+    assert [quality_rules.buckets_for(n) for n in (0, 10**7, 10**8, 10**10)] == [1 << 16, 1 << 16, 1 << 17, 1 << 20]
+    want = sum(max(0, 2 * len((r["text"] or "").encode().split()) - 1) for r in edge_docs.collect())
+    assert quality_rules.gram_count(edge_docs) == want
