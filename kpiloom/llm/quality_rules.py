@@ -25,57 +25,76 @@ def buckets_of(ws: Column, buckets: int) -> Column:
     return F.concat(F.transform(ws, lambda w: one(w)), pairs)
 
 
-def buckets_for(grams: int) -> int:
+def buckets_for(size: int) -> int:
     """The power of two that reaches eight times the root of the number of n-grams, 65,536 at least: the
-    vocabulary of a text grows with about the root of its length."""
-    return 1 << max(16, math.ceil(math.log2(8 * math.sqrt(max(grams, 1)))))
+    vocabulary of a text grows with about the root of its length. ``size``: UTF-8 bytes of all texts, of
+    which three are taken for an n-gram, so that the texts need not be split once more only to be counted."""
+    return 1 << max(16, math.ceil(math.log2(8 * math.sqrt(max(size / 3, 1)))))
 
 
-def gram_count(docs: DataFrame) -> int:
-    """The number of words and pairs of neighbours in all texts."""
-    return docs.agg(F.coalesce(F.sum(F.greatest(2 * F.size(words(F.col("text"))) - 1, F.lit(0))), F.lit(0))).first()[0]
+def text_bytes(docs: DataFrame) -> int:
+    """UTF-8 bytes of all texts."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
     """(bucket, raw, hit): n-grams of all texts and of all trusted ones; every task sums its own part first."""
     ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("trusted_id")).distinct()
     marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
-    grams = marked.select("trusted_id", F.explode(buckets_of(words(F.col("text")), buckets)).alias("bucket"))
+    # Words are a column of their own first: an expression would be split again for every word.
+    split = marked.select("trusted_id", words(F.col("text")).alias("ws"))
+    grams = split.select("trusted_id", F.explode(buckets_of(F.col("ws"), buckets)).alias("bucket"))
     return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted_id").alias("hit"))
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, buckets: int, prior: float) -> DataFrame:
-    """One row: the log ratio of every bucket, in units of 2^-20 nat. The raw side is smoothed by one count
-    a bucket, the target by ``prior`` counts spread like the raw side."""
+    """(bucket, v): the log ratio of every bucket that occurs, in units of 2^-20 nat. The raw side is smoothed by
+    one count a bucket, the target by ``prior`` counts spread like the raw side."""
     counts = materialised(bucket_counts(docs, trusted, buckets), "rule-counts")
     n_raw, n_hit = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("hit"), F.lit(0))).first()
-    p_raw = (F.coalesce(F.col("raw"), F.lit(0)) + 1) / float(n_raw + buckets)
-    p_hit = (F.coalesce(F.col("hit"), F.lit(0)) + prior * p_raw) / float(n_hit + prior)
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    value = F.round(F.ln(p_hit / p_raw) * _UNIT).cast("int")
-    table = every.join(counts, "bucket", "left").select(F.struct("bucket", value.alias("v")).alias("entry"))
-    return table.agg(F.transform(F.array_sort(F.collect_list("entry")), lambda e: e["v"]).alias("ratios"))
+    p_raw = (F.col("raw") + 1) / float(n_raw + buckets)
+    p_hit = (F.col("hit") + prior * p_raw) / float(n_hit + prior)
+    return counts.select("bucket", F.round(F.ln(p_hit / p_raw) * _UNIT).cast("int").alias("v"))
+
+
+def _as_array(table: DataFrame, buckets: int) -> DataFrame:
+    """One row: the ratios of ``table`` by bucket; a bucket that no text has is never asked for."""
+    every = table.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
+    entries = every.join(table, "bucket", "left").select(F.struct("bucket", "v").alias("entry"))
+    return entries.agg(F.transform(F.array_sort(F.collect_list("entry")), lambda e: e["v"]).alias("ratios"))
+
+
+def _totals(rows: DataFrame, table: DataFrame, buckets: int) -> DataFrame:
+    """(of_row, total): the sum of the ratios of each row's n-grams, by a join on the bucket. A text's equal
+    n-grams are one row, and frequent buckets are partitions that Spark may split."""
+    grams = rows.select(F.col("row_no").alias("of_row"), F.explode(buckets_of(F.col("ws"), buckets)).alias("bucket"))
+    counted = grams.groupBy("of_row", "bucket").agg(F.count("*").alias("n"))
+    return counted.join(table, "bucket").groupBy("of_row").agg(F.sum(F.col("n") * F.col("v")).alias("total"))
 
 
 def judge(
     docs: DataFrame, trusted: DataFrame, threshold: float = -0.3, buckets: int | None = None,
-    prior: float = 1000.0, min_words: int = 10, max_repeat_percent: int = 20,
+    prior: float = 1000.0, min_words: int = 10, max_repeat_percent: int = 20, shared_buckets: int = 1 << 22,
 ) -> DataFrame:
     """All columns of ``docs`` with the counts, ``llr`` (mean ratio per n-gram, in nats) and ``kept``.
 
     A document is kept if it passes the base rules and its ``llr`` reaches ``threshold``. ``trusted``
-    (doc_id) names target documents. Counts cover all documents, trusted and raw; what all tasks share is one
-    array of ``buckets`` numbers, by default as many as ``buckets_for`` the corpus's n-grams. Texts are scored
-    where they are read; for the counts they are shuffled only if the trusted ids are too many to broadcast.
+    (doc_id) names target documents. Counts cover all documents, trusted and raw, in ``buckets`` buckets, by
+    default ``buckets_for`` the corpus. Up to ``shared_buckets`` of them (16 MB) all tasks share one array
+    of ratios and texts are scored where they are read; more are joined as a table, with the same sums.
+    For the counts texts are shuffled only if the trusted ids are too many to broadcast.
 
     Null text counts as empty: no words, base_failed, llr 0. Repeated rows are counted and judged each.
     Columns of the added names are replaced. With no trusted documents every ratio is near 0 and only the
     base rules decide. An empty table gives an empty table.
     """
-    table = ratios(docs, trusted, buckets or buckets_for(gram_count(docs)), prior)
+    buckets = buckets or buckets_for(text_bytes(docs))
+    table = ratios(docs, trusted, buckets, prior)
     kept = [c for c in docs.columns if c not in _ADDED]
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.struct(*kept).alias("row"), text.alias("body"), words(F.col("text")).alias("ws"))
+    if buckets > shared_buckets:
+        rows = numbered = materialised(rows.withColumn("row_no", F.monotonically_increasing_id()), "rule-rows")
     n = F.size("ws")
     shingles = F.transform(
         F.slice("ws", F.lit(1), F.greatest(n - 4, F.lit(0))),
@@ -90,9 +109,14 @@ def judge(
     twice = F.filter(
         "ordered", lambda s, i: (s["h"] == F.get("ordered", i - 1)["h"]) | (s["h"] == F.get("ordered", i + 1)["h"]))
     covered = F.size(F.array_distinct(F.flatten(F.transform(twice, lambda s: F.sequence(s["i"], s["i"] + 4)))))
-    total = F.aggregate(
-        buckets_of(F.col("ws"), buckets), F.lit(0).cast("long"), lambda s, b: s + F.get("ratios", b))
-    rows = rows.withColumn("ratios", table.scalar())
+    if buckets <= shared_buckets:
+        rows = rows.withColumn("ratios", _as_array(table, buckets).scalar())
+        total = F.aggregate(
+            buckets_of(F.col("ws"), buckets), F.lit(0).cast("long"), lambda s, b: s + F.get("ratios", b))
+    else:
+        totals = _totals(numbered, table, buckets)
+        rows = rows.join(totals, F.col("row_no") == F.col("of_row"), "left")
+        total = F.coalesce(F.col("total"), F.lit(0))
     counted = rows.select(
         "row", n.cast("long").alias("n_words"),
         F.length(F.translate("body", SEPARATORS, "")).cast("long").alias("word_chars"),

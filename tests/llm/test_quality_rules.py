@@ -1,6 +1,11 @@
+import math
+import time
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from kpiloom.llm import quality_rules
+from kpiloom.llm import queries, quality_rules
+from kpiloom.llm.common import words
 from tests.llm.conftest import edge_texts
 
 SEP = " \t\n\x0b\x0c\r"
@@ -32,8 +37,6 @@ def test_counts(edge_docs, clashing_docs):
 
 def test_ratio_against_plain_counts(spark):
     """The mean log ratio of each text from plain dictionaries of bucket counts."""
-    import math
-
     texts = [f"good word number {i % 5} here is plain text again" for i in range(30)] + [f"junk@{i} ### !! {i * 7} zz{i}" for i in range(30)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     trusted = docs.where("doc_id < 20").select("doc_id")
@@ -68,6 +71,51 @@ def test_all_trusted_documents_count(spark):
 
 
 def test_buckets_follow_the_corpus(spark, edge_docs):
-    assert [quality_rules.buckets_for(n) for n in (0, 10**7, 10**8, 10**10)] == [1 << 16, 1 << 16, 1 << 17, 1 << 20]
-    want = sum(max(0, 2 * len((r["text"] or "").encode().split()) - 1) for r in edge_docs.collect())
-    assert quality_rules.gram_count(edge_docs) == want
+    assert [quality_rules.buckets_for(3 * n) for n in (0, 10**7, 10**8, 10**10)] == [1 << 16, 1 << 16, 1 << 17, 1 << 20]
+    assert quality_rules.text_bytes(edge_docs) == sum(len((r["text"] or "").encode()) for r in edge_docs.collect())
+
+
+def plain_ratio(spark, texts, trusted, prior=1000.0):
+    """The default rule's mean log ratio of each text, from dictionaries."""
+    frame = spark.createDataFrame([(i, t) for i, t in texts.items()], "i long, t string")
+    buckets = quality_rules.buckets_for(sum(len((t or "").encode()) for t in texts.values()))
+    grams = {r["i"]: r["b"] for r in frame.select("i", words(F.col("t")).alias("ws")).select(
+        "i", quality_rules.buckets_of(F.col("ws"), buckets).alias("b")).collect()}
+    raw, hit = Counter(), Counter()
+    for i, bs in grams.items():
+        raw.update(bs)
+        if i in trusted:
+            hit.update(bs)
+    n, m = raw.total(), hit.total()
+    p = {b: (c + 1) / (n + buckets) for b, c in raw.items()}
+    ratio = {b: math.log((hit[b] + prior * q) / (m + prior) / q) for b, q in p.items()}
+    return {i: sum(ratio[b] for b in bs) / max(1, len(bs)) for i, bs in grams.items()}
+
+
+def test_query_against_plain_counts(spark):
+    """The registered query, default parameters: ratio, base rules and verdict of every document."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    trusted = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["quality"] == 1 and r["toxic"] == 0}
+    want = plain_ratio(spark, texts, trusted)
+    rows = queries.op10_quality_rules(spark, sf).collect()
+    assert len(rows) == len(texts) and {r["kept"] for r in rows} == {True, False}
+    for r in rows:
+        got = tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))
+        assert got == slow(texts[r["doc_id"]])
+        assert abs(r["llr"] - want[r["doc_id"]]) < 1e-5
+        assert r["kept"] == (not r["base_failed"] and r["llr"] >= -0.3)
+
+
+def test_joined_ratios_are_the_shared_ones(edge_docs):
+    trusted = edge_docs.select("doc_id").where("doc_id > 20")
+    sums = [sorted((r["doc_id"], r["llr"], r["kept"]) for r in quality_rules.judge(
+        edge_docs, trusted, shared_buckets=n).collect()) for n in (1 << 22, 0)]
+    assert sums[0] == sums[1] and all(k is not None for _, _, k in sums[0])
+
+
+def test_long_text_is_linear(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i * 7 % 9999}" for i in range(20_000)))], "doc_id long, text string")
+    began = time.monotonic()
+    assert quality_rules.judge(docs, docs.select("doc_id")).first()["n_words"] == 20_000
+    assert time.monotonic() - began < 10
