@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,12 +16,16 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 
+_BLOCK = 64  # values of a list that are joined one by one
+_CHUNK = 1024  # code points
+
 #: Candidates that are no secrets although their letters are mixed: UUIDs, paths of readable words, dotted or
-#: dashed words and dates, and one character or pair repeated.
+#: dashed words and dates, and one character or pair repeated. Groups are possessive, so that a match of any
+#: length runs in a loop.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^/*([a-z_-]+/+)+[a-z0-9_-]{0,15}/?$",
-    r"^([A-Za-z]+|[0-9]+)([-_=/+]+([A-Za-z]+|[0-9]{1,8}))+[-_=/+]*$",
+    r"^/*+(?:[a-z_-]++/++)++[a-z0-9_-]{0,15}+/?$",
+    r"^(?:[A-Za-z]++|[0-9]++)(?:[-_=/+]++(?:[A-Za-z]++|[0-9]{1,8}+))++[-_=/+]*$",
     r"^(.{1,2})\1+$",
     r"^[A-Za-z]+[0-9]{0,4}$",
     r"^[0-9_=/+-]+$",
@@ -51,73 +56,107 @@ def _found(text: Column, pattern: str) -> tuple[Column, Column]:
             F.when(any_match, F.split(text, pattern, -1)))
 
 
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once: inside a lambda an expression runs anew at each use."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _before(values: Column, first: int, join: Callable[[Column, Column], Column]) -> Column:
+    """For every place of ``values`` (array of int) what ``join`` makes of ``first`` and the values before it.
+    Blocks are joined first, so that the work grows with the length and not with its square."""
+    zero = F.lit(first)
+
+    def of_blocks(v: Column) -> Column:
+        whole = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _BLOCK).cast("int")), lambda b: F.aggregate(
+            F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK)), zero, join))
+        starts = F.aggregate(whole, F.array(zero), lambda out, x: F.concat(out, F.array(join(F.get(out, F.size(out) - 1), x))))
+        return _with(starts, lambda at: F.transform(v, lambda x, i: F.aggregate(
+            F.slice(v, i - i % _BLOCK + 1, i % _BLOCK), F.get(at, F.floor(i / _BLOCK).cast("int")), join)))
+
+    return F.when(F.size(values) > 0, _with(values, of_blocks)).otherwise(F.array().cast("array<int>"))
+
+
 def _spans(found: Column, gaps: Column) -> Column:
     """(start, end, value) of each match, in code points, from the lengths before it."""
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["value"])
-        span = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
-
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)),
-                       lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
+    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda v, g: F.struct(
+        v.alias("value"), F.length(g).alias("gap"), (F.length(g) + F.length(v)).alias("length")))
+    starts = lambda ps: _before(F.transform(ps, lambda p: p["length"]), 0, lambda a, b: a + b)
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    state = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    return F.coalesce(F.aggregate(pairs, state, step, lambda s: s["out"]), empty)
+    return F.coalesce(_with(pairs, lambda ps: F.zip_with(ps, starts(ps), lambda p, at: F.struct(
+        (at + p["gap"]).alias("start"), (at + p["length"]).alias("end"), p["value"].alias("value")))), empty)
 
 
 def _weight(n: Column) -> Column:
-    return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+    """n log2 n in units of 2^-40 bits: whole numbers, so that a long sum of changes stays exact."""
+    return F.when(n > 1, F.round(n * F.log2(n.cast("double")) * float(1 << 40))).otherwise(F.lit(0.0)).cast("long")
 
 
 def entropy_spans(value: Column, window: int, bits: float) -> Column:
     """Unions of overlapping windows of ``value`` (ASCII) whose entropy reaches ``bits``: (start, end).
 
-    The window moves by one character at a time. State: the count of every character in it and the sum of
-    n log2 n, from which entropy is log2(window) - sum / window; a step changes two counts.
+    The window moves by one character at a time and keeps the sum of n log2 n over the counts of its characters,
+    from which entropy is log2(window) - sum / window. A step changes two counts: those of the character that
+    leaves and of the one that enters, both counted among the characters that stay.
     """
-    span = "struct<start:int,end:int>"
-    chars = F.split(value, "")
-
-    def step(state: Column, at: Column) -> Column:
-        enters = F.ascii(F.substring(value, at + 1, F.lit(1)))
-        leaves = F.when(at >= window, F.ascii(F.substring(value, at - window + 1, F.lit(1))))
-        out_n = F.coalesce(F.get(state["counts"], leaves), F.lit(0))
-        in_n = F.get(state["counts"], enters) - F.when(enters == leaves, 1).otherwise(0)
-        total = state["sum"] - _weight(out_n) + _weight(F.greatest(out_n - 1, F.lit(0))) - _weight(in_n) + _weight(in_n + 1)
-        counts = F.transform(state["counts"], lambda n, c: n
-                             + F.when(c == enters, 1).otherwise(0) - F.when(c == leaves, 1).otherwise(0))
-        high = (at + 1 >= window) & (F.log2(F.lit(float(window))) - total / window >= bits)
-        start = at + 1 - window
-        joins = high & (state["end"] >= start)
-        closed = F.when(
-            high & ~joins & (state["end"] > 0),
-            F.concat(state["out"], F.array(F.struct(state["start"].alias("start"), state["end"].alias("end"))))
-        ).otherwise(state["out"])
-        return F.struct(
-            counts.alias("counts"), total.alias("sum"),
-            F.when(high & ~joins, start).otherwise(state["start"]).alias("start"),
-            F.when(high, at + 1).otherwise(state["end"]).alias("end"), closed.alias("out"))
+    weights = F.array(*[_weight(F.lit(n)) for n in range(window + 1)])
+
+    def changes(codes: Column, weight: Column) -> Column:
+        def change(enters: Column, at: Column) -> Column:
+            first = F.greatest(at - (window - 1), F.lit(0))
+
+            def counted(stay: Column) -> Column:
+                def gain(code: Column) -> Column:
+                    return _with(F.size(F.filter(stay, lambda x: x == code)), lambda n: F.get(weight, n + 1) - F.get(weight, n))
 
-    first = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("start"),
-        F.lit(0).alias("end"), F.array().cast(f"array<{span}>").alias("out"))
+                leaves = F.when(at >= window, gain(F.get(codes, at - window))).otherwise(F.lit(0).cast("long"))
+                return gain(enters) - leaves
+
+            return _with(F.slice(codes, first + 1, at - first), counted)
+
+        return F.transform(codes, change)
+
+    least = F.floor((F.log2(F.lit(float(window))) - bits) * float(window) * float(1 << 40)).cast("long")
+
+    def step(state: Column, change: Column) -> Column:
+        total, end = state["sum"] + change, state["at"] + 1
+        return F.struct(
+            end.alias("at"), total.alias("sum"),
+            F.when((end >= window) & (total <= least), F.when(end - window <= state["end"], state["start"]).otherwise(end - window)
+                   ).otherwise(state["start"]).alias("start"),
+            F.when((end >= window) & (total <= least), end).otherwise(state["end"]).alias("end"),
+            F.when((end >= window) & (total <= least) & (end - window > state["end"]) & (state["end"] > 0),
+                   F.concat(state["out"], F.array(F.struct(state["start"].alias("start"), state["end"].alias("end"))))
+                   ).otherwise(state["out"]).alias("out"))
+
+    start = F.struct(
+        F.lit(0).alias("at"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("start"), F.lit(0).alias("end"),
+        F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    codes = F.transform(F.split(value, ""), lambda c: F.ascii(c))
     return F.aggregate(
-        F.sequence(F.lit(0), F.size(chars) - 1), first, step,
+        _with(codes, lambda c: _with(weights, lambda w: changes(c, w))), start, step,
         lambda s: F.when(s["end"] > 0, F.concat(
             s["out"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).otherwise(s["out"]))
 
 
+def _opened(spans: Column, first: int) -> Column:
+    """(start, before, end) for every span that begins after all earlier ones have ended, or where the last one
+    ends if ``first`` is 0: ``before`` is where those end, ``end`` where the span and all that overlap it end.
+    ``spans`` are sorted by start."""
+    def opened(s: Column) -> Column:
+        ends = _before(F.transform(s, lambda x: x["end"]), first, lambda a, b: F.greatest(a, b))
+        marked = F.zip_with(s, ends, lambda x, before: F.struct(x["start"].alias("start"), before.alias("before")))
+        fresh = F.filter(marked, lambda x: (x["start"] >= x["before"]) if first == 0 else (x["start"] > x["before"]))
+        last = F.array_max(F.transform(s, lambda x: x["end"]))
+        return _with(last, lambda end: _with(fresh, lambda xs: F.transform(xs, lambda x, i: F.struct(
+            x["start"].alias("start"), F.greatest(x["before"], F.lit(0)).alias("before"),
+            F.coalesce(F.get(xs, i + 1)["before"], end).alias("end")))))
+
+    return _with(spans, opened)
+
+
 def _united(spans: Column) -> Column:
     """Spans (start, end) by start, those that overlap or touch as one."""
-    def step(out: Column, s: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when(last["end"] >= s["start"], F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(longer))
-                      ).otherwise(F.concat(out, F.array(s)))
-
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    return F.aggregate(F.array_sort(spans), empty, step)
+    return F.transform(_opened(F.array_sort(spans), -1), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
 
 def _candidate_spans(spans: Column, allowed: tuple[str, ...], classes: tuple[CharClass, ...]) -> Column:
@@ -184,15 +223,17 @@ def span_text(spans: Column) -> Column:
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of the text replaced by ``mask``, overlapping spans by one; texts without a
     span, and null ones, stay as they are."""
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        out = F.when(fresh, F.concat(
-            state["out"], F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"]), F.lit(mask))
-        ).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
-
-    masked = F.aggregate(
-        "secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-        lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    text = F.when(F.size("secret_spans") > 0, masked).otherwise(F.col("text"))
+    def masked(chunks: Column) -> Column:
+        def piece(start: Column, end: Column) -> Column:
+            at = F.floor(start / _CHUNK).cast("int")
+            some = F.array_join(F.slice(chunks, at + 1, F.floor(end / _CHUNK).cast("int") - at + 1), "")
+            return F.substring(some, start - at * _CHUNK + 1, end - start)
+
+        parts = F.transform(_opened(F.col("secret_spans"), 0), lambda s: F.concat(piece(s["before"], s["start"]), F.lit(mask)))
+        last = F.array_max(F.transform("secret_spans", lambda s: s["end"]))
+        return F.concat(F.array_join(parts, ""), piece(last, F.length("text")))
+
+    # Cut into chunks, a text is not walked from its start for every piece.
+    chunks = F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+    text = F.when(F.size("secret_spans") > 0, _with(chunks, masked)).otherwise(F.col("text"))
     return scan(docs).withColumn("text", text).select(*docs.columns)

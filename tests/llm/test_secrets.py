@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,3 +122,27 @@ def test_runs_inside_candidates(spark):
         hexes = {x for m in re.finditer("[0-9A-F]{20,}", texts[r["doc_id"]]) for x in range(*m.span())}
         covered += r["doc_id"] < 60 and len(hexes & got) >= 0.9 * len(hexes)
     assert covered >= 54
+
+
+def test_long_candidates_and_many_matches(spark):
+    """100,000 random characters are one candidate; 10,000 matches in one text."""
+    rng = random.Random(9)
+    blob = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=100_000))
+    path = "/".join("ab1" if i % 500 == 0 else "word" for i in range(20_000))
+    docs = spark.createDataFrame([(1, f"x {blob} y"), (2, path)], "doc_id long, text string")
+    began = time.monotonic()
+    first, second = secrets.scan(docs).orderBy("doc_id").collect()
+    assert time.monotonic() - began < 20
+    at = set()
+    for s in first["secret_spans"]:
+        if s["kind"] == "entropy":
+            at |= set(range(s["start"] - 2, s["end"] - 2))
+    assert at == slow_candidate_spans(blob)
+    assert [tuple(s) for s in first["secret_spans"] if s["kind"] != "entropy"] == base_spans(f"x {blob} y")
+    assert not second["secret_spans"]
+
+    text = " é ".join(f"token={i:06x}{i * 7:06x} plain" for i in range(10_000))
+    began = time.monotonic()
+    got = secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
+    assert time.monotonic() - began < 20
+    assert got == " é ".join("[SECRET] plain" for _ in range(10_000))
