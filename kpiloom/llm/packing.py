@@ -7,17 +7,28 @@ end full. Windows of a tier are numbered into step groups of equal tokens.
 
 from __future__ import annotations
 
+import json
+import re
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from kpiloom.llm.common import materialised
 
 _END = 1  # id that closes a document
 _BUFFER_TOKENS = 2_000_000
-_CACHE_PIECES = 400_000
+
+
+# Fixed value: how byte-level vocabularies split a text before merging.
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+#: White space runs from here on are left to the tokenizer itself: the rank encoder's pattern matches by recursion.
+_LONG_BLANK = re.compile(r"\s{2000}")
 
 
 @cache
@@ -29,68 +40,56 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+def _byte_of_letter() -> dict[str, int]:
+    """Byte-level vocabularies write visible Latin-1 bytes as themselves, the others as letters from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def _ranks(path: str) -> dict[bytes, int] | None:
+    """The vocabulary as ranks, if it is a plain byte-level one whose ids after the bytes follow the merges: then
+    merging the pair of lowest rank is what the tokenizer does."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, before = spec["model"], spec["pre_tokenizer"]
+    options = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+    if (model["type"] != "BPE" or any(model.get(o) for o in options) or spec["normalizer"] or not before
+            or before["type"] != "ByteLevel" or before["add_prefix_space"] or not before["use_regex"]):
+        return None
+    byte, vocab = _byte_of_letter(), model["vocab"]
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    if len(vocab) != 256 + len(pairs) or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(pairs)):
+        return None
+    return {bytes(byte[c] for c in token): i for token, i in vocab.items()}
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, the same as the tokenizer gives.
+    """Ids of texts as little-endian unsigned 32-bit bytes, the same as the tokenizer of ``path`` gives.
 
-    The tokenizer's pattern never joins what a single space or line break separates, and a space goes with
-    what follows it. So a text with no other white space, and none doubled or at its ends, is encoded run
-    by run, and runs are remembered, up to a bound. Other texts are encoded whole.
+    A byte-level vocabulary is run by its ranks, which takes about a third of the tokenizer's time and no
+    memory of what was seen; other vocabularies, and texts with very long white space, by the tokenizer.
     """
 
     def __init__(self, path: str):
-        self.path, self.inner, self.first = path, {}, {}  # runs with a space before them, and without
-        self.line_break = self._ids(["\n"])[0]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = _tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _ids_of_runs(self, runs: list[str]) -> list[bytes]:
-        """Ids of runs, encoded many at once as lines: a line break is an id of its own, which no run holds."""
-        out, mark = [], int.from_bytes(self.line_break, "little")
-        for i in range(0, len(runs), 2000):
-            some = runs[i : i + 2000]
-            ids = np.frombuffer(self._ids(["\n".join(some)])[0], dtype="<u4")
-            breaks = np.flatnonzero(ids == mark)
-            if len(breaks) != len(some) - 1:
-                raise ValueError("the tokenizer joins line breaks with words")
-            starts, ends = [0, *(breaks + 1)], [*breaks, len(ids)]
-            out += [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-        return out
+        import tiktoken
+
+        self.path, ranks = path, _ranks(path)
+        self.ranked = ranks and tiktoken.Encoding(
+            "ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def one(self, text: str) -> bytes:
+        if self.ranked and not (len(text) >= 2000 and _LONG_BLANK.search(text)):
+            return array("I", self.ranked.encode_ordinary(text)).tobytes()
+        return array("I", _tokenizer(self.path).encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        split, inner, first, whole = [], set(), set(), []
-        for text in texts:
-            if text and " ".join(text.split()) == text.replace("\n", " "):
-                lines = [line.split(" ") for line in text.split("\n")]
-                for line in lines:
-                    first.add(line[0])
-                    inner.update(line[1:])
-                split.append(lines)
-            else:
-                whole.append(text)
-                split.append(None)
-        inner = [r for r in inner if r not in self.inner]
-        first = [r for r in first if r not in self.first]
-        self.inner.update(zip(inner, self._ids_of_runs([" " + r for r in inner]), strict=True))
-        self.first.update(zip(first, self._ids_of_runs(first), strict=True))
-        of_inner, of_first = self.inner.__getitem__, self.first.__getitem__
-        others = iter(self._ids(whole) if whole else ())
-        out = [
-            next(others) if lines is None else self.line_break.join(
-                [of_first(line[0]) + b"".join(map(of_inner, line[1:])) for line in lines])
-            for lines in split]
-        if len(self.inner) + len(self.first) > _CACHE_PIECES:
-            for r in inner:
-                del self.inner[r]
-            for r in first:
-                del self.first[r]
-        return out
+        return [self.one(t) for t in texts]
 
 
 @cache
 def _encoder(path: str) -> Encoder:
-    """One encoder per Python worker: what it remembers serves all tasks the worker runs."""
+    """One encoder per Python worker."""
     return Encoder(path)
 
 
@@ -149,7 +148,7 @@ def pack_pieces(pool: Pool, tiers: Sequence[int]) -> Iterator[tuple[int, list]]:
 
 
 def last_windows(pool: Pool, tiers: Sequence[int]) -> Iterator[tuple[int, list]]:
-    """The pool's rest in as few windows as fill whole tiers, longest first, and one that may be short."""
+    """The pool's rest in as few windows as fill whole tiers, longest first, and a short one as tier 0."""
     rest = []
     while n := pool.longest(max(tiers)):
         rest.append(pool.take(n))
@@ -167,7 +166,7 @@ def last_windows(pool: Pool, tiers: Sequence[int]) -> Iterator[tuple[int, list]]
             left -= tier
             yield tier, window
     if rest:
-        yield min(tiers), rest
+        yield 0, rest
 
 
 def pack(
@@ -179,8 +178,12 @@ def pack(
     id 1. Every full window holds exactly its tier's tokens, a power of two; each task closes with at most
     one window that is not full. Documents are packed in the task that reads and tokenizes them, with a
     buffer of two million ids, so nothing is shuffled and a document of any length is cut into windows
-    as it comes. ``sequence_id`` is unique over all tasks and the same when a lost task is run again;
-    ``step_group`` numbers, per task and tier, windows of ``step_tokens`` tokens together.
+    as it comes. ``sequence_id`` is unique over all tasks and the same when a lost task is run again.
+
+    ``step_group`` puts the windows of a tier into groups of ``step_tokens`` tokens, so every step of training
+    has as many tokens, in windows of one length: pieces are written out, windows are counted per task and tier,
+    and a task's windows are numbered on from those of the tasks before it. Only a tier's last group is
+    smaller; the windows that are not full, one a task at most, are groups of their own, tier 0.
 
     Null text counts as empty, an empty text has the one id that closes it. Repeated rows are packed each.
     Other columns of ``docs`` are not read. An empty table gives no rows.
@@ -189,26 +192,27 @@ def pack(
     longest = tiers[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pool, stored, number, in_tier = _encoder(tokenizer), Pool(), {}, 0, dict.fromkeys(tiers, 0)
-        base, keys = TaskContext.get().partitionId() << 36, 0
-        columns: tuple[list, ...] = tuple([] for _ in range(9))
+        encoder, pool, stored, number, in_tier = _encoder(tokenizer), Pool(), {}, 0, dict.fromkeys((0, *tiers), 0)
+        task, keys = TaskContext.get().partitionId(), 0
+        base = task << 36
+        columns: tuple[list, ...] = tuple([] for _ in _NAMES)
 
         def window(tier: int, pieces: list) -> None:
             nonlocal number
-            group = base + (tiers.index(tier) << 30) + in_tier[tier] // max(1, step_tokens // tier)
+            at, offset = in_tier[tier], 0
             in_tier[tier] += 1
-            offset = 0
             for key, start, length in pieces:
                 doc_id, ids = stored[key]
                 values = (doc_id, start, length, ids[4 * start : 4 * (start + length)], len(ids) // 4,
-                          base + number, offset, tier, group)
+                          base + number, offset, tier, task, at)
                 for column, value in zip(columns, values, strict=True):
                     column.append(value)
                 offset += length
             number += 1
 
         def written() -> pa.RecordBatch:
-            types = (doc_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            types = (doc_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(),
+                     pa.int64())
             out = pa.RecordBatch.from_arrays(
                 [pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=list(_NAMES))
             for c in columns:
@@ -250,9 +254,20 @@ def pack(
         yield written()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
+    pieces = materialised(docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, "
-             "offset long, tier int, step_group long")
-
-
-_NAMES = ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+             "offset long, tier int, part int, in_tier long"), "packed-pieces")
+    opened = pieces.where("offset = 0").groupBy("tier", "part").agg(F.count("*").alias("windows"))
+    earlier = Window.partitionBy("tier").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = opened.select(
+        F.col("tier").alias("of_tier"), F.col("part").alias("of_part"),
+        F.coalesce(F.sum("windows").over(earlier), F.lit(0)).alias("first"))
+    group = F.lit(None).cast("long")
+    for i, tier in enumerate((0, *tiers)):
+        number = F.col("first") + F.col("in_tier")
+        group = F.when(F.col("tier") == tier, F.lit(i << 56) + F.floor(number / max(1, step_tokens // (tier or step_tokens)))).otherwise(group)
+    joined = pieces.join(starts, (F.col("tier") == F.col("of_tier")) & (F.col("part") == F.col("of_part")))
+    return joined.select(*_NAMES[:-2], group.cast("long").alias("step_group"))
+
+
+_NAMES = ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "part", "in_tier")

@@ -8,11 +8,12 @@ from tokenizers import Tokenizer
 
 from kpiloom.llm import packing
 from kpiloom.llm.queries import TOKENIZER
-from tests.llm.conftest import edge_texts
+from tests.llm.conftest import edge_texts, sentence
 
 
 PLAIN = Tokenizer.from_file(TOKENIZER)
 PLAIN.encode_special_tokens = True
+ENCODER = packing.Encoder(TOKENIZER)
 
 
 def slow_ids(text):
@@ -55,8 +56,7 @@ def test_every_id_once(edge_docs, clashing_docs):
             d: len(x) * (2 if d == 6 else 1) for d, x in ids.items()}
 
 
-def test_flushes_and_full_encoder(edge_docs, monkeypatch):
-    monkeypatch.setattr(packing, "_BUFFER_TOKENS", 1500)
+def test_flushes():
     pool, n, windows = packing.Pool(), 0, []
     rng = random.Random(1)
     for i in range(400):
@@ -67,23 +67,48 @@ def test_flushes_and_full_encoder(edge_docs, monkeypatch):
             windows += list(packing.pack_pieces(pool, (256, 512, 1024, 2048)))
     windows += list(packing.last_windows(pool, (256, 512, 1024, 2048)))
     assert sum(p[2] for _, ps in windows for p in ps) == n
-    assert all(sum(p[2] for p in ps) == tier for tier, ps in windows[:-1])
+    assert all(sum(p[2] for p in ps) == tier for tier, ps in windows if tier)
+    assert sum(not tier for tier, _ in windows) <= 1
+
+
+def test_step_groups(spark):
+    """Over 8 tasks, every group but the last of a tier has the same number of windows, all of one length."""
+    rng = random.Random(6)
+    docs = spark.createDataFrame(
+        [(i, sentence(rng, rng.choice((3, 60, 200, 900)))) for i in range(600)], "doc_id long, text string").repartition(8)
+    groups, short = {}, 0
+    for r in packing.pack(docs, TOKENIZER, step_tokens=8192).collect():
+        groups.setdefault(r["tier"], {}).setdefault(r["step_group"], {}).setdefault(r["sequence_id"], []).append(r["length"])
+    assert len(groups) > 3
+    for tier, of_tier in groups.items():
+        sizes = [len(windows) for _, windows in sorted(of_tier.items())]
+        if tier == 0:
+            assert sizes == [1] * len(sizes) and len(sizes) <= 8
+            continue
+        assert all(sum(w) == tier for windows in of_tier.values() for w in windows.values())
+        assert sizes[:-1] == [8192 // tier] * (len(sizes) - 1) and sizes[-1] <= 8192 // tier
+        short += sizes[-1] < 8192 // tier
+    assert short <= 4
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from(list("ab'sé1.#  \n\t\u00a0\u2003\u0085\x1c世<|>")), max_size=40))
 def test_encoder_equals_tokenizer(text):
-    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    got = encoder.encode([text, "shared words", text])
+    got = ENCODER.encode([text, "shared words", text])
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == [slow_ids(t)[:-1] for t in (text, "shared words", text)]
 
 
-def test_encoder_beyond_its_bound(monkeypatch):
-    monkeypatch.setattr(packing, "_CACHE_PIECES", 3)
-    encoder = packing.Encoder(TOKENIZER)
-    texts = ["one two", "three four five six", "one six", "two seven eight"]
-    for _ in range(2):
-        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [slow_ids(t)[:-1] for t in texts]
+def test_long_runs():
+    rng = random.Random(2)
+    for text in (" " * 200_000, "x" + "\n" * 50_000 + "y", "a" * 100_000, "".join(rng.choices("abé1.", k=50_000)), sentence(rng, 30_000)):
+        assert np.frombuffer(ENCODER.one(text), "<u4").tolist() == slow_ids(text)[:-1]
+
+
+def test_other_vocabularies():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, plain = packing.Encoder(path), Tokenizer.from_file(path)
+    assert encoder.ranked is None
+    assert np.frombuffer(encoder.one("Some Words, here"), "<u4").tolist() == plain.encode("Some Words, here", add_special_tokens=False).ids
 
 
 def test_empty(empty_docs):
