@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiloom.llm import (
-    mixing, packing, quality_classifier, quality_rules, secrets, sharding, simhash, substring_dedup, topk, url_filter,
+    clustering, licenses, mixing, packing, quality_classifier, quality_rules, secrets, sharding, simhash,
+    substring_dedup, topk, url_filter,
 )
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -100,10 +101,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license notices of every document."""
+    return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "expressions")
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector after three rounds of 16 centroids."""
+    return clustering.cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, scale=64, dims=64, seed=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mixing, op2_sharding, op3_substring_dedup, op4_quality_classifier, op5_simhash, op6_topk,
-        op7_url_filter, op8_packing, op9_secrets, op10_quality_rules)
+        op7_url_filter, op8_packing, op9_secrets, op10_quality_rules, op11_licenses, op13_clustering)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
