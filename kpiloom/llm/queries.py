@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiloom.llm import (
-    clustering, licenses, mixing, packing, quality_classifier, quality_rules, secrets, sharding, simhash,
+    clustering, conversations, licenses, mixing, packing, quality_classifier, quality_rules, secrets, sharding, simhash,
     substring_dedup, topk, url_filter,
 )
 
@@ -106,6 +106,11 @@ def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "expressions")
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with every conversation after damage, and its cheapest repair."""
+    return conversations.digest(_table(spark, sf_dir, "conversations"))
+
+
 def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cluster of every vector after three rounds of 16 centroids."""
     return clustering.cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, scale=64, dims=64, seed=1)
@@ -114,7 +119,8 @@ def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mixing, op2_sharding, op3_substring_dedup, op4_quality_classifier, op5_simhash, op6_topk,
-        op7_url_filter, op8_packing, op9_secrets, op10_quality_rules, op11_licenses, op13_clustering)
+        op7_url_filter, op8_packing, op9_secrets, op10_quality_rules, op11_licenses, op12_conversations,
+        op13_clustering)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -122,7 +128,38 @@ _HOST = r"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)
 _PATH = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
 _QUERY = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*\?([^#]*)', 1)"
 
+_CENTROIDS = 16
+
+
+def _assigned(n: int) -> str:
+    """a<n>: every vector's nearest centroid of c<n>; distance and number in one integer, so the least has both."""
+    return f"""
+        a{n} AS (SELECT i, CAST(min(d * {_CENTROIDS} + c) % {_CENTROIDS} AS INTEGER) AS c, CAST(min(d * {_CENTROIDS} + c) // {_CENTROIDS} AS BIGINT) AS d
+                FROM (SELECT v.i, c.c, CAST(list_sum(list_transform(list_zip(v.e, c.m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+                      FROM v CROSS JOIN c{n} c) GROUP BY i)"""
+
+
+def _moved(n: int) -> str:
+    """c<n + 1>: the floor of the mean of each centroid's vectors, or where it was."""
+    return f"""
+        s{n} AS (SELECT c, p, CAST(sum(e[p]) AS BIGINT) AS s, count(*) AS n
+                FROM a{n} JOIN v USING (i) CROSS JOIN (SELECT unnest(range(1, 65)) AS p) GROUP BY c, p),
+        m{n} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY p) AS m FROM s{n} GROUP BY c),
+        c{n + 1} AS (SELECT c{n}.c, coalesce(m{n}.m, c{n}.m) AS m FROM c{n} LEFT JOIN m{n} USING (c))"""
+
+
 CHECKS: dict[str, str] = {
+    "op13_clustering": f"""
+        WITH v AS (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+                   FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), e) - 1 AS INTEGER) AS c, e AS m FROM v
+               ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), e LIMIT {_CENTROIDS}),
+        {", ".join(_assigned(n) + "," + _moved(n) for n in range(3))}, {_assigned(3)},
+        t AS (SELECT c, CAST(sum(d) AS BIGINT) AS own FROM a3 GROUP BY c)
+        SELECT v.vec_id, a3.c AS cluster, a3.d AS distance, t.own AS cluster_inertia, (SELECT CAST(sum(own) AS BIGINT) FROM t) AS inertia,
+               sha256(array_to_string(c3.m, ',')) AS centroid_sha256
+        FROM a3 JOIN v USING (i) JOIN t USING (c) JOIN c3 USING (c)""",
     "op3_substring_dedup": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
         w AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h
