@@ -11,6 +11,7 @@ from kpiloom.functions.dates import DATE_FORMATS, DATE_NAME_HINT, LONGEST_DATE,
 from kpiloom.functions.frames import literal_rows
 from kpiloom.functions.numbers import is_numeric, present
 from kpiloom.sources.delimited import quoted
+from kpiloom.sources.order import FILE, first_files, in_file_order
 
 # Fixed values of the classifier.
 NUMERIC_CATEGORY_MAX = 5
@@ -154,8 +155,10 @@ def _openings(df: DataFrame, order_by: Sequence[str], columns: Sequence[str], k:
     order column, so files and row groups past the opening are not read. Columns that stay short
     come second.
     """
-    number = _order_number(df, order_by[0])
     open_columns = list(columns)
+    if order_by[0] == FILE:
+        return _opening_files(df, open_columns, k)
+    number = _order_number(df, order_by[0])
     if number is None:
         return [], open_columns
     ends = df.agg(F.min(number).alias("low"), F.max(number).alias("high")).first()
@@ -176,6 +179,26 @@ def _openings(df: DataFrame, order_by: Sequence[str], columns: Sequence[str], k:
     return found, open_columns
 
 
+def _opening_files(df: DataFrame, open_columns: list[str], k: int, widths: Sequence[int] = (1, 32, 1024),
+                   ) -> tuple[list[tuple[DataFrame, list[str]]], list[str]]:
+    """As ``_openings``, by the first files: a filter on the file's name, so that no other file is opened."""
+    found = []
+    for width in widths:
+        names = first_files(df, width)
+        if not open_columns or not names:
+            break
+        part = df.where(F.col(FILE) <= names[-1])
+        if len(names) < width:  # these are all files
+            return [*found, (part, open_columns)], []
+        held = part.agg(*[F.count(_text(quoted(c), df.schema[c].dataType)).alias(f"n{i}")
+                          for i, c in enumerate(open_columns)]).first()
+        full = [c for i, c in enumerate(open_columns) if held[f"n{i}"] >= k]
+        if full:
+            found.append((part, full))
+        open_columns = [c for c in open_columns if c not in full]
+    return found, open_columns
+
+
 def _firsts(df: DataFrame, order_by: Sequence[str], columns: Sequence[str], k: int) -> DataFrame:
     """First k non-missing values as (column, order keys and value).
 
@@ -203,15 +226,13 @@ def _firsts(df: DataFrame, order_by: Sequence[str], columns: Sequence[str], k: i
 
 
 def _in_order(df: DataFrame, order_by: Sequence[str] | None) -> tuple[DataFrame, Sequence[str]]:
-    if order_by:
-        return df, order_by
-    return df.withColumn("_scan_order", F.monotonically_increasing_id()), ["_scan_order"]
+    return (df, order_by) if order_by else in_file_order(df)
 
 
 def first_values(df: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
     """First non-missing values of each column in file order, as ordered arrays.
 
-    Without ``order_by`` the scan order is used.
+    Without ``order_by`` it is the order of the files' names and of the rows in them.
     """
     place = {c: i for i, c in enumerate(df.columns)}
     renamed = df.toDF(*[f"c{i}" for i in place.values()])
@@ -300,6 +321,11 @@ def profile_columns(df: DataFrame, order_by: Sequence[str] | None = None,
         facts = facts.unionByName(part, allowMissingColumns=True)
     joined = facts.groupBy("position").agg(*[
         F.first(c, ignorenulls=True).alias(c) for c in facts.columns if c != "position"])
+    return classified(joined)
+
+
+def classified(joined: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Type, role and shown counts of columns, from what was counted of them; ``keys`` come first."""
     zero = F.lit(0).cast("bigint")
     total, missing = F.coalesce("total", zero), F.coalesce("missing_count", zero)
     unique = F.coalesce("unique_count", zero)
@@ -328,7 +354,7 @@ def profile_columns(df: DataFrame, order_by: Sequence[str] | None = None,
     )
     pct = F.when(total > 0, F.round(missing * 100 / total, 2)).otherwise(0.0)
     return joined.withColumn("detected_type", detected).select(
-        "position", "name", raw.alias("raw_dtype"), "detected_type",
+        *keys, "position", "name", raw.alias("raw_dtype"), "detected_type",
         role.alias("suggested_role"), missing.alias("missing_count"), pct.alias("missing_pct"),
         unique.alias("unique_count"), values.alias("sample_values"),
     )
@@ -354,8 +380,8 @@ def missing_warnings(profile: DataFrame) -> DataFrame:
         "high_missing", F.col("missing_pct") > HIGH_MISSING_PCT)
 
 
-def digest(profile: DataFrame) -> DataFrame:
-    """The column lines an interview starts from, as one text."""
+def digest(profile: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The column lines an interview starts from, as one text; one for each of ``keys``, where given."""
     def literal(v: Column) -> Column:
         escaped = F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
         double = v.contains("'") & ~v.contains('"')
@@ -372,7 +398,7 @@ def digest(profile: DataFrame) -> DataFrame:
                F.concat(F.lit(", e.g. ["), F.array_join(shown, ", "), F.lit("]"))).otherwise(""),
     )
     lines = F.sort_array(F.collect_list(F.struct("position", line.alias("line"))))
-    return profile.agg(F.array_join(F.transform(lines, lambda r: r["line"]), "\n").alias("digest"))
+    return profile.groupBy(*keys).agg(F.array_join(F.transform(lines, lambda r: r["line"]), "\n").alias("digest"))
 
 
 def upload_profiles(uploads: DataFrame, staging: DataFrame) -> DataFrame:

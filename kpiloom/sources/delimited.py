@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from kpiloom.functions.text import normalise_headers
 from kpiloom.schemas import NULL_TOKENS
+from kpiloom.sources.order import in_file_order
 
 _BOOLEAN_WORDS = ["True", "False", "TRUE", "FALSE", "true", "false"]
 # Checked by pattern before any cast: a failing number parse costs an exception per value.
@@ -24,10 +25,9 @@ def quoted(name: str) -> Column:
 
 def files_by_header(spark: SparkSession, path: str | list[str]) -> list[list[str]]:
     """The files of an upload, those with the same first line together."""
-    lines = spark.read.text(path).where("_metadata.file_block_start = 0").select(
-        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    firsts = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    groups = firsts.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    lines, order = in_file_order(spark.read.text(path))
+    firsts = lines.where(F.col(order[1]) == 0).groupBy(order[0]).agg(F.min_by("value", order[2]).alias("header"))
+    groups = firsts.groupBy("header").agg(F.sort_array(F.collect_list(order[0])).alias("files"))
     return [r["files"] for r in groups.orderBy(F.element_at("files", 1)).collect()]
 
 

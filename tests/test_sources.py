@@ -68,29 +68,97 @@ def test_log_and_documents(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "docs")).first()["a"] == 1
 
 
+def put(folder, upload_id, name, text):
+    (folder / str(upload_id)).mkdir(parents=True, exist_ok=True)
+    (folder / str(upload_id) / name).write_bytes(text if isinstance(text, bytes) else text.encode())
+
+
 def test_uploads_fail_alone_and_can_run_again(spark, tmp_path):
     from kpiloom.sources import ingest
 
-    root = str(tmp_path / "root")
-    jobs = []
+    root, folder = str(tmp_path / "root"), tmp_path / "in"
     for i in range(3):
-        (tmp_path / f"u{i}.csv").write_text("Day,Total %,Note\n" + "".join(
-            f"2024-01-{d:02d},{d * i},n{d}\n" for d in range(1, 11)) + f"2024-01-01,{i},n1\n")
-        jobs.append(ingest.Upload(i, "c", str(tmp_path / f"u{i}.csv")))
-    jobs.append(ingest.Upload(9, "c", str(tmp_path / "gone.csv")))
-    (tmp_path / "book.xlsx").write_text("a,b\n1,2\n")
-    (tmp_path / "ragged.csv").write_text("a,b\n1,2,3\n")
-    jobs += [ingest.Upload(7, "c", str(tmp_path / "book.xlsx")), ingest.Upload(8, "c", str(tmp_path / "ragged.csv"))]
+        put(folder, i, "u.csv", "Day,Total %,Note\n" + "".join(
+            f"2024-01-{d:02d},{d * i},n{d}\n" for d in range(1, 11)) + f"2024-01-01,{i}.0,n1\n")
+    put(folder, 7, "book.xlsx", "a,b\n1,2\n")
+    put(folder, 8, "ragged.csv", "a,b\n1,2,3\n")
+    put(folder, 10, "open.csv", 'a,b\n1,"2\n')
+    put(folder, 11, "latin.csv", b"a,b\n1,\xe9\n")
+    put(folder, 12, "empty.csv", "")
+    put(folder, 13, "header.csv", "a,b\n")
+    put(folder, 99, "other.csv", "a,b\n1,2\n")  # nobody asks for this one
+    pending = spark.createDataFrame([(i, "c") for i in (0, 1, 2, 7, 8, 9, 10, 11, 12, 13)], "upload_id bigint, client_id string")
     for _ in range(2):
-        outcome = {r["upload_id"]: r["error_message"] for r in ingest.ingest_uploads(spark, jobs, root).collect()}
-        assert [outcome[i] for i in range(3)] == [None] * 3 and "gone.csv" in outcome[9]
+        outcome = {r["upload_id"]: r["error_message"] for r in ingest.ingest_uploads(spark, pending, str(folder), root).collect()}
+        assert len(outcome) == 10 and [outcome[i] for i in (0, 1, 2, 13)] == [None] * 4 and outcome[9].endswith("/9")
         assert outcome[7] == "Unsupported file type '.xlsx'. Upload .csv."
-        assert "more fields than the header" in outcome[8]
+        assert "more fields than the header" in outcome[8] and "quote" in outcome[10]
+        assert "UTF-8" in outcome[11] and outcome[12].startswith("No file with content")
     rows = {r["upload_id"]: r for r in spark.read.parquet(f"{root}/registry").collect()}
-    assert set(rows) == {0, 1, 2}
-    assert all(r["row_count"] == 11 and r["column_count"] == 3 for r in rows.values())
-    assert rows[1]["duplicate_row_count"] == 1
-    assert spark.read.parquet(f"{root}/staging_2").columns == ["day", "total", "note"]
+    assert set(rows) == {0, 1, 2, 13}
+    assert all(rows[i]["row_count"] == 11 and rows[i]["column_count"] == 3 for i in range(3))
+    assert [rows[i]["duplicate_row_count"] for i in (0, 1, 2)] == [1, 1, 1] and rows[13]["row_count"] == 0
+    staged = ingest.staged_upload(spark, root, 2)
+    assert staged.dtypes == [("day", "string"), ("total", "double"), ("note", "string")]
+    assert [r["total"] for r in staged.collect()] == [2.0 * d for d in range(1, 11)] + [2.0]
+
+
+def test_keyed_scan_equals_single_scans(spark, tmp_path):
+    """Quotes, line breaks, missing fields and words, repeated and differing headers, several files: the profile and the
+    rows of uploads taken in together are those of each scanned alone."""
+    from kpiloom.operators.profile import duplicate_counts, profile_columns
+    from kpiloom.sources import ingest
+
+    folder, root = tmp_path / "in", str(tmp_path / "root")
+    put(folder, 1, "a.csv", 'Id,Amount,Flag,Note,Empty,Big,Date\r\n1,1.5,True,"a ""quoted"", line\nbreak",,1,2024-01-01\r\n'
+        '2,n/a,False,NULL,NA,99999999999999999999,2024-02-01\r\n\r\n3,2,True, x ,,2,\r\n3,2.0,true, x ,,2,\r\n')
+    put(folder, 2, "a.csv", "a b,a-b,x.y\n1,2,3\n4,5\n")
+    put(folder, 3, "1.csv", "k,v\n" + "".join(f"{i},{i % 7}/03/2024\n" for i in range(2000)))
+    put(folder, 3, "2.csv", "v,k,extra\n01/03/2024,5000,late\n")
+    put(folder, 4, "x.csv", "late\n" + "\n" * 3 + "".join("NA\n" for _ in range(3000)) + "first\nsecond\n")
+    pending = spark.createDataFrame([(i, "c") for i in (1, 2, 3, 4)], "upload_id bigint, client_id string")
+    assert all(r["error_message"] is None for r in ingest.ingest_uploads(spark, pending, str(folder), root).collect())
+    registry = {r["upload_id"]: r for r in spark.read.parquet(f"{root}/registry").collect()}
+    for i in (1, 2, 3, 4):
+        names = sorted(str(p) for p in (folder / str(i)).iterdir())
+        alone = delimited.with_normalised_headers(delimited.scan_delimited(spark, names))
+        together = ingest.staged_upload(spark, root, i)
+        assert together.dtypes == alone.dtypes
+        assert sorted(map(repr, together.collect())) == sorted(map(repr, alone.collect()))
+        want = [r.asDict() for r in profile_columns(together.withColumn("at", F.monotonically_increasing_id()), ["at"])
+                .where("name <> 'at'").orderBy("position").collect()]
+        got = spark.createDataFrame([(registry[i]["profile_data"],)], "p string").select(F.from_json(
+            "p", "array<struct<name:string,raw_dtype:string,detected_type:string,suggested_role:string,missing_count:bigint,"
+                 "missing_pct:double,unique_count:bigint,sample_values:array<string>>>").alias("p")).first()["p"]
+        assert [r.asDict() for r in got] == [{k: v for k, v in r.items() if k != "position"} for r in want], i
+        counts = duplicate_counts(alone).first()
+        assert (registry[i]["row_count"], registry[i]["duplicate_row_count"]) == tuple(counts)
+
+
+def test_ordinals_and_first_values_follow_the_files(spark, tmp_path):
+    """Large and small files, which Spark reads largest first: samples and numbers go by name and place."""
+    from kpiloom.operators.profile import first_values
+    from kpiloom.sources.order import with_ordinals
+
+    want = []
+    for i, n in enumerate((1, 4000, 3, 20_000, 2)):
+        rows = [(len(want) + k, None if len(want) + k < 4500 else f"t{len(want) + k}") for k in range(n)]
+        want += rows
+        part = spark.createDataFrame(rows, "id bigint, late string").coalesce(1)
+        part.write.parquet(str(tmp_path / "p" / f"f{i}"))
+        part.write.csv(str(tmp_path / "c" / f"f{i}"))
+    parquet = spark.read.option("recursiveFileLookup", "true").schema("id bigint, late string").parquet(str(tmp_path / "p"))
+    text = spark.read.option("recursiveFileLookup", "true").schema("id bigint, late string").csv(str(tmp_path / "c"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for frame, size in ((parquet, old), (text, old), (text, "20k")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            numbered = with_ordinals(frame)
+            assert numbered.where("row <> id").count() == 0 and numbered.count() == len(want)
+            firsts = {r["position"]: r["sample_values"] for r in first_values(frame).collect()}
+            assert firsts == {0: ["0", "1", "2", "3", "4"], 1: [f"t{4500 + k}" for k in range(5)]}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_files_without_a_needed_column_are_flagged(spark, tmp_path):
