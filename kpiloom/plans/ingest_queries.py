@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kpiloom.functions.text import extension, stem
-from kpiloom.operators import profile
 from kpiloom.operators.kpi import ColumnMapping, KpiDef
 from kpiloom.plans.registry import query
 from kpiloom.plans.tables import table
@@ -40,10 +39,11 @@ def delimited_scan(spark, sf_dir):
 
 
 @query("delimited_texts", """
-    SELECT doc_id, text, lang FROM documents""")
+    SELECT doc_id, text, lang, source, n_chars FROM documents""")
 def delimited_texts(spark, sf_dir):
     """Whole texts with quotes and line breaks through a delimited file."""
-    path = written_csv(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "texts")
+    path = written_csv(spark, table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", "source", "n_chars"), "texts")
     return delimited.scan_delimited(spark, path)
 
 
@@ -114,57 +114,50 @@ def staged_table(spark, sf_dir):
     return spark.read.parquet(path).select("o_orderkey", "o_totalprice", "upload_id")
 
 
-@query("staging_registry", """
-    SELECT 'client_a' AS client_id, 1 AS upload_id, 'staging_1' AS table_name, COUNT(*) AS row_count, 6 AS column_count,
-           0::BIGINT AS duplicate_row_count, 'o_orderkey' AS first_column, 'numeric' AS first_type,
-           COUNT(DISTINCT o_orderpriority) AS last_unique FROM orders
-    UNION ALL SELECT 'client_b', 2, 'staging_2', COUNT(*), 3, COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT p_brand, p_type, p_size FROM part)),
-           'p_brand', 'categorical', COUNT(DISTINCT p_size) FROM part""")
-def staging_registry(spark, sf_dir):
-    path = scratch_path(spark, "registry")
-    jobs = [("client_a", 1, table(spark, sf_dir, "orders"), ["o_orderkey"]),
-            ("client_b", 2, table(spark, sf_dir, "part").select("p_brand", "p_type", "p_size"),
-             ["p_brand", "p_type", "p_size"])]
-    for client, upload_id, df, order in jobs:
-        staging.register(staging.registry_row(
-            profile.profile_columns(df, order), profile.duplicate_counts(df), client, upload_id),
-            path, upload_id)
-    parsed = F.from_json("profile_data", "ARRAY<STRUCT<name: STRING, detected_type: STRING, unique_count: BIGINT>>")
-    return spark.read.parquet(path).withColumn("p", parsed).select(
-        "client_id", "upload_id", "table_name", "row_count", "column_count", "duplicate_row_count",
-        F.get("p", F.lit(0))["name"].alias("first_column"),
-        F.get("p", F.lit(0))["detected_type"].alias("first_type"),
-        F.element_at("p", -1)["unique_count"].alias("last_unique"))
-
-
-@query("ingested_uploads", """
-    SELECT 1 AS upload_id, CAST(NULL AS VARCHAR) AS outcome, COUNT(*) AS row_count, 3 AS column_count, 0::BIGINT AS duplicate_row_count,
-           'order_key:numeric,order_day:date,order_status:categorical' AS types FROM orders
-    UNION ALL SELECT 2, NULL, COUNT(*), 3, COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT p_brand, p_type, p_size FROM part)),
-           'brand:categorical,brand_1:categorical,size:numeric' FROM part
-    UNION ALL SELECT 3, 'failed', NULL, NULL, NULL, NULL FROM (SELECT COUNT(*) FROM part)""")
+_HEADERS = {"o_orderkey": "Order Key", "o_custkey": "Customer", "o_orderstatus": "Order-Status", "o_totalprice": "Total %",
+            "o_day": "Order Day", "o_orderpriority": "order status"}
+
+
+def _kind(column: str) -> str:
+    return f"CASE WHEN COUNT(DISTINCT {column}) <= 5 THEN 'categorical' ELSE 'numeric' END"
+
+
+@query("ingested_uploads", f"""
+    SELECT upload_id, CAST(NULL AS VARCHAR) AS outcome, COUNT(*) AS row_count, 6 AS column_count,
+           COUNT(*) - COUNT(DISTINCT o_orderkey) AS duplicate_row_count,
+           CASE WHEN upload_id % 2 = 0 THEN 'order_key:' || {_kind('o_orderkey')} || ',customer:' || {_kind('o_custkey')}
+                || ',order_status:categorical,total:' || {_kind('o_totalprice')} || ',order_day:date,order_status_1:categorical'
+                ELSE 'order_status:categorical,order_day:date,total:' || {_kind('o_totalprice')} || ',order_status_1:categorical,customer:'
+                || {_kind('o_custkey')} || ',order_key:' || {_kind('o_orderkey')} END AS types,
+           CAST(SUM(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS staged_total
+    FROM uploaded GROUP BY upload_id
+    UNION ALL SELECT unnest([1000, 1001]), 'failed', NULL, NULL, NULL, NULL, NULL FROM (SELECT COUNT(*) FROM orders)""")
 def ingested_uploads(spark, sf_dir):
-    """Orders and parts as delimited uploads through the whole ingest, beside one that is not there."""
-    orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("Order Key"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("Order Day"),
-        F.col("o_orderstatus").alias("Order-Status"))
-    parts = table(spark, sf_dir, "part").select(
-        F.col("p_brand").alias("Brand"), F.col("p_type").alias("brand "), F.col("p_size").alias("Size"))
-    root = scratch_path(spark, "ingest")
-    outcomes = ingest.ingest_uploads(spark, [
-        ingest.Upload(1, "client_a", written_csv(spark, orders, "orders")),
-        ingest.Upload(2, "client_b", written_csv(spark, parts, "parts")),
-        ingest.Upload(3, "client_b", f"{root}/not_there.csv"),
-    ], root)
+    """All orders as 120 delimited uploads of two layouts through the whole ingest, beside one of another type and one
+    that is not there."""
+    folder, root = scratch_path(spark, "uploads"), scratch_path(spark, "ingest")
+    sent = table(spark, sf_dir, "uploaded")
+    for half, names in ((0, list(_HEADERS)), (1, list(_HEADERS)[::-1])):
+        part = sent.where(F.col("upload_id") % 2 == half).select(*[F.col(n).alias(_HEADERS[n]) for n in names], "upload_id")
+        part.repartition("upload_id").write.partitionBy("upload_id").csv(f"{folder}/half_{half}", header=True, escape='"')
+    note = spark.range(1000, 1001).select(F.col("id").alias("upload_id"), F.lit("a,b").alias("value"))
+    note.write.partitionBy("upload_id").text(f"{folder}/notes")
+    pending = sent.select("upload_id").distinct().union(spark.range(1000, 1002)).select(
+        "upload_id", F.concat(F.lit("client_"), F.col("upload_id").cast("string")).alias("client_id"))
+    outcomes = ingest.ingest_uploads(spark, pending, folder, root)
     parsed = F.from_json("profile_data", "ARRAY<STRUCT<name: STRING, detected_type: STRING>>")
     registry = spark.read.parquet(f"{root}/registry").select(
         F.col("upload_id").cast("bigint").alias("upload_id"), "row_count", "column_count", "duplicate_row_count",
-        F.array_join(F.transform(parsed, lambda c: F.concat(c["name"], F.lit(":"), c["detected_type"])), ",")
-        .alias("types"))
-    return outcomes.join(registry, "upload_id", "left").select(
-        F.col("upload_id").cast("int").alias("upload_id"),
-        F.when(F.col("error_message").isNotNull(), "failed").alias("outcome"),
-        "row_count", "column_count", "duplicate_row_count", "types")
+        F.array_join(F.transform(parsed, lambda c: F.concat(c["name"], F.lit(":"), c["detected_type"])), ",").alias("types"))
+    price = spark.read.parquet(f"{root}/columns").where("name = 'total'").select(
+        F.col("upload_id").cast("bigint").alias("upload_id"), "position")
+    staged = spark.read.parquet(f"{root}/staged").withColumn("upload_id", F.col("upload_id").cast("bigint"))
+    totals = staged.join(price, "upload_id").groupBy("upload_id").agg(
+        F.sum(F.get("values", F.col("position")).cast("decimal(18,2)")).cast("double").alias("staged_total"))
+    return outcomes.select(F.col("upload_id").cast("bigint").alias("upload_id"), "error_message").join(
+        registry, "upload_id", "left").join(totals, "upload_id", "left").select(
+        "upload_id", F.when(F.col("error_message").isNotNull(), "failed").alias("outcome"),
+        "row_count", "column_count", "duplicate_row_count", "types", "staged_total")
 
 
 @query("row_counts", " UNION ALL ".join(

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from kpiloom.operators import profile
+from kpiloom.operators import keyed_profile, profile
 from kpiloom.plans.registry import query
 from kpiloom.plans.tables import table
+from kpiloom.session import scratch_path
+from kpiloom.sources import staging
 
 # Ordering columns that stand for file order, and column types.
 LAYOUT = {
@@ -114,32 +116,97 @@ def dated_orders(spark, sf_dir):
         F.when(key % 2 == 0, day).otherwise("03/02/2024").alias("mixed"))
 
 
+_GAPPY = [("event_id", ""), ("ts", ""), ("user_id", ""), ("event_type", ""), ("value", "event_type <> 'error'"), ("props", "value >= 20")]
+
+
 def gappy_events(spark, sf_dir):
     return table(spark, sf_dir, "events").select(
-        "event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("value"),
-        F.when(F.col("value") >= 20, F.col("props")).alias("props"), "event_type")
+        "event_id", "ts", "user_id", "event_type", F.when(F.col("event_type") != "error", F.col("value")).alias("value"),
+        F.when(F.col("value") >= 20, F.col("props")).alias("props"))
 
 
 @query("high_missing_columns", """
     SELECT name, pct AS missing_pct, CASE WHEN pct > 0 THEN CAST(pct AS VARCHAR) || '%' ELSE '—' END AS missing_text,
            pct > 20 AS high_missing
-    FROM (SELECT unnest(['event_id', 'value', 'props', 'event_type']) AS name, unnest([0.0::DOUBLE,
+    FROM (SELECT unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props']) AS name,
+              unnest([0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE,
               ROUND(COUNT(*) FILTER (event_type = 'error') * 100 / COUNT(*), 2),
-              ROUND(COUNT(*) FILTER (NOT value >= 20) * 100 / COUNT(*), 2), 0.0::DOUBLE]) AS pct FROM events)""")
+              ROUND(COUNT(*) FILTER (NOT value >= 20) * 100 / COUNT(*), 2)]) AS pct FROM events)""")
 def high_missing_columns(spark, sf_dir):
     profiled = profile.profile_columns(gappy_events(spark, sf_dir), ["event_id"])
     return profile.missing_warnings(profiled).select("name", "missing_pct", "missing_text", "high_missing")
 
 
-@query("profile_digest", """
-    SELECT '  - ''event_id'': numeric, role=measure, e.g. ['
-           || (SELECT string_agg(CAST(event_id AS VARCHAR), ', ' ORDER BY event_id) FROM (SELECT event_id FROM events ORDER BY event_id LIMIT 2))
-           || ']' || chr(10) || '  - ''event_type'': categorical, role=dimension, e.g. ['
-           || (SELECT string_agg('''' || event_type || '''', ', ' ORDER BY event_id) FROM (SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 2))
-           || ']' AS digest""")
+_KEYED_COLUMNS = [("event_id", "int"), ("ts", "date"), ("user_id", "int"), ("event_type", "text"), ("value", "float"), ("props", "text")]
+
+
+def keyed_profile_sql() -> str:
+    """DuckDB text of the profiles of ``keyed_events``, samples as a list."""
+    parts = []
+    for i, (name, kind) in enumerate(_KEYED_COLUMNS):
+        raw = {"int": "CASE WHEN missing > 0 THEN 'float64' ELSE 'int64' END", "float": "'float64'"}.get(kind, "'object'")
+        detected = {"date": "'date'", "text": "CASE WHEN u <= 100 OR u <= n * 0.5 THEN 'categorical' ELSE 'text' END"}.get(
+            kind, "CASE WHEN u <= 5 THEN 'categorical' ELSE 'numeric' END")
+        parts.append(f"""
+            SELECT upload_id, CAST({i} AS INTEGER) AS position, '{name}' AS name, {raw} AS raw_dtype, {detected} AS detected_type, n, missing, u,
+                   (list({name} ORDER BY at_row) FILTER ({name} IS NOT NULL))[1:5] AS samples
+            FROM keyed_events JOIN (SELECT upload_id, COUNT(*) AS n, COUNT(*) - COUNT({name}) AS missing, COUNT(DISTINCT {name}) AS u
+                 FROM keyed_events GROUP BY upload_id) USING (upload_id) GROUP BY upload_id, n, missing, u""")
+    return f"""
+        SELECT upload_id, position, name, raw_dtype, detected_type,
+               CASE detected_type WHEN 'date' THEN 'date' WHEN 'numeric' THEN 'measure' ELSE 'dimension' END AS suggested_role,
+               missing AS missing_count, ROUND(missing * 100 / n, 2) AS missing_pct, u AS unique_count, n, COALESCE(samples, []) AS samples
+        FROM ({' UNION ALL '.join(parts)})"""
+
+
+def keyed_events(spark, sf_dir):
+    """(rows, columns) of the events as 150 uploads, as a keyed scan gives them."""
+    names = [n for n, _ in _KEYED_COLUMNS]
+    rows = table(spark, sf_dir, "keyed_events").select("upload_id", F.col("at_row").alias("row"), F.array(*names).alias("values"))
+    columns = rows.select("upload_id").distinct().withColumn("columns", F.array(*[F.lit(n) for n in names]))
+    return rows, columns
+
+
+@query("profile_uploads", f"""
+    SELECT upload_id, position, name, raw_dtype, detected_type, suggested_role, missing_count, missing_pct, unique_count,
+           array_to_string(samples, ' | ') AS samples FROM ({keyed_profile_sql()})""")
+def profile_uploads(spark, sf_dir):
+    """Column profiles of 150 uploads from the same folds."""
+    return shown(keyed_profile.profile_uploads(*keyed_events(spark, sf_dir)))
+
+
+@query("profile_digest", f"""
+    SELECT upload_id, string_agg('  - ''' || name || ''': ' || detected_type || ', role=' || suggested_role || CASE WHEN len(samples) > 0
+           THEN ', e.g. [' || array_to_string(list_transform(samples[1:2], lambda v: CASE WHEN raw_dtype = 'object' THEN '''' || v || '''' ELSE v END), ', ')
+                || ']' ELSE '' END, chr(10) ORDER BY position) AS digest
+    FROM ({keyed_profile_sql()}) GROUP BY upload_id""")
 def profile_digest(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("event_id", "event_type")
-    return profile.digest(profile.profile_columns(events, ["event_id"]))
+    """The digest of every upload."""
+    return profile.digest(keyed_profile.profile_uploads(*keyed_events(spark, sf_dir)), ["upload_id"])
+
+
+@query("staging_registry", f"""
+    SELECT 'client_' || CAST(upload_id % 7 AS VARCHAR) AS client_id, upload_id, 'staging_' || CAST(upload_id AS VARCHAR) AS table_name,
+           MAX(n) AS row_count, 6 AS column_count, MAX(copies) AS duplicate_row_count, 'event_id' AS first_column,
+           MAX(detected_type) FILTER (position = 0) AS first_type, MAX(unique_count) FILTER (position = 5) AS last_unique
+    FROM ({keyed_profile_sql()}) JOIN (SELECT upload_id, COUNT(*) - COUNT(DISTINCT event_id) AS copies FROM keyed_events GROUP BY upload_id)
+         USING (upload_id) GROUP BY upload_id""")
+def staging_registry(spark, sf_dir):
+    """The registry rows of 150 uploads, written by upload and read back."""
+    path = scratch_path(spark, "registry")
+    rows, columns = keyed_events(spark, sf_dir)
+    counts = keyed_profile.value_counts(rows)
+    types = keyed_profile.column_types(counts)
+    clients = columns.select("upload_id", F.concat(F.lit("client_"), (F.col("upload_id") % 7).cast("string")).alias("client_id"))
+    staging.stage_many(keyed_profile.registry(
+        keyed_profile.profile_uploads(rows, columns, counts, types),
+        keyed_profile.duplicate_counts(keyed_profile.typed_rows(rows, types)), clients), path)
+    parsed = F.from_json("profile_data", "ARRAY<STRUCT<name: STRING, detected_type: STRING, unique_count: BIGINT>>")
+    return spark.read.parquet(path).withColumn("p", parsed).select(
+        "client_id", F.col("upload_id").cast("bigint").alias("upload_id"), "table_name", "row_count", "column_count", "duplicate_row_count",
+        F.get("p", F.lit(0))["name"].alias("first_column"),
+        F.get("p", F.lit(0))["detected_type"].alias("first_type"),
+        F.element_at("p", -1)["unique_count"].alias("last_unique"))
 
 
 def with_repeats(frame: DataFrame, condition: str) -> DataFrame:
@@ -167,23 +234,27 @@ def duplicate_line_items(spark, sf_dir):
 @query("first_samples", " UNION ALL ".join(f"""
     SELECT {i} AS position, string_agg(v, ' | ' ORDER BY event_id) AS samples FROM (
         SELECT event_id, CAST({c} AS VARCHAR) AS v FROM events
-        WHERE {c} IS NOT NULL {w} ORDER BY event_id LIMIT 5)"""
-    for i, (c, w) in enumerate([("event_id", ""), ("value", "AND event_type <> 'error'"),
-                                ("props", "AND value >= 20"), ("event_type", "")])))
+        WHERE {c} IS NOT NULL {'AND ' + w if w else ''} ORDER BY event_id LIMIT 5)"""
+    for i, (c, w) in enumerate(_GAPPY)))
 def first_samples(spark, sf_dir):
-    firsts = profile.first_values(gappy_events(spark, sf_dir), ["event_id"])
+    """First values in file order, from files of very different sizes, which Spark reads largest first."""
+    path = scratch_path(spark, "ordered")
+    number = F.lpad(F.floor(F.sqrt(F.col("event_id") / 50)).cast("string"), 9, "0")
+    gappy_events(spark, sf_dir).withColumn("part", number).repartition("part").sortWithinPartitions("part", "event_id") \
+        .write.partitionBy("part").parquet(path)
+    firsts = profile.first_values(spark.read.parquet(path).drop("part"))
     return firsts.select("position", F.array_join("sample_values", " | ").alias("samples"))
 
 
 @query("role_overrides", """
     SELECT name, suggested_role, COALESCE(given, suggested_role) AS role FROM (
-        SELECT unnest(['p_partkey', 'p_name', 'p_brand', 'p_size']) AS name,
-               unnest(['measure', CASE WHEN COUNT(DISTINCT p_name) >= 0 THEN 'dimension' END, 'dimension',
-                       CASE WHEN COUNT(DISTINCT p_size) <= 5 THEN 'dimension' ELSE 'measure' END]) AS suggested_role,
-               unnest(['ignore', NULL, NULL, 'dimension']) AS given FROM part)""")
+        SELECT unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']) AS name,
+               unnest([CASE WHEN COUNT(DISTINCT p_partkey) <= 5 THEN 'dimension' ELSE 'measure' END, 'dimension', 'dimension', 'dimension',
+                       CASE WHEN COUNT(DISTINCT p_size) <= 5 THEN 'dimension' ELSE 'measure' END,
+                       CASE WHEN COUNT(DISTINCT p_retailprice) <= 5 THEN 'dimension' ELSE 'measure' END]) AS suggested_role,
+               unnest(['ignore', NULL, NULL, NULL, 'dimension', NULL]) AS given FROM part)""")
 def role_overrides(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    profiled = profile.profile_columns(part, ["p_partkey"])
+    profiled = profile.profile_columns(table(spark, sf_dir, "part"), ["p_partkey"])
     return profile.with_role_overrides(profiled, {"p_partkey": "ignore", "p_size": "dimension"}) \
         .select("name", "suggested_role", "role")
 

@@ -16,6 +16,17 @@ GIVEN = [
 ]
 
 DERIVED = {
+    # The events as 150 uploads, all columns as the texts of delimited files, a twentieth of the rows repeated.
+    "keyed_events": """
+        SELECT user_id % 150 AS upload_id, event_id AS at_row, CAST(event_id AS STRING) AS event_id,
+               SUBSTR(CAST(ts AS STRING), 1, 19) AS ts, CAST(user_id AS STRING) AS user_id, event_type,
+               CASE WHEN event_type <> 'error' THEN CAST(value AS STRING) END AS value, props
+        FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 20 = 0)""",
+    # All orders as 120 uploads by customer, a tenth of the rows repeated.
+    "uploaded": """
+        SELECT o_custkey % 120 AS upload_id, o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+               SUBSTR(CAST(o_orderdate AS STRING), 1, 10) AS o_day, o_orderpriority
+        FROM (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 10 = 0)""",
     # Report requests: one per order.
     "requests": """
         SELECT CAST(o_orderkey AS STRING) AS request_id,

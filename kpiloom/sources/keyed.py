@@ -1,6 +1,6 @@
 """Many delimited uploads read together: one scan whatever their headers, with the upload as a column.
 
-Files lie at ``<folder>/<upload_id>/<name>``. A file's records and fields are cut by patterns inside Spark, so
+Files lie at ``<folder>/<upload_id>/<name>``, or in a folder ``upload_id=<upload_id>``, at any depth. A file's records and fields are cut by patterns inside Spark, so
 files of any header are rows of one frame and a bad file is a value, not a failed job.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from kpiloom.functions.text import normalise_headers
 from kpiloom.schemas import NULL_TOKENS
@@ -36,7 +36,7 @@ def _paths(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     parts = F.split("path", "/")
     return files.select(
-        "path", F.try_element_at(parts, F.lit(-2)).try_cast("bigint").alias("upload_id"),
+        "path", F.regexp_replace(F.try_element_at(parts, F.lit(-2)), "^upload_id=", "").try_cast("bigint").alias("upload_id"),
         F.element_at(parts, -1).alias("filename"), F.col("length").alias("size_bytes"), "content")
 
 
@@ -74,7 +74,7 @@ def headers(read: DataFrame, sep: str = ",") -> DataFrame:
                    F.when(F.col("widest") > F.size("names"), "a row has more fields than the header")).alias("problem"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _normalised(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for names in lists:
         yield names.map(lambda n: normalise_headers(list(n)))
