@@ -15,14 +15,15 @@ _UNIT = 1 << 20  # a ratio is kept in whole 2^-20 of a nat, so sums don't depend
 _ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 
 
-def buckets_of(ws: Column, buckets: int) -> Column:
-    """The bucket of each word and of each pair of neighbours."""
-    def one(*parts: Column) -> Column:
-        return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
+def hashes_of(ws: Column) -> Column:
+    """Each word's hash, from which n-grams are hashed: a word's letters are read once."""
+    return F.transform(ws, lambda w: F.xxhash64(w))
 
-    pairs = F.transform(
-        F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))), lambda w, i: one(w, F.get(ws, i + 1)))
-    return F.concat(F.transform(ws, lambda w: one(w)), pairs)
+
+def buckets_of(hs: Column, buckets: int) -> Column:
+    """The bucket of each word and of each pair of neighbours, from the words' hashes."""
+    pairs = F.transform(F.slice(hs, F.lit(1), F.greatest(F.size(hs) - 1, F.lit(0))), lambda h, i: F.xxhash64(h, F.get(hs, i + 1)))
+    return F.transform(F.concat(hs, pairs), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
 
 
 def buckets_for(size: int) -> int:
@@ -41,9 +42,9 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFram
     """(bucket, raw, hit): n-grams of all texts and of all trusted ones; every task sums its own part first."""
     ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("trusted_id")).distinct()
     marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
-    # Words are a column of their own first: an expression would be split again for every word.
-    split = marked.select("trusted_id", words(F.col("text")).alias("ws"))
-    grams = split.select("trusted_id", F.explode(buckets_of(F.col("ws"), buckets)).alias("bucket"))
+    # Hashes are a column of their own first: an expression would be split again for every word.
+    hashed = marked.select("trusted_id", hashes_of(words(F.col("text"))).alias("hs"))
+    grams = hashed.select("trusted_id", F.explode(buckets_of(F.col("hs"), buckets)).alias("bucket"))
     return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted_id").alias("hit"))
 
 
@@ -67,7 +68,7 @@ def _as_array(table: DataFrame, buckets: int) -> DataFrame:
 def _totals(rows: DataFrame, table: DataFrame, buckets: int) -> DataFrame:
     """(of_row, total): the sum of the ratios of each row's n-grams, by a join on the bucket. A text's equal
     n-grams are one row, and frequent buckets are partitions that Spark may split."""
-    grams = rows.select(F.col("row_no").alias("of_row"), F.explode(buckets_of(F.col("ws"), buckets)).alias("bucket"))
+    grams = rows.select(F.col("row_no").alias("of_row"), F.explode(buckets_of(F.col("hs"), buckets)).alias("bucket"))
     counted = grams.groupBy("of_row", "bucket").agg(F.count("*").alias("n"))
     return counted.join(table, "bucket").groupBy("of_row").agg(F.sum(F.col("n") * F.col("v")).alias("total"))
 
@@ -92,13 +93,13 @@ def judge(
     table = ratios(docs, trusted, buckets, prior)
     kept = [c for c in docs.columns if c not in _ADDED]
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.struct(*kept).alias("row"), text.alias("body"), words(F.col("text")).alias("ws"))
+    rows = docs.select(F.struct(*kept).alias("row"), text.alias("body"), hashes_of(words(F.col("text"))).alias("hs"))
     if buckets > shared_buckets:
         rows = numbered = materialised(rows.withColumn("row_no", F.monotonically_increasing_id()), "rule-rows")
-    n = F.size("ws")
+    n = F.size("hs")
     shingles = F.transform(
-        F.slice("ws", F.lit(1), F.greatest(n - 4, F.lit(0))),
-        lambda w, i: F.xxhash64(w, *[F.get("ws", i + k) for k in range(1, 5)]))
+        F.slice("hs", F.lit(1), F.greatest(n - 4, F.lit(0))),
+        lambda h, i: F.xxhash64(h, *[F.get("hs", i + k) for k in range(1, 5)]))
     rows = rows.withColumns({
         "shingles": shingles,
         "lines": F.filter(F.split("body", "\n"), lambda x: F.translate(x, SEPARATORS, "") != ""),
@@ -112,7 +113,7 @@ def judge(
     if buckets <= shared_buckets:
         rows = rows.withColumn("ratios", _as_array(table, buckets).scalar())
         total = F.aggregate(
-            buckets_of(F.col("ws"), buckets), F.lit(0).cast("long"), lambda s, b: s + F.get("ratios", b))
+            buckets_of(F.col("hs"), buckets), F.lit(0).cast("long"), lambda s, b: s + F.get("ratios", b))
     else:
         totals = _totals(numbered, table, buckets)
         rows = rows.join(totals, F.col("row_no") == F.col("of_row"), "left")

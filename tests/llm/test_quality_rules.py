@@ -40,7 +40,7 @@ def test_ratio_against_plain_counts(spark):
     texts = [f"good word number {i % 5} here is plain text again" for i in range(30)] + [f"junk@{i} ### !! {i * 7} zz{i}" for i in range(30)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     trusted = docs.where("doc_id < 20").select("doc_id")
-    grams = docs.select("doc_id", quality_rules.buckets_of(F.split("text", " "), 512).alias("b")).collect()
+    grams = docs.select("doc_id", quality_rules.buckets_of(quality_rules.hashes_of(F.split("text", " ")), 512).alias("b")).collect()
     raw, hit = [0] * 512, [0] * 512
     for r in grams:
         for b in r["b"]:
@@ -80,7 +80,7 @@ def plain_ratio(spark, texts, trusted, prior=1000.0):
     frame = spark.createDataFrame([(i, t) for i, t in texts.items()], "i long, t string")
     buckets = quality_rules.buckets_for(sum(len((t or "").encode()) for t in texts.values()))
     grams = {r["i"]: r["b"] for r in frame.select("i", words(F.col("t")).alias("ws")).select(
-        "i", quality_rules.buckets_of(F.col("ws"), buckets).alias("b")).collect()}
+        "i", quality_rules.buckets_of(quality_rules.hashes_of(F.col("ws")), buckets).alias("b")).collect()}
     raw, hit = Counter(), Counter()
     for i, bs in grams.items():
         raw.update(bs)
