@@ -22,6 +22,7 @@ from kpiloom.llm.common import materialised
 
 _END = 1  # id that closes a document
 _BUFFER_TOKENS = 2_000_000
+_SHARED_ROWS = 500_000
 
 
 # Fixed value: how byte-level vocabularies split a text before merging.
@@ -257,7 +258,7 @@ def pack(
     pieces = materialised(docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, "
              "offset long, tier int, part int, in_tier long"), "packed-pieces")
-    opened = pieces.where("offset = 0").groupBy("tier", "part").agg(F.count("*").alias("windows"))
+    opened = materialised(pieces.where("offset = 0").groupBy("tier", "part").agg(F.count("*").alias("windows")), "packed-counts")
     earlier = Window.partitionBy("tier").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = opened.select(
         F.col("tier").alias("of_tier"), F.col("part").alias("of_part"),
@@ -266,6 +267,8 @@ def pack(
     for i, tier in enumerate((0, *tiers)):
         number = F.col("first") + F.col("in_tier")
         group = F.when(F.col("tier") == tier, F.lit(i << 56) + F.floor(number / max(1, step_tokens // (tier or step_tokens)))).otherwise(group)
+    if opened.count() <= _SHARED_ROWS:  # a row per task and tier; more are joined by shuffle
+        starts = F.broadcast(starts)
     joined = pieces.join(starts, (F.col("tier") == F.col("of_tier")) & (F.col("part") == F.col("of_part")))
     return joined.select(*_NAMES[:-2], group.cast("long").alias("step_group"))
 
