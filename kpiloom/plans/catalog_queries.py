@@ -8,7 +8,10 @@ from kpiloom.operators import catalog
 from kpiloom.plans.registry import query
 from kpiloom.plans.tables import table
 from kpiloom.schemas import KPI_DOMAINS, KPI_FORMATS
-from kpiloom.sources.catalog_files import parse_catalog
+from kpiloom.session import scratch_path
+from kpiloom.sources import snapshots
+from kpiloom.sources.catalog_files import read_catalog, replace_catalog, stored_catalog
+from kpiloom.sources.sinks import write_documents
 
 
 def quoted_list(values: list[str]) -> str:
@@ -79,7 +82,7 @@ SLUGS = {
     "existing": """
         SELECT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_')
                || CASE WHEN p_size % 3 = 0 THEN '' ELSE '_' || CAST(p_size % 7 + 2 AS STRING) END AS kpi_id
-        FROM part WHERE p_type = 'ECONOMY'""",
+        FROM part""",
     "blocked": """
         SELECT DISTINCT slug, n FROM (
             SELECT kpi_id AS slug, 1 AS n FROM existing
@@ -104,7 +107,7 @@ SLUGS = {
     FROM arrivals a JOIN free f ON f.slug = a.slug AND f.k = a.k
     UNION ALL SELECT seq, slug, NULL FROM slugs WHERE slug = ''""", SLUGS)
 def kpi_slugs(spark, sf_dir):
-    part = table(spark, sf_dir, "part").where("p_type = 'ECONOMY'")
+    part = table(spark, sf_dir, "part")
     base = F.regexp_replace(F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     existing = part.select(F.concat(base, F.when(F.col("p_size") % 3 == 0, "").otherwise(
         F.concat(F.lit("_"), (F.col("p_size") % 7 + 2).cast("string")))).alias("kpi_id"))
@@ -153,14 +156,30 @@ CATALOG_DOC = """
            0 AS source_field_count, reviewed
     FROM part_catalog""")
 def catalog_load(spark, sf_dir):
-    documents = table(spark, sf_dir, "part_catalog").selectExpr("*").transform(
-        lambda df: df.select(F.expr(_doc_expression()).alias("document")))
-    return parse_catalog(documents, "document").select(
+    """The catalog as documents in files, read, stored as a snapshot and read from there."""
+    files, stored = scratch_path(spark, "catalog-files"), scratch_path(spark, "catalog")
+    write_documents(table(spark, sf_dir, "part_catalog").select(F.expr(_doc_expression()).alias("document")), files)
+    replace_catalog(read_catalog(spark, files, lines=True), stored)
+    return stored_catalog(spark, stored).select(
         "kpi_id", "description", "expected_range.min", "expected_range.max",
         F.array_join("aliases", ",").alias("aliases"),
         F.size("source_fields").alias("source_field_count"), "reviewed")
 
 
+@query("catalog_snapshots", """
+    SELECT kpi_id, CASE WHEN p_size % 2 = 0 THEN 'second' ELSE 'first' END AS load, FALSE AS is_old FROM part_catalog
+    UNION ALL SELECT kpi_id, 'first', TRUE FROM part_catalog""")
+def catalog_snapshots(spark, sf_dir):
+    """A snapshot, half of it changed in the next one that is made from it, and a reader that was there before."""
+    root = scratch_path(spark, "snapshots")
+    rows = table(spark, sf_dir, "part_catalog").select("kpi_id", "p_size", F.lit("first").alias("load"))
+    snapshots.publish(rows, root)
+    before = snapshots.current(spark, root)
+    snapshots.publish(before.withColumn("load", F.when(F.col("p_size") % 2 == 0, "second").otherwise(F.col("load"))), root)
+    now = snapshots.current(spark, root)
+    return now.select("kpi_id", "load", F.lit(False).alias("is_old")).union(before.select("kpi_id", "load", F.lit(True)))
+
+
 def _doc_expression() -> str:
     body = CATALOG_DOC.split("p_partkey,", 1)[1]
     return body.rsplit(" AS document", 1)[0]

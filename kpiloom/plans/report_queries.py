@@ -13,7 +13,9 @@ from kpiloom.plans.kpi_queries import (
 )
 from kpiloom.plans.registry import query
 from kpiloom.plans.tables import table
-from kpiloom.sources.catalog_files import template_charts
+from kpiloom.session import scratch_path
+from kpiloom.sources.catalog_files import read_templates, template_charts
+from kpiloom.sources.sinks import write_documents
 
 CHARTS = {"charts": CHARTS_SQL}
 REPORTS = {
@@ -98,8 +100,11 @@ def report_document(spark, sf_dir):
     FROM supplier_requests r LEFT JOIN tiles t ON r.request_id = t.request_id
     GROUP BY r.request_id, r.template_type, r.client_id""", REPORTS)
 def report_document_parts(spark, sf_dir):
-    """The JSON documents read back."""
-    parsed = report_document(spark, sf_dir).select("request_id", F.from_json("document", (
+    """The JSON documents written to files and read back; a document does not name its request, so a line does."""
+    path = scratch_path(spark, "documents")
+    lines = report_document(spark, sf_dir).select(F.to_json(F.struct("request_id", "document")).alias("document"))
+    write_documents(lines, path)
+    parsed = spark.read.schema("request_id STRING, document STRING").json(path).select("request_id", F.from_json("document", (
         "template_type STRING, client_id STRING, kpi_tiles ARRAY<STRUCT<kpi_id: STRING, "
         "display_name: STRING, value: DOUBLE>>, charts ARRAY<STRUCT<chart_id: STRING>>")).alias("d"))
     total = F.aggregate("d.kpi_tiles", F.lit(0.0), lambda a, t: a + F.coalesce(t["value"], F.lit(0.0)))
@@ -115,7 +120,11 @@ def report_document_parts(spark, sf_dir):
            c.x_axis, c.y_format
     FROM requests r JOIN charts c ON r.template_type = c.template_id""", CHARTS)
 def template_charts_of_requests(spark, sf_dir):
-    charts = template_charts(template_frame(spark)).withColumnRenamed("template_id", "template_type")
+    """The charts of every request, from template documents in a file each."""
+    path = scratch_path(spark, "templates")
+    documents = template_frame(spark).select("template_id", F.to_json(F.struct("*")).alias("document"))
+    documents.repartition("template_id").write.partitionBy("template_id").text(path)
+    charts = template_charts(read_templates(spark, f"{path}/*")).withColumnRenamed("template_id", "template_type")
     return (
         table(spark, sf_dir, "requests").select("request_id", "template_type")
         .join(charts, "template_type")

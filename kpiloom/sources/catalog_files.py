@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kpiloom.schemas import KPI_CATALOG, TEMPLATE, fields
+from kpiloom.sources import snapshots
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
@@ -43,9 +44,10 @@ def parse_catalog(documents: DataFrame, column: str) -> DataFrame:
     return with_catalog_defaults(rows)
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Catalog rows with defaults from a JSON array document or JSON lines files."""
-    return with_catalog_defaults(spark.read.schema(KPI_CATALOG).json(path, multiLine=True))
+def read_catalog(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Catalog rows with defaults from files that are a JSON array or object each, or with ``lines`` one object a line,
+    which Spark can split."""
+    return with_catalog_defaults(spark.read.schema(KPI_CATALOG).json(path, multiLine=not lines))
 
 
 def with_catalog_defaults(rows: DataFrame) -> DataFrame:
@@ -61,5 +63,9 @@ def with_catalog_defaults(rows: DataFrame) -> DataFrame:
 
 
 def replace_catalog(rows: DataFrame, path: str) -> None:
-    """Snapshot load: whatever was there is cleared."""
-    rows.write.mode("overwrite").parquet(path)
+    """Snapshot load: the rows take the place of whatever was there, at once."""
+    snapshots.publish(rows, path)
+
+
+def stored_catalog(spark: SparkSession, path: str) -> DataFrame:
+    return snapshots.current(spark, path)

@@ -176,7 +176,7 @@ def test_recipe_filters_must_be_offered(facts):
 def test_catalog_file_to_kpis(spark, facts, tmp_path):
     import json
 
-    from kpiloom.sources.catalog_files import read_catalog, replace_catalog
+    from kpiloom.sources.catalog_files import read_catalog, replace_catalog, stored_catalog
 
     (tmp_path / "kpis.json").write_text(json.dumps([
         {"kpi_id": "rate", "display_name": "Rate", "numerator": "a", "denominator": "b", "format": "percentage",
@@ -185,7 +185,7 @@ def test_catalog_file_to_kpis(spark, facts, tmp_path):
          "domain": "ops"}], indent=1))
     for _ in range(2):
         replace_catalog(read_catalog(spark, str(tmp_path / "kpis.json")), str(tmp_path / "catalog"))
-    stored = spark.read.parquet(str(tmp_path / "catalog"))
+    stored = stored_catalog(spark, str(tmp_path / "catalog"))
     assert stored.count() == 2
     known = kpi.definitions(stored, ["rate", "total", "nope"])
     assert set(known) == {"rate", "total"} and known["rate"].aliases == ("r",) and known["total"].min is None

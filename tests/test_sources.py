@@ -250,3 +250,28 @@ def test_stream_keeps_long_sums(spark, tmp_path):
     parts = spark.read.parquet(str(tmp_path / "sums"))
     got = parts.select(((F.col("n__high") * F.lit(1 << 40)) + F.col("n__mid") * F.lit(1 << 20) + F.col("n__low")).alias("n"))
     assert sum(r["n"] for r in got.collect()) == 2 * big + 3
+
+
+def test_snapshot_swap_survives_a_failure(spark, tmp_path, monkeypatch):
+    """A run that dies between writing a snapshot and naming it changes nothing; the next one goes on."""
+    from kpiloom.sources import snapshots
+
+    root = str(tmp_path / "s")
+    with pytest.raises(ValueError):
+        snapshots.current(spark, root)
+    assert snapshots.publish(spark.range(3).selectExpr("id", "'a' AS v"), root) == 1
+    pinned = snapshots.current(spark, root)
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(snapshots, "_name", dies)
+        with pytest.raises(RuntimeError):
+            snapshots.publish(spark.range(9).selectExpr("id", "'b' AS v"), root)
+    assert {(r["id"], r["v"]) for r in snapshots.current(spark, root).collect()} == {(0, "a"), (1, "a"), (2, "a")}
+    # made from the snapshot it replaces
+    assert snapshots.publish(snapshots.current(spark, root).where("id > 0").selectExpr("id", "'c' AS v"), root) == 2
+    assert {(r["id"], r["v"]) for r in snapshots.current(spark, root).collect()} == {(1, "c"), (2, "c")}
+    assert pinned.count() == 3 and snapshots.current(spark, root, version=1).count() == 3
+    assert snapshots.versions(spark, root).count() == 2
