@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from kpiloom.functions.dates import grain
-from kpiloom.functions.numbers import is_numeric, plain_number, ratio, round_kpi, total
+from kpiloom.functions.numbers import (
+    exact_parts, exact_value, is_numeric, plain_number, present, ratio, round_kpi, total,
+)
 from kpiloom.schemas import NO_DENOMINATOR
 
 
@@ -211,10 +213,45 @@ def numerator_of() -> Column:
     return F.coalesce(F.nullif(F.col("numerator_column"), F.lit("")), F.col("raw_column"))
 
 
+def period_totals(facts: DataFrame, columns: Sequence[str], periods: DataFrame, key: str, facts_key: str,
+                  date_column: str, exact: bool = True) -> DataFrame:
+    """(key, _sums): totals of each request's facts within its own days, in the order of ``columns``.
+
+    Facts become one row of sums per (facts_key, day) in each task before anything is shuffled or joined; periods meet
+    days, never facts, so requests whose periods overlap share what was summed. The parts of a sum add up exactly.
+    """
+    folds: dict[str, dict[str, Column]] = {}
+    for i, c in enumerate(columns):
+        dtype = facts.schema[c].dataType
+        value = present(F.col(c), dtype)
+        if isinstance(dtype, T.BooleanType):
+            value, dtype = value.cast("int"), T.IntegerType()
+        plain = isinstance(dtype, T.DecimalType) or not exact
+        folds[f"_p{i}"] = {"sum": F.sum(value)} if plain else exact_parts(value, dtype)
+    names = [f"{p}_{n}" for p, parts in folds.items() for n in parts]
+    daily = facts.groupBy(facts_key, F.to_date(date_column).alias("_day")).agg(
+        F.count(F.lit(1)).alias("_rows"), *[c.alias(f"{p}_{n}") for p, parts in folds.items() for n, c in parts.items()])
+    bounds = periods.select(*dict.fromkeys((key, facts_key)), "period_start", "period_end")
+    day = F.col("_day")
+    inside = (F.coalesce(day >= F.to_date("period_start"), F.col("period_start").isNull())
+              & F.coalesce(day <= F.to_date("period_end"), F.col("period_end").isNull()))
+    held = daily.join(bounds, facts_key, "left" if key == facts_key else "inner").where(inside)
+    merged = held.groupBy(key).agg(*[F.sum(n).alias(n) for n in names])
+
+    def value_of(p: str, parts: dict[str, Column]) -> Column:
+        if "sum" in parts:
+            return F.coalesce(F.col(f"{p}_sum").cast("double"), F.lit(0.0))
+        return exact_value({n: F.col(f"{p}_{n}") for n in parts})
+
+    values = [value_of(p, parts) for p, parts in folds.items()]
+    return merged.select(key, F.array(*values).cast("array<double>").alias("_sums"))
+
+
 def compute_requests(facts: DataFrame, requested: DataFrame, catalog: DataFrame,
                      mapping: DataFrame, key: str = "request_id", exact: bool = True,
                      validate_totals: bool = False, file_headers: DataFrame | None = None,
-                     periods: DataFrame | None = None, date_column: str | None = None) -> DataFrame:
+                     periods: DataFrame | None = None, date_column: str | None = None,
+                     facts_key: str | None = None) -> DataFrame:
     """KPIs of many requests over one keyed fact table in one job.
 
     ``requested`` is (key, position, kpi_id) and ``mapping`` one row per (key, kpi_id). The facts
@@ -224,18 +261,16 @@ def compute_requests(facts: DataFrame, requested: DataFrame, catalog: DataFrame,
     ``file_headers`` (key, header) says which columns each request's own file has: one it lacks is
     null in the shared table and is flagged instead of summing to zero. ``periods`` (key,
     period_start, period_end) keeps each request's facts of its own days by ``date_column``, both
-    days included and open without a bound.
+    days included and open without a bound. Requests that share facts name them there by ``facts_key``,
+    the facts' own key.
     """
     headers, numeric = facts.columns, numeric_columns(facts)
-    if periods is not None:
-        day = F.to_date(date_column)
-        inside = (F.coalesce(day >= F.to_date("period_start"), F.col("period_start").isNull())
-                  & F.coalesce(day <= F.to_date("period_end"), F.col("period_end").isNull()))
-        bounds = periods.select(key, "period_start", "period_end")
-        facts = facts.join(bounds, key, "left").where(inside).select(*headers)
     used = [c for c in mapped_columns(mapping, headers) if c in numeric]
-    totals, where = column_totals(facts, used, [F.col(key)], exact)
-    sums = totals.select(key, F.array(*where.values()).cast("array<double>").alias("_sums"))
+    if periods is not None:
+        sums = period_totals(facts, used, periods, key, facts_key or key, date_column, exact)
+    else:
+        totals, where = column_totals(facts, used, [F.col(key)], exact)
+        sums = totals.select(key, F.array(*where.values()).cast("array<double>").alias("_sums"))
     known = catalog.select(
         "kpi_id", F.lit(True).alias("_known"), F.col("denominator").alias("_den"),
         F.col("expected_range.min").alias("_low"), F.col("expected_range.max").alias("_high"),

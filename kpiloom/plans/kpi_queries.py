@@ -209,6 +209,26 @@ def kpi_requests_own_files(spark, sf_dir):
         F.regexp_replace(F.array_join("flags", " | "), "^value [0-9.]+", "value").alias("flags"))
 
 
+@query("kpi_overlapping_periods", f"""
+    SELECT CAST(r.o_orderkey AS STRING) AS request_id, 'gross_sales' AS kpi_id, ROUND({sum_sql('f.o_totalprice')}, 4) AS value
+    FROM orders r JOIN orders f ON f.o_custkey = r.o_custkey AND CAST(f.o_orderdate AS DATE) <= CAST(r.o_orderdate AS DATE)
+         AND CAST(f.o_orderdate AS DATE) >= CAST(r.o_orderdate AS DATE) - 400
+    GROUP BY r.o_orderkey""")
+def kpi_overlapping_periods(spark, sf_dir):
+    """For every order the sales to its customer in the 400 days up to it: periods overlap, and facts are keyed by customer."""
+    orders = table(spark, sf_dir, "orders").withColumn("request_id", F.col("o_orderkey").cast("string"))
+    requested = orders.select("request_id", F.lit(0).alias("position"), F.lit("gross_sales").alias("kpi_id"))
+    nothing = F.lit(None).cast("string")
+    mapped = requested.select("request_id", "kpi_id", F.lit("o_totalprice").alias("raw_column"),
+                              nothing.alias("numerator_column"), nothing.alias("denominator_column"))
+    day = F.to_date("o_orderdate")
+    periods = orders.select("request_id", "o_custkey", F.date_sub(day, 400).alias("period_start"), day.alias("period_end"))
+    results = kpi.compute_requests(
+        table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice"), requested, catalog_frame(spark), mapped,
+        periods=periods, date_column="o_orderdate", facts_key="o_custkey")
+    return kpi.values_only(results).select("request_id", "kpi_id", "value")
+
+
 @query("kpi_request_flags", """
     SELECT request_id, CAST(COALESCE(COUNT(f), 0) AS INTEGER) AS flag_count,
            COALESCE(string_agg(kpi_id || ': ' || f, ' | ' ORDER BY position, i), '') AS data_quality_flags

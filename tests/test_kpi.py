@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +208,24 @@ def test_values_below_a_millionth_and_above_a_trillion_keep_their_digits(spark):
     mapping = {"r": kpi.ColumnMapping(None, "num", "den"), "h": kpi.ColumnMapping(raw_column="huge")}
     got = {r["kpi_id"]: (r["value"], r["flags"]) for r in kpi.compute_kpis(rows, ["r", "h"], catalog, mapping).collect()}
     assert got == {"r": (0.5, []), "h": (1.5e16, [])}
+
+
+def test_overlapping_periods_share_daily_sums(spark):
+    """Requests over one client's facts with overlapping, open and empty periods; no fact is joined."""
+    rows = [(f"c{i % 2}", f"2024-01-{1 + i % 28:02d}", 10.0 ** (i % 20) + 0.1 * i, i % 3 == 0) for i in range(400)] + [("c0", None, 5.0, True)]
+    facts = spark.createDataFrame(rows, "client string, day string, a double, b boolean")
+    periods = [("r1", "c0", "2024-01-03", "2024-01-20"), ("r2", "c0", "2024-01-10", None), ("r3", "c0", None, None),
+               ("r4", "c1", None, "2024-01-02"), ("r5", "c1", "2030-01-01", "2030-01-02"), ("r6", "c9", None, None)]
+    frame = spark.createDataFrame(periods, "request_id string, client string, period_start string, period_end string")
+    sums = kpi.period_totals(facts, ["a", "b"], frame, "request_id", "client", "day")
+    got = {r["request_id"]: r["_sums"] for r in sums.collect()}
+    for request, client, start, end in periods:
+        held = [(a, b) for c, d, a, b in rows if c == client and (start is None or (d and d >= start)) and (end is None or (d and d <= end))]
+        if not held:
+            assert request not in got
+            continue
+        assert got[request][1] == sum(b for _, b in held)
+        assert abs(got[request][0] - math.fsum(a for a, _ in held)) <= 1e-12 * got[request][0]
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    join, aggregates = plan.index("Join "), [i for i in range(len(plan)) if plan.startswith("Aggregate [client", i)]
+    assert aggregates and aggregates[0] > join  # facts are aggregated below the join
