@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiloom.llm.common import SEPARATORS, materialised, words
+from kpiloom.llm.common import materialised, words
 
 SYMBOLS = "#*$%&|<>"
 _UNIT = 1 << 20  # a ratio is kept in whole 2^-20 of a nat, so sums don't depend on their order
@@ -93,7 +93,8 @@ def judge(
     table = ratios(docs, trusted, buckets, prior)
     kept = [c for c in docs.columns if c not in _ADDED]
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.struct(*kept).alias("row"), text.alias("body"), hashes_of(words(F.col("text"))).alias("hs"))
+    rows = docs.select(F.struct(*kept).alias("row"), text.alias("body"), words(F.col("text")).alias("ws")).select(
+        "row", "body", hashes_of(F.col("ws")).alias("hs"), F.length(F.array_join("ws", "")).alias("word_chars"))
     if buckets > shared_buckets:
         rows = numbered = materialised(rows.withColumn("row_no", F.monotonically_increasing_id()), "rule-rows")
     n = F.size("hs")
@@ -102,7 +103,7 @@ def judge(
         lambda h, i: F.xxhash64(h, *[F.get("hs", i + k) for k in range(1, 5)]))
     rows = rows.withColumns({
         "shingles": shingles,
-        "lines": F.filter(F.split("body", "\n"), lambda x: F.translate(x, SEPARATORS, "") != ""),
+        "lines": F.filter(F.split("body", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
     })
     repeats = F.size(F.array_distinct("shingles")) < F.size("shingles")
     ordered = F.sort_array(F.transform("shingles", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -120,8 +121,8 @@ def judge(
         total = F.coalesce(F.col("total"), F.lit(0))
     counted = rows.select(
         "row", n.cast("long").alias("n_words"),
-        F.length(F.translate("body", SEPARATORS, "")).cast("long").alias("word_chars"),
-        (F.length("body") - F.length(F.translate("body", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.col("word_chars").cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("body", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("ordered").isNotNull(), covered).otherwise(0).cast("long").alias("n_repeat_words"),
         (total / F.lit(float(_UNIT)) / F.greatest(2 * n - 1, F.lit(1))).alias("llr"))
