@@ -12,6 +12,7 @@ from kpiloom.llm.common import materialised, words
 
 SYMBOLS = "#*$%&|<>"
 _UNIT = 1 << 20  # a ratio is kept in whole 2^-20 of a nat, so sums don't depend on their order
+_SHARED_IDS = 1_000_000
 _ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 
 
@@ -39,8 +40,11 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, raw, hit): n-grams of all texts and of all trusted ones; every task sums its own part first."""
-    ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("trusted_id")).distinct()
+    """(bucket, raw, hit): n-grams of all texts and of all trusted ones; every task sums its own part first. Counted to be
+    few, the trusted ids are broadcast and texts stay where they are; more are joined by shuffle."""
+    ids = materialised(trusted.where("doc_id is not null").select(F.col("doc_id").alias("trusted_id")).distinct(), "rule-trusted")
+    if ids.count() <= _SHARED_IDS:
+        ids = F.broadcast(ids)
     marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
     # Hashes are a column of their own first: an expression would be split again for every word.
     hashed = marked.select("trusted_id", hashes_of(words(F.col("text"))).alias("hs"))
@@ -83,7 +87,7 @@ def judge(
     (doc_id) names target documents. Counts cover all documents, trusted and raw, in ``buckets`` buckets, by
     default ``buckets_for`` the corpus. Up to ``shared_buckets`` of them (16 MB) all tasks share one array
     of ratios and texts are scored where they are read; more are joined as a table, with the same sums.
-    For the counts texts are shuffled only if the trusted ids are too many to broadcast.
+    For the counts texts are shuffled only beyond a million trusted ids.
 
     Null text counts as empty: no words, base_failed, llr 0. Repeated rows are counted and judged each.
     Columns of the added names are replaced. With no trusted documents every ratio is near 0 and only the

@@ -61,12 +61,15 @@ def test_empty_and_untrusted(empty_docs, edge_docs):
     assert all(abs(r["llr"]) < 1e-6 for r in rows)
 
 
-def test_all_trusted_documents_count(spark):
+def test_all_trusted_documents_count(spark, monkeypatch):
     """25,000 trusted texts without a common word: each is like the target it is part of."""
     docs = spark.range(25_000).selectExpr("id as doc_id", "concat_ws(' ', concat('a', id), concat('b', id), concat('c', id)) as text")
     rows = quality_rules.judge(docs, docs.select("doc_id"), buckets=1 << 18, min_words=1)
     assert rows.agg(F.min("llr")).first()[0] > 0
     counts = quality_rules.bucket_counts(docs, docs.select("doc_id"), 1 << 16)
+    monkeypatch.setattr(quality_rules, "_SHARED_IDS", 0)
+    joined = quality_rules.bucket_counts(docs, docs.select("doc_id"), 1 << 16)
+    assert joined.exceptAll(counts).count() == 0 and joined.count() == counts.count()
     assert counts.where("raw <> hit").count() == 0 and counts.agg(F.sum("hit")).first()[0] == 5 * 25_000
 
 
