@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kpiloom.functions.running import neighbour, running_total
+from kpiloom.functions.running import BLOCK_ROWS, neighbour, running_total
 from kpiloom.functions.text import slug
 from kpiloom.schemas import (
     ANY_KPI, KPI_DOMAINS, KPI_FORMATS, NO_DENOMINATOR, RANGE,
@@ -113,7 +113,7 @@ def enrich_source_fields(source_fields: Column, numerator: Column, denominator:
     return with_one(with_one(given, numerator), denominator)
 
 
-def assign_ids(proposals: DataFrame, catalog: DataFrame, width: int = 1 << 20) -> DataFrame:
+def assign_ids(proposals: DataFrame, catalog: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     """Catalog ids of proposed KPIs (seq, display_name) in arrival order.
 
     The first free of ``slug, slug_2, slug_3, …`` is taken; a name without letters or digits gets
@@ -123,8 +123,10 @@ def assign_ids(proposals: DataFrame, catalog: DataFrame, width: int = 1 << 20) -
     """
     slugged = proposals.withColumn("slug", slug(F.coalesce("display_name", F.lit(""))))
     named = slugged.where(F.col("slug") != "")
+    proposed = proposals.count()
+    known = proposed + catalog.count()
     arrivals = running_total(
-        named.withColumn("_one", F.lit(1)), ["slug"], "seq", "_one", "arrival", width
+        named.withColumn("_one", F.lit(1)), ["slug"], "seq", "_one", "arrival", rows, proposed
     ).drop("_one")
 
     numbered = r"^(.+)_([2-9]|[1-9][0-9]{1,17})$"
@@ -140,7 +142,7 @@ def assign_ids(proposals: DataFrame, catalog: DataFrame, width: int = 1 << 20) -
         .join(own.withColumnRenamed("id", "slug"), "slug", "left_semi")
     )
     # The j-th blocked number n of a slug moves every arrival past its n - j free numbers up by one.
-    ranked = running_total(blocked.withColumn("_one", F.lit(1)), ["slug"], "n", "_one", "j", width)
+    ranked = running_total(blocked.withColumn("_one", F.lit(1)), ["slug"], "n", "_one", "j", rows, known)
     moves = (
         ranked.groupBy("slug", (F.col("n") - F.col("j") + 1).alias("arrival"))
         .agg(F.count(F.lit(1)).alias("_move"))
@@ -149,7 +151,7 @@ def assign_ids(proposals: DataFrame, catalog: DataFrame, width: int = 1 << 20) -
         arrivals.join(moves, ["slug", "arrival"], "full_outer")
         .withColumn("_move", F.coalesce("_move", F.lit(0)))
     )
-    moved = running_total(placed, ["slug"], "arrival", "_move", "_shift", width)
+    moved = running_total(placed, ["slug"], "arrival", "_move", "_shift", rows, proposed + known)
     number = F.col("arrival") + F.col("_shift")
     ids = moved.where(F.col("seq").isNotNull()).withColumn(
         "kpi_id",
@@ -228,13 +230,14 @@ def template_coverage(requests: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def definition_history(changes: DataFrame, keys: list[str], seq: str = "seq",
-                       at: str = "changed_at", width: int = 1 << 20) -> DataFrame:
+                       at: str = "changed_at", rows: int = BLOCK_ROWS) -> DataFrame:
     """Validity interval of each distinct successive formula of a KPI; the last one is open."""
+    size = changes.count()
     before = neighbour(changes.withColumn("_seen", F.struct("formula")), keys, seq, "_seen", "_before",
-                       previous=True, width=width)
+                       previous=True, rows=rows, size=size)
     changed = before.where(F.col("_before").isNull()
                            | ~F.col("formula").eqNullSafe(F.col("_before.formula")))
     return (
-        neighbour(changed.drop("_seen", "_before"), keys, seq, at, "valid_to", previous=False, width=width)
+        neighbour(changed.drop("_seen", "_before"), keys, seq, at, "valid_to", previous=False, rows=rows, size=size)
         .withColumnRenamed(at, "valid_from")
     )

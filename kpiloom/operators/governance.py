@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kpiloom.schemas import TEMPLATE_IDS
 
@@ -143,12 +143,20 @@ def latest_state(updates: DataFrame, fields: Sequence[str], key: str = "request_
     An update sets the fields it carries in ``changes`` (a map); a field it does not carry keeps
     its last value. Maxima fold before the shuffle, however many updates one request has.
     """
-    latest = [
+    folded = updates.groupBy(key).agg(*latest_fields(fields, seq), F.max(at).alias(at))
+    return shown_fields(folded, fields, key, at)
+
+
+def latest_fields(fields: Sequence[str], seq: str) -> list[Column]:
+    """Per field the last write as (s, v); such maxima fold again."""
+    return [
         F.max(F.when(F.map_contains_key("changes", f),
                      F.struct(F.col(seq).alias("s"), F.col("changes")[f].alias("v")))).alias(f)
         for f in fields
     ]
-    folded = updates.groupBy(key).agg(*latest, F.max(at).alias(at))
+
+
+def shown_fields(folded: DataFrame, fields: Sequence[str], key: str, at: str) -> DataFrame:
     return folded.select(key, *[F.col(f)["v"].alias(f) for f in fields], at)
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from kpiloom.functions.dates import grain
+from kpiloom.functions.dates import GRAINS, grain
 from kpiloom.functions.numbers import (
     exact_parts, exact_value, is_numeric, plain_number, present, ratio, round_kpi, total,
 )
@@ -213,13 +214,8 @@ def numerator_of() -> Column:
     return F.coalesce(F.nullif(F.col("numerator_column"), F.lit("")), F.col("raw_column"))
 
 
-def period_totals(facts: DataFrame, columns: Sequence[str], periods: DataFrame, key: str, facts_key: str,
-                  date_column: str, exact: bool = True) -> DataFrame:
-    """(key, _sums): totals of each request's facts within its own days, in the order of ``columns``.
-
-    Facts become one row of sums per (facts_key, day) in each task before anything is shuffled or joined; periods meet
-    days, never facts, so requests whose periods overlap share what was summed. The parts of a sum add up exactly.
-    """
+def sum_folds(facts: DataFrame, columns: Sequence[str], exact: bool = True) -> dict[str, dict[str, Column]]:
+    """Per column the aggregates whose results add up again over any grouping of rows, by prefix and part."""
     folds: dict[str, dict[str, Column]] = {}
     for i, c in enumerate(columns):
         dtype = facts.schema[c].dataType
@@ -228,6 +224,24 @@ def period_totals(facts: DataFrame, columns: Sequence[str], periods: DataFrame,
             value, dtype = value.cast("int"), T.IntegerType()
         plain = isinstance(dtype, T.DecimalType) or not exact
         folds[f"_p{i}"] = {"sum": F.sum(value)} if plain else exact_parts(value, dtype)
+    return folds
+
+
+def folded_value(prefix: str, parts: dict[str, Column]) -> Column:
+    """The total behind the parts of one column, 0.0 when nothing is there."""
+    if "sum" in parts:
+        return F.coalesce(F.col(f"{prefix}_sum").cast("double"), F.lit(0.0))
+    return exact_value({n: F.col(f"{prefix}_{n}") for n in parts})
+
+
+def period_totals(facts: DataFrame, columns: Sequence[str], periods: DataFrame, key: str, facts_key: str,
+                  date_column: str, exact: bool = True) -> DataFrame:
+    """(key, _sums): totals of each request's facts within its own days, in the order of ``columns``.
+
+    Facts become one row of sums per (facts_key, day) in each task before anything is shuffled or joined; periods meet
+    days, never facts, so requests whose periods overlap share what was summed. The parts of a sum add up exactly.
+    """
+    folds = sum_folds(facts, columns, exact)
     names = [f"{p}_{n}" for p, parts in folds.items() for n in parts]
     daily = facts.groupBy(facts_key, F.to_date(date_column).alias("_day")).agg(
         F.count(F.lit(1)).alias("_rows"), *[c.alias(f"{p}_{n}") for p, parts in folds.items() for n, c in parts.items()])
@@ -238,12 +252,7 @@ def period_totals(facts: DataFrame, columns: Sequence[str], periods: DataFrame,
     held = daily.join(bounds, facts_key, "left" if key == facts_key else "inner").where(inside)
     merged = held.groupBy(key).agg(*[F.sum(n).alias(n) for n in names])
 
-    def value_of(p: str, parts: dict[str, Column]) -> Column:
-        if "sum" in parts:
-            return F.coalesce(F.col(f"{p}_sum").cast("double"), F.lit(0.0))
-        return exact_value({n: F.col(f"{p}_{n}") for n in parts})
-
-    values = [value_of(p, parts) for p, parts in folds.items()]
+    values = [folded_value(p, parts) for p, parts in folds.items()]
     return merged.select(key, F.array(*values).cast("array<double>").alias("_sums"))
 
 
@@ -338,6 +347,42 @@ def kpi_trend(facts: DataFrame, date_column: str, granularity: str, kpi_list: Se
     return compute_kpis(facts, kpi_list, catalog, mapping, groups, exact)
 
 
+def kpi_cube(facts: DataFrame, date_column: str, kpi_list: Sequence[str], catalog: dict[str, KpiDef],
+             mapping: dict[str, ColumnMapping], dimensions: Sequence[str] = (),
+             granularities: Sequence[str] = tuple(GRAINS), exact: bool = True) -> DataFrame:
+    """KPIs per period of every grain and every subset of the dimensions, from one table of sums.
+
+    Facts become one row of sums per (day, dimension values) in each task; those alone are shuffled, and every coarser
+    level adds them up by grouping sets. A ratio stays a ratio of sums at each level. A row has ``granularity``,
+    ``period``, the dimensions (null where summed over), ``level`` (the kept ones, comma-joined), then the KPI's
+    columns. Facts without a date have a null period; an empty table has no rows.
+    """
+    headers, numeric = facts.columns, numeric_columns(facts)
+    maps = [mapping.get(k, ColumnMapping()) for k in kpi_list]
+    needed = list(dict.fromkeys(c for m in maps for c in (m.numerator, m.denominator_column) if c in numeric))
+    folds = sum_folds(facts, needed, exact)
+    names = [f"{p}_{n}" for p, parts in folds.items() for n in parts]
+    days = facts.groupBy(grain(F.col(date_column), "daily").alias("_day"), *dimensions).agg(
+        F.count(F.lit(1)).alias("_rows"), *[c.alias(f"{p}_{n}") for p, parts in folds.items() for n, c in parts.items()])
+    starts = {g: f"_start_{g}" for g in granularities}
+    dated = days.withColumns({c: grain(F.col("_day"), g) for g, c in starts.items()})
+    kept = [d for n in range(len(dimensions) + 1) for d in combinations(dimensions, n)]
+    sets = [[F.col(c) for c in (start, *subset)] for start in starts.values() for subset in kept]
+    columns = [*starts.values(), *dimensions]
+    summed = dated.groupingSets(sets, *columns).agg(
+        *[F.grouping(c).alias(f"_over_{i}") for i, c in enumerate(columns)],
+        F.sum("_rows").alias("_rows"), *[F.sum(n).alias(n) for n in names])
+    is_kept = {c: F.col(f"_over_{i}") == 0 for i, c in enumerate(columns)}
+    totals = summed.select(
+        F.coalesce(*[F.when(is_kept[c], g) for g, c in starts.items()]).alias("granularity"),
+        F.coalesce(*starts.values()).alias("period"), *dimensions,
+        F.array_join(F.array_compact(F.array(
+            *[F.when(is_kept[d], d) for d in dimensions]).cast("array<string>")), ",").alias("level"),
+        "_rows", *[folded_value(p, parts).alias(f"_total{i}") for i, (p, parts) in enumerate(folds.items())])
+    where = {c: F.col(f"_total{i}") for i, c in enumerate(needed)}
+    return kpis_from_totals(totals, where, kpi_list, catalog, mapping, headers, numeric)
+
+
 def period_delta(trend: DataFrame, dimensions: Sequence[str] = (),
                  threshold: float = 0.5, granularity: str | None = None) -> DataFrame:
     """Change against the previous period; flagged when it exceeds half of it either way.

@@ -75,6 +75,11 @@ def _key(column: Column, dtype: T.DataType) -> tuple[str, Column]:
     return "string", value
 
 
+def counted_text(column: Column, dtype: T.DataType) -> Column:
+    """The value as it is counted, as text; NaN is null."""
+    return _key(column, dtype)[1].cast("string")
+
+
 def value_counts(df: DataFrame) -> dict[str, DataFrame]:
     """Rows per (column position, value), one frame per value type.
 

@@ -246,5 +246,5 @@ def kpi_promotions(spark, sf_dir):
     WHERE before IS NULL OR before <> formula""")
 def kpi_history(spark, sf_dir):
     history = catalog.definition_history(
-        table(spark, sf_dir, "formula_changes"), ["recipe_id", "name"], width=1000)
+        table(spark, sf_dir, "formula_changes"), ["recipe_id", "name"])
     return history.select("recipe_id", "name", "formula", "valid_from", "valid_to")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from kpiloom.operators import governance, recipe
 from kpiloom.operators.interview import decode_answers
@@ -11,6 +11,7 @@ from kpiloom.plans.tables import table
 from kpiloom.schemas import TEMPLATE_IDS
 from kpiloom.session import scratch_path
 from kpiloom.sources import sinks
+from kpiloom.streaming import state
 
 
 @query("requests_by_requester", """
@@ -112,13 +113,16 @@ def request_outcomes(spark, sf_dir):
     return requests.select("request_id", "status")
 
 
-@query("latest_request_state", """
+LATEST_STATE = """
     SELECT user_id AS request_id,
            arg_max('state ' || CAST(event_id AS STRING), event_id) FILTER (event_type IN ('view', 'error')) AS status,
            arg_max('file ' || CAST(event_id AS STRING), event_id) FILTER (event_type = 'click') AS file_path,
            arg_max(CAST(event_id AS STRING), event_id) FILTER (event_type IN ('error', 'purchase')) AS flags,
-           MAX(ts) AS updated_at FROM events GROUP BY user_id""")
-def latest_request_state(spark, sf_dir):
+           MAX(ts) AS updated_at FROM events GROUP BY user_id"""
+STATE_FIELDS = ["status", "file_path", "flags"]
+
+
+def request_updates(events: DataFrame) -> DataFrame:
     kind, number = F.col("event_type"), F.col("event_id").cast("string")
     carried = F.map_from_entries(F.array_compact(F.array(
         F.when(kind.isin("view", "error"),
@@ -126,10 +130,29 @@ def latest_request_state(spark, sf_dir):
         F.when(kind == "click", F.struct(F.lit("file_path"), F.concat(F.lit("file "), number))),
         F.when(kind.isin("error", "purchase"), F.struct(F.lit("flags"), number)),
     )))
-    updates = table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), carried.alias("changes"),
         F.col("ts").alias("updated_at"))
-    return governance.latest_state(updates, ["status", "file_path", "flags"])
+
+
+@query("latest_request_state", LATEST_STATE)
+def latest_request_state(spark, sf_dir):
+    return governance.latest_state(request_updates(table(spark, sf_dir, "events")), STATE_FIELDS)
+
+
+@query("latest_request_state_stream", LATEST_STATE)
+def latest_request_state_stream(spark, sf_dir):
+    """All events as a stream of files in two runs; the later half arrives first, and half of it arrives again."""
+    events = table(spark, sf_dir, "events")
+    middle = events.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    root = scratch_path(spark, "latest-state")
+    late = F.col("event_id") > F.lit(middle).cast("bigint")
+    again = events.where(late & (F.col("event_id") % 2 == 0))
+    for part in (events.where(late), events.where(~late).unionByName(again)):
+        part.repartition(2).write.mode("append").parquet(f"{root}/files")
+        arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/files")
+        state.follow(request_updates(arriving), STATE_FIELDS, f"{root}/state", f"{root}/checkpoint")
+    return state.current_state(spark, f"{root}/state", STATE_FIELDS)
 
 
 @query("review_enqueue", """

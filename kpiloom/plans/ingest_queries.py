@@ -10,6 +10,8 @@ from kpiloom.plans.registry import query
 from kpiloom.plans.tables import table
 from kpiloom.session import scratch_path
 from kpiloom.sources import delimited, ingest, staging, uploads
+from kpiloom.operators.profile import profile_columns
+from kpiloom.streaming import profile as profile_stream
 from kpiloom.streaming import refresh as stream
 
 
@@ -225,3 +227,25 @@ def refresh_in_batches(spark, sf_dir):
         if half == 0:
             stream.compact(spark, f"{root}/sums", ["event_type"], columns)
     return stream.current_totals(spark, f"{root}/sums", ["event_type"], columns)
+
+
+_EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+
+
+@query("profile_refreshed", " UNION ALL ".join(f"""
+    SELECT '{c}' AS "column", COUNT(*) AS total, COUNT(*) - COUNT({c}) AS missing_count, TRUE AS within_bound
+    FROM (SELECT * REPLACE (CASE WHEN event_id % 3 <> 0 THEN value END AS value) FROM events)""" for c in _EVENT_COLUMNS))
+def profile_refreshed(spark, sf_dir):
+    """All events in files that come in two runs; the profile merged from the files' parts, against the exact one."""
+    events = table(spark, sf_dir, "events").withColumn("value", F.when(F.col("event_id") % 3 != 0, F.col("value")))
+    root = scratch_path(spark, "profile-parts")
+    for half in (0, 1):
+        events.where(F.col("event_id") % 2 == half).repartition(3).write.mode("append").parquet(f"{root}/files")
+        arriving = spark.readStream.schema(events.schema).parquet(f"{root}/files")
+        profile_stream.refresh_profile(arriving, f"{root}/parts", f"{root}/checkpoint")
+    merged = profile_stream.merged_profile(spark.read.parquet(f"{root}/parts"))
+    exact = profile_columns(events).select(F.col("name").alias("column"), "unique_count")
+    off = F.abs(F.col("unique_estimate") - F.col("unique_count"))
+    return merged.join(exact, "column").select(
+        "column", "total", "missing_count",
+        (off <= F.col("unique_count") * profile_stream.DISTINCT_ERROR).alias("within_bound"))

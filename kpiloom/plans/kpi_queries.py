@@ -35,13 +35,26 @@ def sum_sql(column: str) -> str:
     return f"CAST(SUM(CAST({column} AS DECIMAL(38,12))) AS DOUBLE)"
 
 
-def range_sql(value: str, low: str | None, high: str | None) -> str:
-    """DuckDB text of the range flags of a value, joined like the query joins them."""
-    parts = []
+def cents_sql(column: str) -> str:
+    """Exact sum of a column of two decimals; casting a double to twelve adds digits that it does not have."""
+    return f"CAST(SUM(CAST({column} AS DECIMAL(18,2))) AS DOUBLE)"
+
+
+def rounded_sql(value: str) -> str:
+    """Four places by the decimal text: ROUND of a double multiplies first and takes 27.657249999999998 for a tie."""
+    return f"CAST(ROUND(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38,18)), 4) AS DOUBLE)"
+
+
+def range_sql(value: str, low: str | None, high: str | None, shown: str | None = None) -> str:
+    """DuckDB text of the range flags of a value, joined like the query joins them.
+
+    ``shown`` is what the text prints: the value, or the value rounded beforehand where ties must go away from zero.
+    """
+    parts, shown = [], shown or value
     if low is not None:
-        parts.append(f"CASE WHEN {value} < {low} THEN 'value ' || printf('%.4f', {value}) || ' below expected min {low}' END")
+        parts.append(f"CASE WHEN {value} < {low} THEN 'value ' || printf('%.4f', {shown}) || ' below expected min {low}' END")
     if high is not None:
-        parts.append(f"CASE WHEN {value} > {high} THEN 'value ' || printf('%.4f', {value}) || ' above expected max {high}' END")
+        parts.append(f"CASE WHEN {value} > {high} THEN 'value ' || printf('%.4f', {shown}) || ' above expected max {high}' END")
     return f"concat_ws(' | ', {', '.join(parts)})" if parts else "''"
 
 
@@ -288,6 +301,38 @@ def kpi_by_dimension(spark, sf_dir):
     return results.select("l_returnflag", "kpi_id", "value", text_of("flags"))
 
 
+_CUBE_SETS = ", ".join(
+    f"({', '.join([g, *kept])})" for g in ("d", "w", "m")
+    for kept in ([], ["l_returnflag"], ["l_linestatus"], ["l_returnflag", "l_linestatus"]))
+
+
+@query("kpi_cube", f"""
+    WITH f AS (SELECT date_trunc('day', l_shipdate)::TIMESTAMP AS d, date_trunc('week', l_shipdate)::TIMESTAMP AS w,
+                      date_trunc('month', l_shipdate)::TIMESTAMP AS m, * FROM lineitem),
+    c AS (SELECT CASE WHEN GROUPING(d) = 0 THEN 'daily' WHEN GROUPING(w) = 0 THEN 'weekly' ELSE 'monthly' END AS granularity,
+                 COALESCE(d, w, m) AS period, l_returnflag, l_linestatus,
+                 concat_ws(',', CASE WHEN GROUPING(l_returnflag) = 0 THEN 'l_returnflag' END,
+                           CASE WHEN GROUPING(l_linestatus) = 0 THEN 'l_linestatus' END) AS level,
+                 {cents_sql('l_quantity')} AS units, {cents_sql('l_extendedprice')} AS price, COUNT(*) AS lines
+          FROM f GROUP BY GROUPING SETS ({_CUBE_SETS})),
+    v AS (SELECT *, units / lines AS v FROM c)
+    SELECT granularity, period, l_returnflag, l_linestatus, level, 'units_sold' AS kpi_id, units AS value, '' AS flags FROM v
+    UNION ALL SELECT granularity, period, l_returnflag, l_linestatus, level, 'gross_sales', price, '' FROM v
+    UNION ALL SELECT granularity, period, l_returnflag, l_linestatus, level, 'units_per_line', {rounded_sql('v')},
+                     {range_sql('v', '0', '30', rounded_sql('v'))} FROM v""")
+def kpi_cube(spark, sf_dir):
+    """Units, sales and units a line of all line items by day, week and month, by each subset of two dimensions.
+
+    The ratio is one of whole numbers: ratios of prices of a day's few lines are often ties of the fourth place, which the
+    last bit of a sum decides.
+    """
+    catalog = CATALOG | {"units_per_line": kpi.KpiDef("units_per_line", "l_quantity", "one", min=0, max=30)}
+    mapping = MAPPING | {"units_per_line": kpi.ColumnMapping(None, "l_quantity", "one")}
+    cube = kpi.kpi_cube(line_items(spark, sf_dir).withColumn("one", F.lit(1)), "l_shipdate",
+                        ["units_sold", "gross_sales", "units_per_line"], catalog, mapping, ["l_returnflag", "l_linestatus"])
+    return cube.select("granularity", "period", "l_returnflag", "l_linestatus", "level", "kpi_id", "value", text_of("flags"))
+
+
 @query("kpi_multi_breakdown", " UNION ALL ".join(f"""
     SELECT date_trunc('month', l_shipdate)::TIMESTAMP AS period, l_returnflag, l_linestatus, '{k}' AS kpi_id,
            ROUND({v}, 4) AS value FROM lineitem GROUP BY ALL""" for k, v in [

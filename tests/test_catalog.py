@@ -32,10 +32,10 @@ def one_by_one(names, existing):
     return result
 
 
-def assigned(spark, names, existing, width=1 << 20):
+def assigned(spark, names, existing, rows=1 << 20):
     proposals = spark.createDataFrame(list(enumerate(names)), "seq bigint, display_name string")
     known = spark.createDataFrame([(e,) for e in existing], "kpi_id string")
-    rows = catalog.assign_ids(proposals, known, width).collect()
+    rows = catalog.assign_ids(proposals, known, rows).collect()
     return [r["kpi_id"] for r in sorted(rows, key=lambda r: r["seq"])]
 
 
@@ -53,7 +53,7 @@ def test_ids_match_one_by_one_with_a_hot_name(spark):
     pool = ["Hot Rate"] * 8 + ["Cold", "Cold 2", "Hot Rate 3", "!!", "Hot Rate 12", "x"]
     names = [rng.choice(pool) for _ in range(120)]
     existing = ["hot_rate", "hot_rate_2", "hot_rate_7", "hot_rate_8", "cold_2_2", "y_5"]
-    got = assigned(spark, names, existing, width=16)
+    got = assigned(spark, names, existing, rows=16)
     assert got == one_by_one(names, existing)
     real = [g for g in got if g]
     assert len(set(real)) == len(real) and not set(real) & set(existing)
@@ -118,6 +118,6 @@ def test_history_keeps_changes_only(spark):
     changes = spark.createDataFrame(
         [(1, 1, "a", 10), (1, 2, "a", 20), (1, 3, "b", 30), (1, 4, None, 40), (1, 5, None, 50), (1, 6, "a", 60)],
         "recipe int, seq bigint, formula string, changed_at int")
-    rows = catalog.definition_history(changes, ["recipe"], width=2).orderBy("valid_from").collect()
+    rows = catalog.definition_history(changes, ["recipe"], rows=2).orderBy("valid_from").collect()
     assert [(r["formula"], r["valid_from"], r["valid_to"]) for r in rows] == [
         ("a", 10, 30), ("b", 30, 40), (None, 40, 60), ("a", 60, None)]
