@@ -1,14 +1,17 @@
-"""Near copies by exact Jaccard similarity of hashed shingles, candidates from bands of least hashes.
-
-The fingerprints of ``simhash`` stop telling pairs at similarity 0.8 apart from others (such pairs differ in up
-to 17 of 64 bits), so candidates are found on the shingles themselves: a set's least value under each of 80
-hash functions, four of them a band. A pair of similarity s agrees in a band with s^4, so at 0.8 it shares none
-of the 20 bands in 3 of 100,000 cases. All pairs that share a band are compared on their whole sets, except those
-that other links have made one class already.
+"""Near copies: candidates by SimHash fingerprints in vantage-point trees, then the exact Jaccard similarity of shingles.
+
+At similarity 0.8 a bit of two SimHash fingerprints differs with a probability of 0.15 (0.16 for the smallest sets),
+so such pairs differ in up to 17 of 64 bits, a radius at which no tree over whole fingerprints prunes anything.
+Fingerprints here have 1,024 bits, cut into 80 pieces of 12, and each piece has a vantage-point tree of its own. Sets
+that agree in a piece meet in a leaf of its tree, however deep that is; at 0.8 a pair agrees in none of the pieces in
+1 of 100,000 cases. Leaves are searched exactly for fingerprints at most 37 of 128 bits apart, which a pair at 0.8 is
+but in 1 of 100,000 cases. All pairs found close in a leaf are compared on their whole sets, except those that other
+links have made one class already.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,36 +22,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpiloom.llm.common import components, materialised
-from kpiloom.llm.simhash import shingle_hashes
+from kpiloom.llm.simhash import hang, shingle_hashes, vantage_points
 
-BANDS, ROWS = 20, 4
-_FACTORS, _TERMS = np.random.default_rng(80).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
-_FACTORS |= np.uint64(1)
+WORDS, PIECES, PIECE_BITS = 16, 80, 12
+_PER_WORD, _CLOSE_WORDS, _CLOSE_BITS = PIECES // WORDS, 2, 37
+_LEAF_ROWS, _SAMPLE_ROWS, _CELL_ROWS = 512, 4096, 8192
 _TURNS = 1
 _BLOCK_NODES, _BLOCK_SHINGLES = 512, 500_000
+_SALTS = (np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+
+
+def _bits(shingles: np.ndarray) -> np.ndarray:
+    """A row of 0 and 1 for each hash: its own bits, then those of its rehashes."""
+    z = shingles[:, None] + _SALTS
+    z[:, 1:] = (z[:, 1:] ^ (z[:, 1:] >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z[:, 1:] = (z[:, 1:] ^ (z[:, 1:] >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    z[:, 1:] ^= z[:, 1:] >> np.uint64(31)
+    return np.unpackbits(z.view(np.uint8).reshape(len(z), WORDS * 8), axis=1, bitorder="little")
 
 
-def least_hashes(shingles: np.ndarray) -> np.ndarray:
-    """The least value of a set under each hash function."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(shingles), 2048):
-        np.minimum(least, (shingles[None, i : i + 2048] * _FACTORS + _TERMS).min(axis=1), out=least)
-    return least
+_SHARED = _bits(np.array([0x5851F42D4C957F2D], dtype=np.uint64))[0].astype(np.int64)
 
 
-def _long(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
+def fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """The words of a set's SimHash: a bit is set if it is set in over half the hashes. One shingle that all sets
+    have is counted with them, which leaves small sets fewer ties."""
+    counts = _SHARED.copy()
+    for i in range(0, len(shingles), 255):
+        counts += np.add.reduce(_bits(shingles[i : i + 255]), axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(shingles) + 1, bitorder="little").view(np.uint64)
 
 
 def _described(text: str | None, shingle: int) -> tuple[bytes, int, list[int]]:
-    """(node, n, bands): the node names the set by 128 bits, so equal sets have the same and others do not."""
+    """(node, n, bands): the node names the set by 128 bits, so equal sets have the same and others do not; the
+    bands are the words of its fingerprint."""
     shingles = np.unique(shingle_hashes(text, shingle))
     node = xxhash.xxh3_128_digest(shingles.tobytes())
-    if not len(shingles):
-        return node, 0, []
-    least = least_hashes(shingles)
-    return node, len(shingles), [
-        _long(xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b)) for b in range(BANDS)]
+    return node, len(shingles), fingerprint(shingles).view(np.int64).tolist() if len(shingles) else []
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
@@ -98,15 +108,15 @@ def _rooted(buckets: DataFrame, roots: DataFrame) -> DataFrame:
 
 def hub_links(buckets: DataFrame, sets: DataFrame, roots: DataFrame, turn: int, percent: int) -> DataFrame:
     """Links (a, b) between the nodes of each bucket that is not one class and one node of it. The order in which
-    nodes are taken is the same in all buckets of a turn, so a group meets in few pairs, each compared once."""
+    nodes are taken is the same in all buckets of a turn; a node of several buckets meets the first of their nodes."""
     rooted = _rooted(buckets, roots)
     hubs = rooted.groupBy("bucket").agg(
         F.min("root").alias("low"), F.max("root").alias("high"),
-        F.min_by(F.struct("node", "n", "root"), F.struct(F.xxhash64(F.lit(turn), "node"), "node")).alias("hub"),
+        F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("at"), "node", "n", "root")).alias("hub"),
     ).where("low < high").select("bucket", "hub")
     met = rooted.join(hubs, "bucket").where("root <> hub.root").where(
         100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
-    pairs = met.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+    pairs = met.groupBy(F.col("node").alias("a")).agg(F.min("hub").alias("hub")).select("a", F.col("hub.node").alias("b"))
     left = sets.select(F.col("of_node").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("of_node").alias("b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
@@ -199,15 +209,157 @@ def bucket_links(buckets: DataFrame, sets: DataFrame, roots: DataFrame, percent:
     return rows.groupBy("bucket", "i", "j").applyInPandas(cell, "a binary, b binary")
 
 
+def medians(words: np.ndarray) -> np.ndarray:
+    """(piece, level): the distance from the level's vantage point that halves the sample most evenly."""
+    out = np.full((PIECES, PIECE_BITS - 1), PIECE_BITS // 2)
+    for p in range(PIECES if len(words) else 0):
+        own = _piece(words, p)
+        for level, v in enumerate(vantage_points(PIECE_BITS)):
+            below = np.cumsum(np.bincount(np.bitwise_count(own ^ v), minlength=PIECE_BITS + 1)) / len(own)
+            out[p, level] = int(np.abs(below - 0.5).argmin()) + 1
+    return out
+
+
+def _piece(words: np.ndarray, p: int) -> np.ndarray:
+    shift, mask = np.uint64(PIECE_BITS * (p % _PER_WORD)), np.uint64((1 << PIECE_BITS) - 1)
+    return words[:, p // _PER_WORD] >> shift & mask
+
+
+def leaves_of(words: np.ndarray, depth: int, cuts: np.ndarray) -> np.ndarray:
+    """(row, piece): the leaf of the piece's tree that holds the fingerprint."""
+    out = np.empty((len(words), PIECES), dtype=np.int64)
+    for p in range(PIECES):
+        own, leaf = _piece(words, p), np.full(len(words), p, dtype=np.int64)
+        for level, v in enumerate(vantage_points(PIECE_BITS)[:depth]):
+            leaf = leaf * 2 + (np.bitwise_count(own ^ v) >= cuts[p, level])
+        out[:, p] = leaf
+    return out
+
+
+def close_groups(n: np.ndarray, words: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """For each row of a leaf the first one that close pairs connect it with: fingerprints at most 37 of 128 bits
+    apart, of sets whose sizes allow the similarity. Of two ``side``s, only pairs across them."""
+    order = np.argsort(n, kind="stable")
+    n, words, side = n[order], words[order], side[order]
+    root, two = np.arange(len(n)), len(side) > 0 and side.min() != side.max()
+    for i in range(0, len(n), 256):
+        end = min(i + 256, len(n))
+        high = np.searchsorted(n, n[end - 1] * 100 // percent, side="right")
+        apart = np.zeros((end - i, high - i), dtype=np.uint16)
+        for w in range(words.shape[1]):
+            apart += np.bitwise_count(words[i:end, w, None] ^ words[None, i:high, w])
+        near = (apart <= _CLOSE_BITS) & (100 * n[i:end, None] >= percent * n[None, i:high])
+        if two:
+            near &= side[i:end, None] != side[None, i:high]
+        a, b = np.nonzero(np.triu(near, 1))
+        hang(root, a + i, b + i)
+    out = np.empty_like(root)
+    out[order] = order[root]
+    return out
+
+
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """(leaf, cell, side, node, n, w0, w1): each node in a leaf of every tree. The depth follows the number of nodes;
+    a sample sets the medians, which only decide how even the leaves are. Leaves of many thousand rows are cut into
+    blocks by the nodes' names, and every two blocks are one cell, whose pairs across its sides are searched."""
+    searched = nodes.where(F.size("bands") > 0).select("node", "n", "bands")
+    rows = searched.count()
+    depth = min(PIECE_BITS - 1, max(0, math.ceil(math.log2(max(1, rows) / _LEAF_ROWS))))
+    sample = searched.orderBy(F.xxhash64(F.lit(1), "node")).limit(_SAMPLE_ROWS).collect() if depth else []
+    cuts = medians(np.array([r["bands"] for r in sample], dtype=np.int64).view(np.uint64).reshape(-1, WORDS))
+
+    def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                words = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+                yield batch, words.view(np.uint64).reshape(-1, WORDS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(PIECES << depth, dtype=np.int64)
+        for _, words in fingerprints(batches):
+            held += np.bincount(leaves_of(words, depth, cuts).ravel(), minlength=len(held))
+        leaf = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(held[leaf])], names=["leaf", "members"])
+
+    blocks = np.ones(PIECES << depth, dtype=np.int64)
+    if rows > _CELL_ROWS:
+        sizes = searched.mapInArrow(count, "leaf long, members long").groupBy("leaf").agg(F.sum("members").alias("members"))
+        for r in sizes.where(F.col("members") > _CELL_ROWS).collect():
+            blocks[r["leaf"]] = -(-r["members"] // _CELL_ROWS) * 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, words in fingerprints(batches):
+            leaf, row = leaves_of(words, depth, cuts).ravel(), np.repeat(np.arange(len(words)), PIECES)
+            name = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint64)[::2]
+            many = blocks[leaf]
+            at = np.repeat(np.arange(len(leaf)), many)
+            leaf, row, many = leaf[at], row[at], many[at]
+            other = np.arange(len(at)) - np.searchsorted(at, at)
+            block = (name[row] % many.astype(np.uint64)).astype(np.int64)
+            cell = np.minimum(block, other) * many + np.maximum(block, other)
+            columns = [pa.array(leaf), pa.array(cell), pa.array((block > other).astype(np.int32))]
+            columns += [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))]
+            columns += [pa.array(words[row, w].view(np.int64)) for w in range(_CLOSE_WORDS)]
+            yield pa.RecordBatch.from_arrays(columns, names=["leaf", "cell", "side", "node", "n", "w0", "w1"])
+
+    return searched.mapInArrow(run, "leaf long, cell long, side int, node binary, n int, w0 long, w1 long")
+
+
+def close_buckets(nodes: DataFrame, percent: int) -> DataFrame:
+    """(bucket, node, n): the nodes that close pairs of a leaf connect are one bucket, named by its nodes, so that
+    the same nodes found in several trees are one bucket."""
+
+    def groups(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side, node, n, *words = (pa.concat_arrays([b.column(k) for b in held]) for k in range(2, 7))
+        if len(node) < 2:
+            return
+        words = np.stack([w.to_numpy().view(np.uint64) for w in words], axis=1)
+        root = close_groups(n.to_numpy(), words, side.to_numpy(), percent)
+        size = np.bincount(root, minlength=len(root))
+        rows = np.flatnonzero(size[root] > 1)
+        if not len(rows):
+            return
+        rows = rows[np.argsort(root[rows], kind="stable")]
+        names, bucket = node.take(pa.array(rows)).to_pylist(), []
+        for a, b in _runs(root[rows]):
+            name = xxhash.xxh64_intdigest(b"".join(sorted(names[a:b])))
+            bucket += [name - (1 << 64) if name >> 63 else name] * (b - a)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket, pa.int64()), pa.array(names, pa.binary()), n.take(pa.array(rows))], names=["bucket", "node", "n"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            leaf, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, b in _runs(leaf, cell):
+                if (leaf[a], cell[a]) != last:
+                    if held:
+                        yield from groups(held)
+                    held, last = [], (leaf[a], cell[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from groups(held)
+
+    dealt = _dealt(nodes).repartition("leaf", "cell").sortWithinPartitions("leaf", "cell")
+    return dealt.mapInArrow(search, "bucket long, node binary, n int").distinct()
+
+
+def _runs(*columns: np.ndarray) -> zip:
+    """(start, end) of each run of equal values."""
+    if not len(columns[0]):
+        return zip((), ())
+    new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+    return zip([0, *new.tolist()], [*new.tolist(), len(columns[0])], strict=True)
+
+
 def links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(node, root) of the nodes linked to a smaller one, over all pairs that share a band.
+    """(node, root) of the nodes linked to a smaller one, over all pairs that are close in a leaf.
 
     A first turn compares the nodes of a bucket with one of them, which makes many groups one class; what is left
     open is compared pair by pair. Pairs inside a class are left out, which changes no class.
     """
-    banded = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
-    buckets = materialised(banded.join(shared, "bucket"), "near-buckets")
+    buckets = materialised(close_buckets(nodes, percent), "near-buckets")
     found = nodes.sparkSession.createDataFrame([], "a binary, b binary")
     roots = found.toDF("node", "root")
     if buckets.isEmpty():

@@ -65,10 +65,10 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {field.dataType.simpleString()}, fp long")
 
 
-def vantage_points() -> np.ndarray:
+def vantage_points(bits: int = _HALF_BITS) -> np.ndarray:
     """31 points of a half at distance 16 from each other, so that their distances say different things:
-    bit j of point l is the parity of l AND j."""
-    level, bit = np.arange(1, _HALF_BITS, dtype=np.uint64)[:, None], np.arange(_HALF_BITS, dtype=np.uint64)[None, :]
+    bit j of point l is the parity of l AND j. Of fewer ``bits``, as many points less one at about half of them."""
+    level, bit = np.arange(1, bits, dtype=np.uint64)[:, None], np.arange(bits, dtype=np.uint64)[None, :]
     parity = np.bitwise_count(level & bit).astype(np.uint64) & np.uint64(1)
     return (parity << bit).sum(axis=1, dtype=np.uint64)
 
@@ -106,6 +106,20 @@ def leaves_of(fps: np.ndarray, depth: int, cuts: np.ndarray) -> tuple[np.ndarray
     return np.concatenate(leaves), np.concatenate(rows)
 
 
+def hang(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Hangs the places linked by (a, b) on the smallest place that they reach, in ``root``."""
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        for ends in (a, b):
+            np.minimum.at(root, root[ends], low)
+            np.minimum.at(root, ends, low)
+        while (root[root] != root).any():
+            root[:] = root[root]
+        if (before == root).all():
+            break
+
+
 def leaf_links(fps: np.ndarray, half: int, salt: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links (a, b) of one leaf, enough to connect what is linked: each block's pairs at distance 3 or less
     hang on the smallest place they reach. A large leaf is divided by a vantage point of its own first."""
@@ -124,17 +138,7 @@ def leaf_links(fps: np.ndarray, half: int, salt: int = 0) -> Iterator[tuple[np.n
         near = np.bitwise_count(fps[i : i + 512, None] ^ fps[None, i:]) <= MAX_BITS
         a, b = np.nonzero(near)
         a, b = a + i, b + i
-        a, b = a[a < b], b[a < b]
-        while len(a):
-            low = np.minimum(root[a], root[b])
-            before = root.copy()
-            for ends in (a, b):
-                np.minimum.at(root, root[ends], low)
-                np.minimum.at(root, ends, low)
-            while (root[root] != root).any():
-                root = root[root]
-            if (before == root).all():
-                break
+        hang(root, a[a < b], b[a < b])
     linked = root != np.arange(n)
     if linked.any():
         yield fps[linked], fps[root[linked]]

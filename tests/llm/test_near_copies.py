@@ -127,3 +127,68 @@ def test_recall_of_bands(spark):
         seen.add(key)
     print(f"pairs at 0.8 or more: {true}, in one class: {found}")
     assert true > 40 and found == true
+
+
+def test_fingerprint_by_majority():
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 5, 254, 255, 256, 700):
+        held = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+        got = near_copies.fingerprint(held)
+        bits = [near_copies._bits(held)[:, b].sum() + near_copies._SHARED[b] for b in range(1024)]
+        assert [int(got[b // 64]) >> (b % 64) & 1 for b in range(1024)] == [int(2 * c > len(held) + 1) for c in bits]
+        assert near_copies._bits(held)[:, :64].tolist() == [[int(h) >> b & 1 for b in range(64)] for h in held]
+
+
+def test_pairs_that_agree_in_a_piece_meet_in_a_leaf():
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 1 << 64, (400, near_copies.WORDS), dtype=np.uint64)
+    words[200:] = words[:200] ^ (rng.random((200, near_copies.WORDS, 64)) < 0.1).dot(1 << np.arange(64, dtype=object)).astype(np.uint64)
+    pieces = np.stack([near_copies._piece(words, p) for p in range(near_copies.PIECES)], axis=1)
+    same = pieces[:200] == pieces[200:]
+    cuts = near_copies.medians(words)
+    assert same.any(axis=1).sum() > 190
+    for depth in (0, 3, near_copies.PIECE_BITS - 1):
+        leaf = near_copies.leaves_of(words, depth, cuts)
+        assert (leaf[:200] == leaf[200:])[same].all() and (leaf >> depth == np.arange(near_copies.PIECES)).all()
+    assert len(np.unique(leaf[:, 0])) > 100
+
+
+def slow_buckets(sets, members):
+    """The groups that pairs of ``members`` with close fingerprints connect."""
+    words, root = {m: near_copies.fingerprint(sets[m]) for m in members}, {m: m for m in members}
+    for a in members:
+        for b in members:
+            apart = sum(int(x ^ y).bit_count() for x, y in zip(words[a][:2].tolist(), words[b][:2].tolist(), strict=True))
+            low, high = sorted((len(sets[a]), len(sets[b])))
+            if a < b and apart <= 37 and 100 * low >= 80 * high:
+                one, other = sorted((root[a], root[b]))
+                root = {k: one if r == other else r for k, r in root.items()}
+    return {frozenset(k for k in root if root[k] == r) for r in root.values() if list(root.values()).count(r) > 1}
+
+
+def test_stage_takes_its_candidates_from_fingerprint_trees(spark, monkeypatch):
+    """One leaf a tree, whole or cut into cells: all close pairs meet; no other pair is a candidate."""
+    rng = np.random.default_rng(6)
+    sets, rows = {}, []
+    for k in range(60):
+        base = rng.integers(0, 1 << 64, int(rng.integers(20, 90)), dtype=np.uint64)
+        for name in range(1 if k % 3 else 4):
+            held = np.unique(np.concatenate([base[name:], rng.integers(0, 1 << 64, name, dtype=np.uint64)]))
+            sets[node := bytes([k, name]) + bytes(14)] = held
+            rows.append((bytearray(node), len(held), near_copies.fingerprint(held).view(np.int64).tolist()))
+    rows.append((bytearray(16), 0, []))  # a text without words is never a candidate
+    nodes = spark.createDataFrame(rows, "node binary, n int, bands array<long>").repartition(2)
+    for cell_rows in (8192, 40):
+        monkeypatch.setattr(near_copies, "_CELL_ROWS", cell_rows)
+        found = {}
+        for r in near_copies.close_buckets(nodes, 80).collect():
+            assert r["n"] == len(sets[bytes(r["node"])])
+            found.setdefault(r["bucket"], set()).add(bytes(r["node"]))
+        want = slow_buckets(sets, list(sets))
+        if cell_rows == 8192:
+            assert {frozenset(g) for g in found.values()} == want
+        joined = {m: {m} for m in sets}
+        for g in found.values():
+            whole = set().union(*(joined[m] for m in g))
+            joined |= dict.fromkeys(whole, whole)
+        assert {frozenset(g) for g in joined.values() if len(g) > 1} == want and len(want) >= 20
