@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -14,10 +16,19 @@ _SCORE = T.StructType([
 ])
 
 
+@lru_cache(maxsize=1 << 16)
+def _remembered(header: str, names: tuple[str, ...]) -> tuple[float, int]:
+    """KPIs that list the same names share the score of a header."""
+    return best_candidate(header, names)
+
+
 @F.pandas_udf(_SCORE)
 def _best_score(header: pd.Series, names: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(
-        [best_candidate(h, n) for h, n in zip(header, names)], columns=["score", "candidate_pos"])
+        [_remembered(h, tuple(n)) for h, n in zip(header, names)], columns=["score", "candidate_pos"])
+
+
+_best_score = _best_score.asNondeterministic()  # else a filter on the score runs it a second time
 
 
 def candidates() -> Column:
@@ -30,15 +41,17 @@ def candidates() -> Column:
     return F.filter(listed, lambda c: c.isNotNull() & (c != NO_DENOMINATOR))
 
 
-def header_scores(pairs: DataFrame, catalog: DataFrame) -> DataFrame:
+def header_scores(pairs: DataFrame, catalog: DataFrame, key: str = "upload_id") -> DataFrame:
     """Score of each (header, kpi_id): (score, candidate_pos of the first best candidate).
 
     Only pairs that some upload asks for are scored, each once, however many uploads share it; the
-    KPI's own candidates come by an equi-join.
+    KPI's own candidates come by an equi-join. ``used`` reads every column of ``pairs``, so that Spark
+    takes the pairs from the same shuffle as the caller.
     """
     names = catalog.select("kpi_id", candidates().alias("names"))
+    distinct = pairs.groupBy("header", "kpi_id").agg(F.bit_xor(F.xxhash64(key, "position")).alias("used"))
     return (
-        pairs.select("header", "kpi_id").distinct().join(names, "kpi_id")
+        distinct.where("used is not null").join(names, "kpi_id")
         .select("header", "kpi_id", _best_score("header", "names").alias("s"))
         .where("s.candidate_pos >= 0").select("header", "kpi_id", "s.score", "s.candidate_pos")
     )
@@ -50,19 +63,21 @@ def match_headers(headers: DataFrame, requests: DataFrame, catalog: DataFrame,
 
     ``headers`` is (key, position, header), ``requests`` (key, kpi_list). The first header, then
     the first candidate, wins a tie, and a score of zero is no match. ``needs_review`` looks at
-    the score before rounding. Scores fold into one maximum per (upload, KPI) before the
-    shuffle; what is joined is as long as an upload's own headers times its own KPI list.
+    the score before rounding. What is joined is as long as an upload's own headers times its
+    own KPI list; it is dealt out by (header, KPI) once, for the distinct pairs and for their scores,
+    and streams past the scores unsorted, since a header that most uploads have would be one long sort.
     """
     wanted = restrict(requests, catalog, key)
-    pairs = headers.where(F.col("header").isNotNull()).join(wanted, key)
-    asked = pairs.join(header_scores(pairs, catalog), ["header", "kpi_id"])
-    best = asked.groupBy(key, "kpi_id").agg(
+    pairs = headers.where(F.col("header").isNotNull()).join(wanted.hint("merge"), key).select(
+        key, "position", "header", "kpi_id").repartition("header", "kpi_id")
+    asked = pairs.join(header_scores(pairs, catalog, key).hint("shuffle_hash"), ["header", "kpi_id"])
+    best = asked.repartition(key, "kpi_id").groupBy(key, "kpi_id").agg(
         F.max(F.struct(
             F.col("score"), (-F.col("position")).alias("p"), (-F.col("candidate_pos")).alias("c"),
             F.col("header"),
         )).alias("best"))
     score = F.coalesce("best.score", F.lit(0.0))
-    return wanted.join(best, [key, "kpi_id"], "left").select(
+    return wanted.join(best.hint("merge"), [key, "kpi_id"], "left").select(
         key, "kpi_id", F.col("best.header").alias("raw_column"),
         F.round(score, 2).alias("confidence"), (score < REVIEW_THRESHOLD).alias("needs_review"),
     )

@@ -1,4 +1,5 @@
 import random
+import re
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -28,6 +29,19 @@ def test_bounds_never_change_the_winner():
         assert best_candidate(header, options) == (best, where)
 
 
+def test_bounds_of_long_equal_and_empty_names():
+    """From 200 letters on the matcher leaves out frequent ones, so equal names may score less than 1."""
+    long = ["a" * 250, "ab" * 120, "".join(map(chr, range(32, 127))) * 3, "a" * 199]
+    names = [*long, "", "  ", "x", " X ", "unit", "tinu"]
+    for header in names:
+        best, where = 0.0, -1
+        for i, o in enumerate(names):
+            s = name_score(header, o)
+            if s > best:
+                best, where = s, i
+        assert best_candidate(header, names) == (best, where)
+
+
 CATALOG = [
     ("contact_rate", ["live_contacts", "contacts"], "live_contacts", "total_dials", ["LCP"]),
     ("dials", [], "total_dials", "_none_", ["dial count"]),
@@ -67,6 +81,41 @@ def test_header_match_equals_brute_force(spark):
     assert got == {u: brute_force(files[u], asked[u]) for u in files}
 
 
+def planned(spark):
+    """The plan of a match whose catalog and requests are too small for any hint-free plan to shuffle them."""
+    catalog = spark.createDataFrame(
+        CATALOG, "kpi_id string, source_fields array<string>, numerator string, denominator string, aliases array<string>")
+    headers = spark.createDataFrame([(1, 0, "Total Dials"), (1, 1, "contacts")], "upload_id int, position int, header string")
+    requests = spark.createDataFrame([(1, ["contact_rate", "dials"])], "upload_id int, kpi_list array<string>")
+    found = mapping.match_headers(headers, requests, catalog)
+    return found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_pair_is_scored_once(spark):
+    assert planned(spark).count("ArrowEvalPython [") == 1
+
+
+def test_pairs_pass_their_scores_unsorted(spark):
+    """Sorting the pairs by (header, KPI) takes memory as a common header has rows; a broadcast of the requests
+    takes it as all uploads have."""
+    plan = planned(spark)
+    assert "ShuffledHashJoin [header" in plan
+    assert not re.search(r"Sort \[header#\d+ ASC", plan)
+    assert not re.search(r"BroadcastHashJoin \[upload_id", plan)
+
+
+def test_match_keeps_null_keys_and_repeated_requests(spark):
+    catalog = spark.createDataFrame(
+        CATALOG, "kpi_id string, source_fields array<string>, numerator string, denominator string, aliases array<string>")
+    headers = spark.createDataFrame(
+        [(1, 0, "contacts"), (1, 0, "CONTACTS"), (1, 1, None), (None, 0, "contacts")], "upload_id int, position int, header string")
+    requests = spark.createDataFrame(
+        [(1, ["contact_rate"]), (1, ["contact_rate"]), (None, ["dials", "dials"]), (2, None)], "upload_id int, kpi_list array<string>")
+    got = sorted((r["upload_id"] or 0, r["kpi_id"], r["raw_column"], r["confidence"], r["needs_review"])
+                 for r in mapping.match_headers(headers, requests, catalog).collect())
+    assert got == [(0, "dials", None, 0.0, True), *[(1, "contact_rate", "contacts", 1.0, False)] * 2]
+
+
 def test_review_threshold_uses_the_unrounded_score(spark):
     rows = spark.createDataFrame([(1, True), (1, False), (2, False)], "upload_id int, needs_review boolean")
     got = {r["upload_id"]: r for r in mapping.review_load(rows).collect()}
