@@ -47,7 +47,7 @@ def header_match_exact(spark, sf_dir):
         (F.col("l_linenumber") % 3).alias("kind")).join(catalog.select("kpi_id", "numerator"), "kpi_id")
     copy = F.when(F.col("kind") == 0, F.upper("numerator")).when(
         F.col("kind") == 1, F.concat(F.lit("  "), "numerator", F.lit(" "))).otherwise("~~~")
-    headers = items.select("upload_id", F.posexplode(F.array(
+    headers = items.repartition("upload_id").select("upload_id", F.posexplode(F.array(
         F.lit("###"), copy, F.when(F.col("kind") < 2, F.col("numerator")).otherwise("^^^"))).alias("position", "header"))
     requests = items.select("upload_id", F.array("kpi_id", F.lit("no_such_kpi")).alias("kpi_list"))
     return mapping.match_headers(headers, requests, catalog)
