@@ -50,7 +50,7 @@ def header_match_exact(spark, sf_dir):
     headers = items.repartition("upload_id").select("upload_id", F.posexplode(F.array(
         F.lit("###"), copy, F.when(F.col("kind") < 2, F.col("numerator")).otherwise("^^^"))).alias("position", "header"))
     requests = items.select("upload_id", F.array("kpi_id", F.lit("no_such_kpi")).alias("kpi_list"))
-    return mapping.match_headers(headers, requests, catalog)
+    return mapping.match_headers(headers, requests, catalog, settle=True)
 
 
 REVIEWS = {"checked_mappings": """

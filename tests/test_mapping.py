@@ -2,10 +2,12 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from kpiloom.functions.similarity import best_candidate, name_score
 from kpiloom.operators import mapping
+from kpiloom.plans.mapping_queries import header_match_exact
 
 PAIRS = [("l_extendedprice", "extended_price", 0.8966), ("Total Dials", "total_dials", 0.9091),
          ("l_tax", "tax_amount", 0.4), ("tide", "diet", 0.25), ("diet", "tide", 0.5)]
@@ -158,3 +160,71 @@ def test_memory_lookup_needs_both_keys(spark):
                                      "request_id string, client_id string, template_type string")
     got = {r["request_id"]: r["exists"] for r in mapping.lookup_memory(requests, memory).collect()}
     assert got == {"1": True, "2": False, "3": False}
+
+
+def dealt_out(monkeypatch):
+    """The pairs that match_headers hands over to be scored."""
+    given, real = [], mapping.header_scores
+    monkeypatch.setattr(mapping, "header_scores", lambda pairs, *rest: given.append(pairs) or real(pairs, *rest))
+    return given
+
+
+def test_settled_pairs_are_not_dealt_out(spark, monkeypatch):
+    """A name that equals a header, or shares no letter with any, is settled where header and KPI meet."""
+    given = dealt_out(monkeypatch)
+    catalog = spark.createDataFrame(
+        CATALOG, "kpi_id string, source_fields array<string>, numerator string, denominator string, aliases array<string>")
+    files = {1: ["Agent", " TOTAL_DIALS\t", "total_dials"], 2: ["###"], 3: ["total dials"]}
+    headers = spark.createDataFrame(
+        [(u, i, h) for u, hs in files.items() for i, h in enumerate(hs)], "upload_id int, position int, header string")
+    requests = spark.createDataFrame([(u, ["dials", "unknown"]) for u in files], "upload_id int, kpi_list array<string>")
+    found = mapping.match_headers(headers, requests, catalog, settle=True)
+    got = {r["upload_id"]: (r["raw_column"], r["confidence"]) for r in found.collect()}
+    assert got == {1: (" TOTAL_DIALS\t", 1.0), 2: (None, 0.0), 3: ("total dials", 0.91)}
+    assert [(r["upload_id"], r["header"]) for r in given[0].collect()] == [(3, "total dials")]
+
+
+def test_exact_headers_are_not_dealt_out(spark, monkeypatch, tmp_path):
+    given = dealt_out(monkeypatch)
+    spark.createDataFrame([(k, 5 + k % 3, f"part {k}", "TYPE", 1.5) for k in range(4)],
+                          "p_partkey bigint, p_size int, p_name string, p_type string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(o, o % 5, n) for o in range(6) for n in range(1, 5)],
+                          "l_orderkey bigint, l_partkey bigint, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = header_match_exact(spark, str(tmp_path)).collect()
+    assert len(got) == 5 * 4 and {r["confidence"] for r in got} == {0.0, 1.0}
+    assert given[0].count() == 0
+
+
+@pytest.mark.parametrize("settle", [False, True])
+def test_match_of_odd_names_equals_brute_force(spark, settle):
+    """Names that Python trims, lowers or weighs otherwise than Spark, null positions, and keys, KPIs and ids that repeat."""
+    rng = random.Random(11)
+    pool = ["units", "UNITS", " units ", "\tunits\n", "\x1cunits", " units", "unıts", "UNİTS", "Kelvin", "kelvin", "KELVIN",
+            "ab" * 120, "AB" * 120, "a" * 199, "A" * 200, "", "  ", "###", "stinu", "orders", "orders_1", "…", "😀"]
+    for k in range(6):
+        ids = [f"k{rng.randrange(5)}" for _ in range(6)]
+        rows = [(i, rng.sample(pool, rng.randrange(3)), rng.choice([None, *pool]), rng.choice(["_none_", *pool]),
+                 rng.choice([None, rng.sample(pool, 2)])) for i in ids]
+        if k % 2:
+            rows = list({r[0]: r for r in rows}.values())
+        catalog = spark.createDataFrame(
+            rows, "kpi_id string, source_fields array<string>, numerator string, denominator string, aliases array<string>")
+        heads = [(rng.choice([None, *range(12)]), rng.choice([None, 0, 1, 2, 3]), rng.choice([None, *pool])) for _ in range(50)]
+        asked = [(rng.choice([None, *range(14)]), [f"k{rng.randrange(7)}" for _ in range(rng.randrange(4))]) for _ in range(25)]
+        want = []
+        for upload, kpis in asked:
+            for kpi in sorted({x for x in kpis if x in ids}):
+                found = []
+                for u, position, header in heads:
+                    for _, fields, num, den, aliases in (r for r in rows if r[0] == kpi):
+                        if upload is not None and u == upload and header is not None:
+                            names = dict.fromkeys(c for c in [*fields, num, den, *(aliases or [])] if c is not None and c != "_none_")
+                            score, at = best_candidate(header, [*names])
+                            if at >= 0:
+                                found.append((score, -99 if position is None else -position, -at, header.encode(), header))
+                best = max(found, default=(0.0, 0, 0, b"", None))
+                want.append((upload, kpi, best[4], round(best[0], 2), best[0] < 0.7))
+        got = mapping.match_headers(
+            spark.createDataFrame(heads, "upload_id int, position int, header string"),
+            spark.createDataFrame(asked, "upload_id int, kpi_list array<string>"), catalog, settle=settle).collect()
+        assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
